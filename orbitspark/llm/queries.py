@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitspark.llm import byte_bpe, packing, quality, sharding, simhash, topk
+from orbitspark.llm import byte_bpe, packing, quality, sharding, simhash, suffix_dedup, topk
 from orbitspark.llm.common import table
 
 
@@ -39,13 +39,18 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_byte_bpe, op3_exact_topk, op5_quality_rules, op7_binary_packing, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_byte_bpe, op3_exact_topk, op5_quality_rules, op7_binary_packing, op8_suffix_dedup, op10_minimax_sharding)}
 
 
 def _op5_sql() -> str:
