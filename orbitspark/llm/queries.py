@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitspark.llm import byte_bpe, packing, quality, sharding, simhash, suffix_dedup, topk
+from orbitspark.llm import byte_bpe, extraction, licenses, packing, quality, sharding, simhash, suffix_dedup, topk, toxicity
 from orbitspark.llm.common import table
 
 
@@ -26,11 +26,20 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     pieces = packing.split_documents(table(spark, sf_dir, "documents"), path, pattern)
@@ -44,13 +53,21 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extraction.extracted(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OPERATORS = (op1_simhash_dedup, op2_byte_bpe, op3_exact_topk, op4_toxicity, op5_quality_rules, op6_license_scan, op7_binary_packing, op8_suffix_dedup, op9_html_extraction, op10_minimax_sharding)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_byte_bpe, op3_exact_topk, op5_quality_rules, op7_binary_packing, op8_suffix_dedup, op10_minimax_sharding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def _op5_sql() -> str:
@@ -105,5 +122,26 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _op6_sql() -> str:
+    """Brute force: every shingle of every text against every template."""
+    shingles = licenses.template_shingles(licenses.TEMPLATES)
+    rows = ", ".join(f"('{name}', '{s}', {len(all_[0].split(' '))}, {len(set(all_))}, {-(-5 * len(all_) // 4)})" for name, all_ in shingles.items() for s in sorted(set(all_)))
+    widths = sorted({len(s[0].split(" ")) for s in shingles.values()} | {licenses.WIDTH})
+    marks = licenses.PUNCTUATION.replace("'", "''")
+    cuts = " UNION ALL ".join(f"SELECT rid, doc_id, unnest(range(0, len(w) - {k} + 1)) AS pos, {k} AS width, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS shingle FROM words WHERE len(w) >= {k}" for k in widths)
+    return rf"""
+WITH templates(template, shingle, width, total, stretch) AS (VALUES {rows}),
+words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{marks}', ''), '[^ 	-
+]+') AS w FROM documents),
+held AS (SELECT rid, doc_id, template, pos, shingle, total, stretch FROM ({cuts}) JOIN templates USING (shingle, width)),
+scored AS (
+  SELECT a.doc_id, a.template, a.rid, a.pos, count(DISTINCT b.shingle) / any_value(a.total) AS containment
+  FROM held a JOIN held b ON a.rid = b.rid AND a.template = b.template AND b.pos BETWEEN a.pos AND a.pos + a.stretch - 1
+  GROUP BY a.doc_id, a.template, a.rid, a.pos)
+SELECT doc_id, template, max(containment) AS containment, arg_max(pos, containment * 1000000000 - pos)::BIGINT AS first_word
+FROM scored WHERE containment >= {licenses.LEAST} GROUP BY doc_id, template
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": _op3_sql(), "op5_quality_rules": _op5_sql()}
+    return {"op3_exact_topk": _op3_sql(), "op5_quality_rules": _op5_sql(), "op6_license_scan": _op6_sql()}
