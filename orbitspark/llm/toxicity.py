@@ -15,6 +15,7 @@ in one half don't count twice.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -113,27 +114,42 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold each word or beginning, by half and label."""
+    """Documents that hold each word or beginning, by half and label (context -1), and its contexts in toxic ones.
+
+    A context is the word before and the word. Copies of a document have the same contexts, so that a word which only
+    copies share doesn't look frequent.
+    """
     counts: Counter = Counter()
     for b in batches:
         for text, half, toxic in zip(b["text"], b["half"], b["toxic"], strict=True):
-            words = {EDGE.sub("", w) for w in (text or "").lower().split()}
-            found = {w for w in words if 1 < len(w) <= 24} | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
-            for w in found:
-                counts[w, half, toxic] += 1
-    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["word", "half", "toxic", "n"])
+            words = [EDGE.sub("", w) for w in (text or "").lower().split()]
+            if toxic:
+                for before, w in set(zip(["", *words], words, strict=False)):
+                    counts.update((f, half, 1, hash_of(before, w)) for f in forms(w))
+            counts.update((f, half, toxic, -1) for f in {f for w in set(words) for f in forms(w)})
+    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["word", "half", "toxic", "context", "n"])
+
+
+def forms(word: str) -> list[str]:
+    """A word and its beginnings."""
+    return ([word] if 1 < len(word) <= 24 else []) + [word[:n] + "*" for n in (4, 5, 6) if len(word) > n]
+
+
+def hash_of(before: str, word: str) -> int:
+    return zlib.crc32(f"{before} {word}".encode())
 
 
 def lexicon(counts: dict[str, np.ndarray], documents: np.ndarray, halves: list[int]) -> dict[str, float]:
-    """Weights of words from their counts [half, toxic]: log odds whose lower confidence limit is above 1."""
+    """Weights of words from their counts [half, toxic]: log odds whose lower 99 per cent confidence limit is above a half."""
     total = documents[halves].sum(0)
     found = {}
     for w, n in counts.items():
         clean, toxic = n[halves].sum(0)
+        toxic = min(toxic, total[1])
         if toxic >= 3:
             a, b, c, d = toxic + 0.5, total[1] - toxic + 0.5, clean + 0.5, total[0] - clean + 0.5
             odds = np.log(a / b * d / c)
-            if odds - 1.64 * np.sqrt(1 / a + 1 / c) > 1 and toxic > clean:
+            if odds - 2.33 * np.sqrt(1 / a + 1 / c) > 0.5 and toxic > clean:
                 found[w] = float(min(odds, 6.0) / 6.0)
     return found
 
@@ -167,7 +183,10 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         sizes[r["half"], r["toxic"]] = r["count"]
     if not sizes[:, 1].sum():
         return {}, np.array([0.0, 0.0, 0.0, 0.0, -4.0])
-    counted = rows.mapInPandas(word_counts, "word string, half int, toxic int, n long")
+    counted = rows.mapInPandas(word_counts, "word string, half int, toxic int, context long, n long")
+    contexts = counted.groupBy("word", "half", "toxic", "context").agg(F.sum("n").alias("n"))
+    counted = contexts.groupBy("word", "half", "toxic").agg(F.sum(F.when(F.col("context") < 0, F.col("n"))).alias("n"), F.count_if(F.col("context") >= 0).alias("contexts"))
+    counted = counted.withColumn("n", F.when(F.col("toxic") == 1, F.least("n", "contexts")).otherwise(F.col("n")))
     kept = (
         counted.groupBy("word")
         .agg(*(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)))
