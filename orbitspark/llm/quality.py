@@ -29,7 +29,7 @@ ALPHA, DELTA = 0.01, 0.05
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), all long; a null text has none of any."""
+    """(doc_id, text_hash, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), counts long; a null text has none of any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaces = " \t\n\x0b\x0c\r"
     has_word = f"[^{spaces}]"
@@ -37,6 +37,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
         F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"),
         words.alias("words"),
         F.char_length(F.translate(text, spaces, "")).cast("long").alias("word_chars"),
@@ -58,6 +59,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         .withColumn("starts", F.sort_array(F.filter(again, lambda x: x.isNotNull())))
         .select(
             "doc_id",
+            "text_hash",
             "stratum",
             F.size("words").cast("long").alias("n_words"),
             "word_chars",
@@ -122,3 +124,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ~strict)
     )
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """docs without the rows that the rules reject; all columns stay. The verdict is of the id and the text together."""
+    kept = quality_verdicts(docs, labels, id_col, text_col, stratum_col).where("kept").select(F.xxhash64("doc_id", "text_hash").alias("__kept")).distinct()
+    row = F.xxhash64(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn("__row", row).join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

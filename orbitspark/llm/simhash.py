@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitspark.llm.common import components, written
@@ -87,13 +87,17 @@ def fuzzy_keys(prints: np.ndarray) -> list[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of each row's whole text."""
+    """(doc_id, fp, h1, h2): the 64-bit fingerprint of each row's whole text, and 96 bits of hash of the id and text."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"), *row_hash(id_col, text_col))
+
+
+def row_hash(id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.xxhash64(id_col, text_col).alias("h1"), F.hash(text_col, id_col).alias("h2")
 
 
 def links(distinct: DataFrame, cap: int = 64) -> DataFrame:
@@ -121,6 +125,16 @@ def links(distinct: DataFrame, cap: int = 64) -> DataFrame:
     return near.union(close)
 
 
+def grouped_rows(docs: DataFrame, id_col: str, text_col: str, width: int, cap: int) -> DataFrame:
+    """(doc_id, fp, h1, h2, root, component_id): a row per input row; root is the smallest fingerprint of its group."""
+    prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(links(distinct.select("fp"), cap))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = 64) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id (the smallest id reachable over links, itself included).
 
@@ -128,22 +142,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id keeps its place in its group; a group of null ids only has a null component_id. An empty table gives
     no rows. Other columns are never read. Exact copies are one fingerprint before any join.
     """
-    prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct.select("fp"), cap))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return grouped_rows(docs, id_col, text_col, width, cap).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = 64) -> DataFrame:
-    """docs without all but one row of each near-duplicate group, the one with the smallest id.
+    """docs with one row of each near-duplicate group: that of the smallest id, null ids last.
 
-    Rows that repeat that id are told apart by a hash of the row, and rows wholly equal by one of them. Groups of null ids keep
-    one row. All columns of docs are returned as they were.
+    Of rows that share this id, the one with the smaller hash stays; of rows equal in id and text, one. All columns stay as they were.
     """
-    groups = simhash_groups(docs, id_col, text_col, width, cap).select("doc_id", "component_id").distinct()
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    named = docs.join(keep, docs[id_col] == keep["__kept_id"], "left_semi")
-    alone = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return named.dropDuplicates([id_col]).unionByName(alone)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    kept = grouped_rows(docs, id_col, text_col, width, cap).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.h1").alias("__h1"), F.col("k.h2").alias("__h2"))
+    h1, h2 = row_hash(id_col, text_col)
+    return docs.withColumns({"__h1": h1, "__h2": h2}).join(kept, ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"]).drop("__h1", "__h2")

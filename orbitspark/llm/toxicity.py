@@ -37,8 +37,8 @@ FUNCTION_WORDS = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS)
 REACH, NEGATED, QUOTED, ADDRESSED, THREAT_WEIGHT = 3, 0.4, 0.6, 1.25, 2.0
 CLAUSE_END = re.compile(r"[.!?;:…]+[\"')\]]*\Z")
 EDGE = re.compile(r"^\W+|\W+\Z")
-#: Labelled rows that are learned from at most, and features of the lexicon at most.
-MOST_ROWS, MOST_FEATURES = 16_000, 20_000
+#: Labelled rows that are learned from at most, and candidates for the lexicon at most.
+MOST_ROWS, MOST_FEATURES = 16_000, 50_000
 NAMES = ("total", "highest", "clauses", "density")
 SCORES = "doc_id long, total double, highest double, clauses double, density double"
 
@@ -113,21 +113,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold each word or beginning, by half and label (context -1), and its contexts in toxic ones.
+def toxic_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Toxic documents that hold each word or beginning, by half (context -1), and its contexts.
 
     A context is the word before and the word. Copies of a document have the same contexts, so that a word which only
     copies share doesn't look frequent.
     """
     counts: Counter = Counter()
     for b in batches:
-        for text, half, toxic in zip(b["text"], b["half"], b["toxic"], strict=True):
+        for text, half in zip(b["text"], b["half"], strict=True):
             words = [EDGE.sub("", w) for w in (text or "").lower().split()]
-            if toxic:
-                for before, w in set(zip(["", *words], words, strict=False)):
-                    counts.update((f, half, 1, hash_of(before, w)) for f in forms(w))
-            counts.update((f, half, toxic, -1) for f in {f for w in set(words) for f in forms(w)})
-    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["word", "half", "toxic", "context", "n"])
+            for before, w in set(zip(["", *words], words, strict=False)):
+                counts.update((f, half, hash_of(before, w)) for f in forms(w))
+            counts.update((f, half, -1) for f in {f for w in set(words) for f in forms(w)})
+    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["word", "half", "context", "n"])
+
+
+def clean_forms(candidates):
+    """Clean documents that hold each of the candidates, by half."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for b in batches:
+            for text, half in zip(b["text"], b["half"], strict=True):
+                words = {EDGE.sub("", w) for w in (text or "").lower().split()}
+                counts.update((f, half) for f in {f for w in words for f in forms(w)} & candidates.value)
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["word", "half", "n"])
+
+    return of
 
 
 def forms(word: str) -> list[str]:
@@ -140,7 +153,7 @@ def hash_of(before: str, word: str) -> int:
 
 
 def lexicon(counts: dict[str, np.ndarray], documents: np.ndarray, halves: list[int]) -> dict[str, float]:
-    """Weights of words from their counts [half, toxic]: log odds whose lower 99 per cent confidence limit is above a half."""
+    """Weights of words from their counts [half, toxic]: log odds whose lower 99 per cent confidence limit is above 1.5."""
     total = documents[halves].sum(0)
     found = {}
     for w, n in counts.items():
@@ -149,7 +162,7 @@ def lexicon(counts: dict[str, np.ndarray], documents: np.ndarray, halves: list[i
         if toxic >= 3:
             a, b, c, d = toxic + 0.5, total[1] - toxic + 0.5, clean + 0.5, total[0] - clean + 0.5
             odds = np.log(a / b * d / c)
-            if odds - 2.33 * np.sqrt(1 / a + 1 / c) > 0.5 and toxic > clean:
+            if odds - 2.33 * np.sqrt(1 / a + 1 / c) > 1.5 and toxic > clean:
                 found[w] = float(min(odds, 6.0) / 6.0)
     return found
 
@@ -183,18 +196,16 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         sizes[r["half"], r["toxic"]] = r["count"]
     if not sizes[:, 1].sum():
         return {}, np.array([0.0, 0.0, 0.0, 0.0, -4.0])
-    counted = rows.mapInPandas(word_counts, "word string, half int, toxic int, context long, n long")
-    contexts = counted.groupBy("word", "half", "toxic", "context").agg(F.sum("n").alias("n"))
-    counted = contexts.groupBy("word", "half", "toxic").agg(F.sum(F.when(F.col("context") < 0, F.col("n"))).alias("n"), F.count_if(F.col("context") >= 0).alias("contexts"))
-    counted = counted.withColumn("n", F.when(F.col("toxic") == 1, F.least("n", "contexts")).otherwise(F.col("n")))
-    kept = (
-        counted.groupBy("word")
-        .agg(*(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)))
-        .where("n01 + n11 >= 3 and n01 + n11 > n00 + n10")
-        .orderBy(F.desc(F.expr("n01 + n11 - n00 - n10")), "word")
-        .limit(MOST_FEATURES)
-    )
-    counts = {r["word"]: np.array([[r["n00"], r["n01"]], [r["n10"], r["n11"]]], float) for r in kept.collect()}
+    toxic = rows.where("toxic = 1").mapInPandas(toxic_forms, "word string, half int, context long, n long")
+    contexts = toxic.groupBy("word", "half", "context").agg(F.sum("n").alias("n"))
+    by_half = contexts.groupBy("word", "half").agg(F.least(F.sum(F.when(F.col("context") < 0, F.col("n"))), F.count_if(F.col("context") >= 0)).alias("n"))
+    both = by_half.groupBy("word").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
+    kept = both.where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(MOST_FEATURES).collect()
+    counts = {r["word"]: np.array([[0, r["n0"]], [0, r["n1"]]], float) for r in kept}
+    candidates = spark.sparkContext.broadcast(frozenset(counts))
+    clean = rows.where("toxic = 0").mapInPandas(clean_forms(candidates), "word string, half int, n long")
+    for r in clean.groupBy("word", "half").agg(F.sum("n").alias("n")).collect():
+        counts[r["word"]][r["half"], 0] = r["n"]
     # each half is scored by the other's words
     scorers = spark.sparkContext.broadcast([Scorer(lexicon(counts, sizes, [1])), Scorer(lexicon(counts, sizes, [0]))])
 
@@ -207,14 +218,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return lexicon(counts, sizes, [0, 1]), logistic(got[:, :4], got[:, 4])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted, clauses, total): a row per input row.
-
-    score is the probability of label 1, predicted whether it reaches the threshold, clauses how many clauses matched,
-    total their scores' sum. Null and empty texts match nothing and get the score of such texts. Null ids are scored
-    like others. Labels that are null or neither 0 nor 1, or of held-out ids, are never used; an id with both labels
-    counts as 1. Without a usable toxic label nothing matches and all scores are low.
-    """
+def scored_by(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
+    """A function of a text column: a struct of score, clauses and total, by a model learned from docs and labels."""
     spark = docs.sparkSession
     words, weights = learned(docs, labels, id_col, text_col)
     shared = spark.sparkContext.broadcast((Scorer(words), weights))
@@ -226,5 +231,23 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         z = squeezed(x) @ w[:-1] + w[-1]
         return pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(z, -30, 30))), "clauses": x[:, 2].astype("int64"), "total": x[:, 0]})
 
+    return of
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """(doc_id, held_out, score, predicted, clauses, total): a row per input row.
+
+    score is the probability of label 1, predicted whether it reaches the threshold, clauses how many clauses matched,
+    total their scores' sum. Null and empty texts match nothing and get the score of such texts. Null ids are scored
+    like others. Labels that are null or neither 0 nor 1, or of held-out ids, are never used; an id with both labels
+    counts as 1. Without a usable toxic label nothing matches and all scores are low.
+    """
+    of = scored_by(docs, labels, id_col, text_col)
     scored = docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("s"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"), "s.clauses", "s.total")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """docs without the rows of a score of at least threshold; all columns stay."""
+    of = scored_by(docs, labels, id_col, text_col)
+    return docs.where(of(F.col(text_col))["score"] < threshold)
