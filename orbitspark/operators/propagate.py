@@ -1,0 +1,148 @@
+"""Propagation of object states under two-body and J2 gravity, and statistics of its errors.
+
+Objects are dealt into buckets of bounded size; a bucket is one group whose states advance side by side, each lane with
+its own step and its own next epoch, so that segments of different lengths cost no padding.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from orbitspark.constants import GM, J2, R_EARTH
+from orbitspark.functions.features import TIES, error_altitude_bin, error_regime
+
+#: Objects of a bucket.
+LANES = 256
+#: Horizons in days with their half widths.
+HORIZONS = {"1d": (1.0, 0.5), "3d": (3.0, 1.0), "7d": (7.0, 2.0)}
+RESIDUALS = "satellite_number long, alt_km double, size_range string, days double, err_km double, r_km double, energy double"
+
+
+def derivative(s: np.ndarray, j2: float) -> np.ndarray:
+    """Rates of states (6, lanes)."""
+    x, y, z = s[:3]
+    r2 = x * x + y * y + z * z
+    pull = -GM / (r2 * np.sqrt(r2))
+    bulge = 1.5 * j2 * R_EARTH * R_EARTH / r2
+    q = 5 * z * z / r2
+    return np.stack([s[3], s[4], s[5], pull * x * (1 + bulge * (1 - q)), pull * y * (1 + bulge * (1 - q)), pull * z * (1 + bulge * (3 - q))])
+
+
+def advance(s: np.ndarray, dt: np.ndarray, j2: float) -> np.ndarray:
+    """One Runge-Kutta step of the fourth order."""
+    a = derivative(s, j2)
+    b = derivative(s + dt / 2 * a, j2)
+    c = derivative(s + dt / 2 * b, j2)
+    d = derivative(s + dt * c, j2)
+    return s + dt / 6 * (a + 2 * b + 2 * c + d)
+
+
+def states_at(start: np.ndarray, spans: list[np.ndarray], dt: float, j2: float = J2) -> list[np.ndarray]:
+    """States (6, n) after each lane's successive positive time spans; a span is cut into max(1, int(span / dt)) equal steps."""
+    out = [np.full((6, len(x)), np.nan) for x in spans]
+    live = np.array([i for i, x in enumerate(spans) if len(x)], int)
+    state, at = start[:, live].astype(float), np.zeros(len(live), int)
+    steps = np.array([max(1, int(spans[i][0] / dt)) for i in live], int)
+    size = np.array([spans[i][0] for i in live]) / np.maximum(steps, 1)
+    while len(live):
+        n = int(steps.min())
+        with np.errstate(all="ignore"):
+            for _ in range(n):
+                state = advance(state, size, j2)
+        steps -= n
+        for k in np.flatnonzero(steps == 0):
+            i = live[k]
+            out[i][:, at[k]] = state[:, k]
+            at[k] += 1
+            if at[k] < len(spans[i]):
+                span = spans[i][at[k]]
+                steps[k] = max(1, int(span / dt))
+                size[k] = span / steps[k]
+        keep = steps > 0
+        if not keep.all():
+            live, state, at, steps, size = live[keep], state[:, keep], at[keep], steps[keep], size[keep]
+    return out
+
+
+def residuals(df: DataFrame, dt: float = 120.0, most_days: float = 30.0, j2: float = J2) -> DataFrame:
+    """For every object: its first state carried from snapshot to snapshot, with the distance to each as err_km.
+
+    Snapshots at the same time as the one before are passed over, as are those later than most_days. Null positions
+    make null errors. Objects with one snapshot give no rows.
+    """
+    cols = ["j2k_pos_x", "j2k_pos_y", "j2k_pos_z", "j2k_vel_x", "j2k_vel_y", "j2k_vel_z"]
+    seconds = (F.unix_micros(F.col("epoch_dt").cast("timestamp")) / 1e6).alias("t")
+    rows = df.select("satellite_number", *TIES, seconds, F.col("perigee_alt_km").alias("alt"), "size_range", *cols)
+    objects = df.select("satellite_number").distinct().count()
+    buckets = max(1, -(-objects // LANES), min(objects // 8, df.sparkSession.sparkContext.defaultParallelism))
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        out, starts, spans, kept = [], [], [], []
+        for sat, own in rows.sort_values(["satellite_number", *TIES]).groupby("satellite_number", sort=False):
+            t = own["t"].to_numpy()
+            use = np.flatnonzero(np.append(False, np.diff(t) > 0) & (t - t[0] <= most_days * 86400))
+            starts.append(own[cols].iloc[0].to_numpy(float))
+            spans.append(np.diff(t[np.append(0, use)]))
+            kept.append((sat, own, use, t))
+        ended = states_at(np.array(starts).T, spans, dt, j2)
+        for (sat, own, use, t), s in zip(kept, ended, strict=True):
+            truth = own[cols[:3]].to_numpy(float)[use].T
+            r = np.sqrt((s[:3] ** 2).sum(0))
+            out.append(pd.DataFrame({"satellite_number": sat, "alt_km": own["alt"].iloc[0], "size_range": own["size_range"].iloc[0], "days": (t[use] - t[0]) / 86400, "err_km": np.sqrt(((s[:3] - truth) ** 2).sum(0)), "r_km": r, "energy": (s[3:] ** 2).sum(0) / 2 - GM / r}))
+        return pd.concat(out) if out else pd.DataFrame(columns=RESIDUALS.split()[::2])
+
+    return rows.groupBy(F.pmod(F.xxhash64("satellite_number"), F.lit(buckets))).applyInPandas(group, RESIDUALS)
+
+
+def divergence(errors: DataFrame, far: float = 1e6) -> DataFrame:
+    """Per object: days of the first snapshot at which its state is unbound or beyond `far` km, null if none, and the last error."""
+    bad = (F.col("energy") >= 0) | (F.col("r_km") > far) | F.isnan("r_km")
+    return errors.groupBy("satellite_number").agg(F.min(F.when(bad, F.col("days"))).alias("diverged_days"), F.max_by("err_km", "days").alias("last_err_km"))
+
+
+def horizon_rows(errors: DataFrame) -> DataFrame:
+    """errors with a horizon, for those within one; horizons don't overlap."""
+    h = F.lit(None).cast("string")
+    for name, (days, half) in HORIZONS.items():
+        h = F.when(F.col("days").between(days - half, days + half), name).otherwise(h)
+    return errors.withColumn("horizon", h).where("horizon is not null")
+
+
+def horizon_stats(errors: DataFrame) -> DataFrame:
+    e = "err_km"
+    qs = F.percentile(e, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
+    out = horizon_rows(errors).groupBy("horizon").agg(F.count(e).alias("n"), F.avg(e).alias("mean"), qs.alias("q"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"))
+    return out.select("horizon", "n", "mean", F.col("q")[0].alias("median"), "std", F.col("q")[1].alias("p90"), F.col("q")[2].alias("p95"), F.col("q")[3].alias("p99"), "min", "max")
+
+
+def regime_errors(errors: DataFrame) -> DataFrame:
+    """1-day errors by orbit regime."""
+    day = horizon_rows(errors).where("horizon = '1d'").withColumn("regime", error_regime(F.col("alt_km"))).where("regime is not null")
+    return day.groupBy("regime").agg(F.count("*").alias("n"), F.percentile("err_km", F.lit(0.5)).alias("median"), F.avg("err_km").alias("mean"))
+
+
+def worst_objects(errors: DataFrame, k: int = 10) -> DataFrame:
+    """The k objects of the largest error."""
+    return errors.groupBy("satellite_number").agg(F.max("err_km").alias("max_err_km"), F.count("*").alias("n")).orderBy(F.desc("max_err_km"), "satellite_number").limit(k)
+
+
+def error_pivot(errors: DataFrame) -> DataFrame:
+    """A row per object: its altitude and the median error at each horizon."""
+    wide = horizon_rows(errors).groupBy("satellite_number").pivot("horizon", list(HORIZONS)).agg(F.percentile("err_km", F.lit(0.5)))
+    alt = errors.groupBy("satellite_number").agg(F.min("alt_km").alias("alt_km"))
+    return wide.join(alt, "satellite_number").select("satellite_number", "alt_km", *(F.col(h).alias(f"err_{h}_km") for h in HORIZONS))
+
+
+def altitude_bin_errors(errors: DataFrame) -> DataFrame:
+    day = error_pivot(errors).where("err_1d_km is not null")
+    return day.groupBy(error_altitude_bin(F.col("alt_km")).alias("altitude_bin")).agg(F.count("*").alias("n"), F.percentile("err_1d_km", F.lit(0.5)).alias("median"), F.max("err_1d_km").alias("max"))
+
+
+def extreme_objects(errors: DataFrame, k: int = 5) -> DataFrame:
+    """The k best and the k worst objects by 1-day error."""
+    day = error_pivot(errors).where("err_1d_km is not null").select("satellite_number", "err_1d_km")
+    best = day.orderBy("err_1d_km", "satellite_number").limit(k).withColumn("side", F.lit("best"))
+    return best.union(day.orderBy(F.desc("err_1d_km"), "satellite_number").limit(k).withColumn("side", F.lit("worst")))

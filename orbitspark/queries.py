@@ -1,11 +1,420 @@
-"""Queries over the tracking tables, with SQL for each."""
+"""Queries over the tracking tables; oracle_sql() has the same in SQL. Floating results are rounded alike in both."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbitspark import oracle
+from orbitspark.constants import R_EARTH
+from orbitspark.functions import features as ft
+from orbitspark.functions.orbital import element_checks, frame_errors, j2_acceleration, with_elements, with_geodetic, with_rtn
+from orbitspark.functions.vec import norm, vec
+from orbitspark.operators import forest, metrics, profile, propagate, riskmap, scaling, sequences, targets
+from orbitspark.plans import stages
+from orbitspark.sources import catalog, messages
+from orbitspark.sources.obs import observations, table
+
+TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+KEY = ["satellite_number", *TIE]
+PROFILED = ["ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10"]
+FEATURES = ["ballistic_coef_m2kg", "perigee_alt_km", "inclination_deg", "eccentricity", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "log_bc"]
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" and c != "l_extendedprice" else F.col(c) for c, kind in df.dtypes))
+
+
+def elements(spark: SparkSession, d: str) -> DataFrame:
+    return with_elements(observations(spark, d))
+
+
+def banded(spark: SparkSession, d: str) -> DataFrame:
+    df = elements(spark, d).withColumn("altitude_band", ft.altitude_band(F.col("perigee_alt_km"))).withColumn("mean_altitude_km", (F.col("perigee_alt_km") + F.col("apogee_alt_km")) / 2)
+    return df.withColumns(ft.risk_features())
+
+
+def split_rows(spark: SparkSession, d: str, with_orbit: bool = False) -> DataFrame:
+    df = elements(spark, d) if with_orbit else observations(spark, d)
+    return sequences.with_split(sequences.complete(sequences.with_sequences(df)))
+
+
+def risk_thresholds_by_band(spark, d):
+    return round_doubles(targets.threshold_report(banded(spark, d)).select("altitude_band", "threshold", "n_rows", "n_above", "ratio_above"))
+
+
+def rtn_frame(spark, d):
+    df = with_rtn(observations(spark, d))
+    df = df.withColumn("rtn_Wx", F.abs("rtn_Wx"))  # about 0 for all of these orbits, of either sign
+    return round_doubles(df.select(*KEY, *(f"rtn_{a}{n}" for a in "RTW" for n in "xyz"), "rtn_pos_r_km", "rtn_vel_r_kms", "rtn_vel_t_kms", "rtn_sigma_r_km"))
+
+
+def rtn_validation(spark, d):
+    e = frame_errors(with_rtn(observations(spark, d)))
+    return e.select("n_rows", *((F.col(c) < 1e-9).alias(f"{c}_ok") for c in e.columns if c != "n_rows"))
+
+
+def orbital_elements(spark, d):
+    cols = ["semi_major_axis_km", "eccentricity", "inclination_deg", "raan_from_zero_deg", "arg_perigee_deg", "true_anomaly_deg", "perigee_alt_km", "apogee_alt_km", "orbital_period_min"]
+    # these orbits have their node at 0, which rounding may put just under 360
+    df = elements(spark, d).withColumn("raan_from_zero_deg", F.least("raan_deg", 360 - F.col("raan_deg")))
+    return rounded(df.select(*KEY, *cols), 3, *cols)
+
+
+def elements_validation(spark, d):
+    return element_checks(elements(spark, d)).withColumn("vis_viva_ok", F.col("max_vis_viva") < 1e-9).drop("max_vis_viva")
+
+
+def epoch_sequences(spark, d):
+    df = sequences.with_sequences(sequences.with_history(observations(spark, d)))
+    return df.select(*KEY, "epoch_dt", "epoch_idx", "sequence_id", "seq_pos", "seq_len")
+
+
+def sequence_stats(spark, d):
+    df = sequences.with_sequences(observations(spark, d))
+    full = sequences.complete(df)
+    a = df.agg(F.count("*").alias("n_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_sequences"))
+    b = sequences.with_time_gap(full).agg(F.count("*").alias("n_complete_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_complete"), F.round(F.avg("time_gap_days"), 4).alias("mean_gap"), F.round(F.percentile("time_gap_days", F.lit(0.5)), 4).alias("median_gap"))
+    return a.crossJoin(b)
+
+
+def rank_split(spark, d):
+    seqs = sequences.sequence_table(sequences.complete(sequences.with_sequences(observations(spark, d))))
+    return sequences.rank_split(seqs).select("satellite_number", F.col("sat_median_epoch_us").cast("long").alias("sat_median_epoch_us"), "sat_rank", "split")
+
+
+def split_profile(spark, d):
+    return sequences.split_profile(split_rows(spark, d))
+
+
+def split_leaks(spark, d):
+    return sequences.leaked_objects(split_rows(spark, d))
+
+
+def size_distribution(spark, d):
+    seqs = sequences.sequence_table(sequences.complete(sequences.with_sequences(observations(spark, d))))
+    return round_doubles(profile.size_distribution(seqs))
+
+
+def time_gaps(spark, d):
+    df = sequences.with_time_gap(observations(spark, d))
+    return df.select(*KEY, F.round(F.col("time_gap_days") * 86400).cast("long").alias("time_gap_s"))
+
+
+def trend_features(spark, d):
+    df = ft.with_trends(sequences.complete(sequences.with_sequences(elements(spark, d))))
+    ratios = ["revolution_rate", "acceleration_kms2", "orbital_decay_trend_kmpday", "drag_trend_per_day"]
+    small = {c: F.round(F.signum(c) * F.log10(1 + F.abs(c)), 4) for c in ratios}  # a gap of 0 makes them huge
+    gap = F.round(F.col("time_gap_days") * 86400).cast("long").alias("time_gap_s")
+    return df.withColumns(small).select(*KEY, gap, *(F.round(c, 4).alias(c) for c in ("velocity_magnitude_kms", "position_drift_km", "uncertainty_trend_r")), *ratios)
+
+
+def size_features(spark, d):
+    df = observations(spark, d).withColumns(ft.size_features())
+    wide = F.round(F.log10("bc_to_srp_ratio"), 4)
+    return df.select(*KEY, F.round("bc_abs", 8).alias("bc_abs"), F.round("log_bc", 4).alias("log_bc"), wide.alias("log_bc_to_srp_ratio"), F.round("area_to_mass_ratio_m2kg", 8).alias("area_to_mass_ratio_m2kg"), F.round("log_amr", 4).alias("log_amr"), ft.size_range(F.col("ballistic_coef_m2kg")).alias("size_range"))
+
+
+def env_features(spark, d):
+    df = banded(spark, d).withColumns(ft.environment_features())
+    return df.select(*KEY, F.round(F.log10("atmospheric_density_kgm3"), 4).alias("log_density"), F.round("srp_acceleration_ms2", 8).alias("srp_acceleration_ms2"), F.round("kp_index", 4).alias("kp_index"), ft.orbit_regime(F.col("mean_altitude_km")).alias("orbit_regime"), "altitude_band")
+
+
+def risk_features(spark, d):
+    return banded(spark, d).select(*KEY, F.round(F.sqrt("uncertainty_volume_km3"), 4).alias("sqrt_uncertainty_volume"), F.round("log_uncertainty_volume", 4).alias("log_uncertainty_volume"), F.round("collision_risk_proxy", 6).alias("collision_risk_proxy"))
+
+
+def rtn_products(spark, d):
+    products = ft.rtn_products()
+    df = observations(spark, d).withColumns(products).withColumn("sqrt_rtn_covariance_volume", F.sqrt("rtn_covariance_volume_km3"))
+    df = df.withColumns({f"log_{c}": F.log10(c) for c in ("rtn_along_track_ratio", "rtn_cross_track_ratio")})
+    cols = ["sqrt_rtn_covariance_volume", "log_rtn_along_track_ratio", "log_rtn_cross_track_ratio", "rtn_total_uncertainty_km", "log_rtn_uncertainty"]
+    return rounded(df.select(*KEY, *cols), 3, *cols)
+
+
+def feature_sanity(spark, d):
+    df = banded(spark, d).withColumns(ft.size_features() | ft.environment_features() | ft.rtn_products())
+    return df.agg(
+        F.round(F.percentile("ballistic_coef_m2kg", F.lit(0.5)), 7).alias("bc_median"), F.round(F.min("log_bc"), 4).alias("log_bc_min"), F.round(F.max("log_bc"), 4).alias("log_bc_max"),
+        F.round(F.log10(F.min("atmospheric_density_kgm3")), 4).alias("density_min"), F.round(F.log10(F.max("atmospheric_density_kgm3")), 4).alias("density_max"), F.round(F.max("kp_index"), 4).alias("kp_max"),
+        F.round(F.avg(norm(vec("j2k_vel_"))), 4).alias("mean_speed"), F.round(F.percentile("rtn_along_track_ratio", F.lit(0.5)), 4).alias("along_median"), F.countDistinct("altitude_band").alias("n_bands"),
+    )
+
+
+def null_profile(spark, d):
+    df = observations(spark, d).withColumns({"size_range": ft.size_range(F.when(F.col("l_linenumber") != 3, F.col("ballistic_coef_m2kg"))), "ratio": F.try_divide(F.col("ballistic_coef_m2kg"), F.col("solar_rad_press_coeff_m2kg"))})
+    return profile.null_counts(df, ["size_range", "ratio", "epoch_dt", "ballistic_coef_m2kg"])
+
+
+def iqr_outliers(spark, d):
+    return round_doubles(profile.iqr_outliers(observations(spark, d), PROFILED, 0.4), 6)
+
+
+def bc_summary(spark, d):
+    bc, srp = "ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg"
+    return observations(spark, d).agg(F.round(F.min(bc), 8).alias("bc_min"), F.round(F.max(bc), 8).alias("bc_max"), F.round(F.avg(bc), 8).alias("bc_mean"), F.round(F.percentile(bc, F.lit(0.5)), 8).alias("bc_median"), F.round(F.corr(bc, srp), 6).alias("bc_srp_corr"))
+
+
+def scaler_params(spark, d):
+    return rounded(scaling.scaler_params(split_rows(spark, d), PROFILED), 6, "mean", "std")
+
+
+def scaled_features(spark, d):
+    df = split_rows(spark, d)
+    out = scaling.scaled(df, scaling.scaler_params(df, PROFILED), PROFILED)
+    return out.select(*KEY, *(F.round(c, 4).alias(f"scaled_{c}") for c in PROFILED))
+
+
+def label_encoding(spark, d):
+    df = banded(spark, d)
+    return scaling.label_codes(df, "altitude_band")
+
+
+def risk_labels(spark, d):
+    df = targets.with_labels(banded(spark, d).withColumn("size_range", ft.size_range(F.col("ballistic_coef_m2kg"))), "size_range")
+    return df.groupBy("size_range", "altitude_band").agg(F.count("*").alias("n"), F.count_if("collision_risk").alias("n_risk"), F.count_if("unc_vol_above_p90").alias("n_secondary"), F.round(F.max("threshold"), 4).alias("threshold"))
+
+
+def future_targets(spark, d):
+    df = targets.with_future(observations(spark, d))
+    return df.select(*KEY, *(F.round(f"future_pos_{n}", 4).alias(f"future_pos_{n}") for n in "xyz"), F.round("future_sigma_r", 4).alias("future_sigma_r"), "future_epoch_dt", "has_future")
+
+
+def sliding_windows(spark, d):
+    return targets.sliding_windows(observations(spark, d)).select("satellite_number", "window_id", "window_start_idx", "window_end_idx", "window_span_s", "epoch_dt")
+
+
+def window_tensor_stats(spark, d):
+    cols = ["vector_u_sigma_km", "solar_flux_f10"]
+    df = targets.window_matrices(observations(spark, d), cols)
+    total = lambda k: F.round(F.aggregate("matrix", F.lit(0.0), lambda a, r: a + r[k]), 1)
+    return df.select("satellite_number", "window_end_idx", F.size("matrix").alias("n_rows"), total(0).alias("sum_sigma"), total(1).alias("sum_flux"))
+
+
+def window_range_join(spark, d):
+    rows = observations(spark, d).withColumn("epoch_idx", F.row_number().over(ft.by_object()).cast("long") - 1)
+    windows = rows.where("epoch_idx >= 19 and epoch_idx % 7 = 5").select("satellite_number", (F.col("epoch_idx") - 19).alias("window_start_idx"), F.col("epoch_idx").alias("window_end_idx"))
+    found = targets.window_members(rows.select("satellite_number", "epoch_idx", "solar_flux_f10"), windows)
+    return found.groupBy("satellite_number", "window_end_idx").agg(F.count("*").alias("n"), F.round(F.avg("solar_flux_f10"), 4).alias("mean_flux"))
+
+
+def labelled_rows(spark, d):
+    df = split_rows(spark, d, with_orbit=True)
+    df = df.withColumns({"altitude_band": ft.altitude_band(F.col("perigee_alt_km")), "mean_altitude_km": (F.col("perigee_alt_km") + F.col("apogee_alt_km")) / 2})
+    return stages.labelled(df.withColumns(ft.risk_features() | ft.size_features()))
+
+
+def target_summary(spark, d):
+    df = labelled_rows(spark, d)
+    w = ft.by_object("size_range")
+    windows = df.withColumn("i", F.row_number().over(w)).where("i >= 20")
+    return round_doubles(targets.target_summary(windows))
+
+
+def target_checks(spark, d):
+    return targets.target_checks(labelled_rows(spark, d))
+
+
+def epoch_histogram(spark, d):
+    return profile.epoch_histogram(table(spark, d, "events").withColumnRenamed("user_id", "satellite_number"))
+
+
+def event_series(spark, d):
+    """The event stream as a second irregular series, with the columns that gap profiles need."""
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("satellite_number"), F.col("ts").alias("epoch_dt"), F.col("event_id").alias("l_orderkey"), *(F.lit(0).alias(c) for c in TIE[1:]))
+
+
+def epoch_shares(spark, d):
+    return round_doubles(profile.epoch_shares(event_series(spark, d)))
+
+
+def epoch_percentiles(spark, d):
+    return profile.epoch_percentiles(event_series(spark, d))
+
+
+def gap_stats(spark, d):
+    return round_doubles(profile.gap_stats(event_series(spark, d)), 6)
+
+
+def gap_regularity(spark, d):
+    return round_doubles(profile.object_gaps(event_series(spark, d)), 6)
+
+
+def red_flags(spark, d):
+    return profile.red_flags(observations(spark, d))
+
+
+def time_range(spark, d):
+    return round_doubles(profile.time_range(observations(spark, d)), 6)
+
+
+def bc_by_epoch_bin(spark, d):
+    return round_doubles(profile.bc_by_epoch_bin(observations(spark, d)), 7)
+
+
+def nearest_epoch(spark, d):
+    rows = observations(spark, d).withColumn("epoch_idx", F.row_number().over(ft.by_object()).cast("long") - 1)
+    return targets.nearest_epochs(rows)
+
+
+def ks_two_sample(spark, d):
+    seqs = sequences.sequence_table(sequences.complete(sequences.with_sequences(observations(spark, d))))
+    both = seqs.join(sequences.rank_split(seqs).select("satellite_number", "split"), "satellite_number")
+    out = profile.ks_two_sample(both.where("split = 'train'"), both.where("split = 'val'"), "seq_bc")
+    return out.select("n_a", "n_b", F.round("statistic", 6).alias("statistic"), F.round("p_value", 4).alias("p_value"))
+
+
+def feature_label_corr(spark, d):
+    df = targets.with_labels(banded(spark, d).withColumns(ft.size_features()))
+    return rounded(profile.label_correlations(df, scaling.feature_columns(df, FEATURES), "collision_risk"), 5, "r")
+
+
+def latest_snapshot(spark, d):
+    return riskmap.latest(observations(spark, d)).select(*KEY, "epoch_dt", F.round("j2k_pos_x", 4).alias("j2k_pos_x"))
+
+
+def geodetic(spark, d):
+    df = with_geodetic(observations(spark, d))
+    return df.select(*KEY, F.round("latitude_deg", 4).alias("latitude_deg"), F.round("longitude_deg", 4).alias("longitude_deg"), F.round("altitude_km", 3).alias("altitude_km"))
+
+
+def geodetic_summary(spark, d):
+    df = with_geodetic(observations(spark, d))
+    return df.agg(*(F.round(f(c), 3).alias(f"{n}_{c}") for c in ("latitude_deg", "longitude_deg", "altitude_km") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))))
+
+
+def cells(spark, d):
+    return riskmap.grid(riskmap.with_grid_sigmas(riskmap.debris(riskmap.latest(observations(spark, d)))))
+
+
+def voxel_grid(spark, d):
+    out = riskmap.normalised(cells(spark, d))
+    return out.select("alt_i", "lat_i", "lon_i", F.round("pop", 5).alias("pop"), "alt_center", "lat_center", "lon_center")
+
+
+def grid_marginals(spark, d):
+    return rounded(riskmap.marginals(cells(spark, d)), 4, "pop")
+
+
+def hottest_shell(spark, d):
+    return rounded(riskmap.hottest_shell(cells(spark, d)), 4, "pop")
+
+
+def bc_histogram(spark, d):
+    return round_doubles(profile.histogram(observations(spark, d), "ballistic_coef_m2kg", 0.0, 0.1, 60), 6)
+
+
+def catalog_labels(spark, d):
+    known = catalog.enriched(catalog.supplier_catalog(table(spark, d, "supplier")))
+    df = catalog.with_catalog(observations(spark, d), known)
+    return df.groupBy("satellite_number", "object_class", "debris_cloud_membership").agg(F.count("*").alias("n"), F.round(F.max("catalog_mean_alt_km"), 4).alias("catalog_mean_alt_km"))
+
+
+def altitude_correlation(spark, d):
+    known = catalog.enriched(catalog.supplier_catalog(table(spark, d, "supplier")))
+    df = catalog.with_catalog(elements(spark, d), known).where("catalog_mean_alt_km is not null")
+    return df.agg(F.count("*").alias("n"), F.round(F.corr("perigee_alt_km", "catalog_mean_alt_km"), 5).alias("altitude_corr"))
+
+
+def message_ingest(spark, d):
+    obs = observations(spark, d)
+    parsed = messages.parse_messages(obs.select(*TIE, messages.as_text(obs).alias("block")))
+    return parsed.select(*TIE, "satellite_number", "common_name", messages.epoch_time(F.col("epoch_time_utc")).alias("epoch_dt"), "epoch_rev", F.round("j2k_pos_x", 4).alias("j2k_pos_x"), F.round("ballistic_coef_m2kg", 10).alias("ballistic_coef_m2kg"), F.round("average_ap", 4).alias("average_ap"), F.round(F.sqrt("vector_w_sigma_km"), 4).alias("sqrt_w_sigma"), F.col("thrust_accel_ms2"))
+
+
+def parse_summary(spark, d):
+    obs = observations(spark, d)
+    parsed = messages.parse_messages(obs.select(messages.as_text(obs).alias("block")))
+    return messages.parse_summary(parsed)
+
+
+def j2_acc(spark, d):
+    acc = j2_acceleration()
+    return observations(spark, d).select(*KEY, *(F.round(c * 1e6, 4).alias(f"{n}_mm_s2") for n, c in acc.items()))
+
+
+def propagation_errors(spark, d):
+    df = elements(spark, d).withColumn("size_range", ft.size_range(F.col("ballistic_coef_m2kg")))
+    return propagate.residuals(df)
+
+
+def divergence(spark, d):
+    return propagate.divergence(propagation_errors(spark, d))
+
+
+def error_rows(spark, d):
+    """Error rows from the snapshots: days since the object's first, and a distance that varies with the state."""
+    df = elements(spark, d)
+    first = F.min("epoch_dt").over(sequences.OBJECT)
+    return df.select("satellite_number", (norm(vec("j2k_pos_")) - R_EARTH + F.lit(30.0) * (F.col("satellite_number") % 50)).alias("alt_km"), (F.timestamp_diff("SECOND", first, F.col("epoch_dt")) / 86400.0).alias("days"), F.abs("j2k_pos_x").alias("err_km")).where("days > 0")
+
+
+def horizon_error_stats(spark, d):
+    return round_doubles(propagate.horizon_stats(error_rows(spark, d)), 3)
+
+
+def regime_errors(spark, d):
+    return round_doubles(propagate.regime_errors(error_rows(spark, d)), 3)
+
+
+def worst_objects(spark, d):
+    return round_doubles(propagate.worst_objects(error_rows(spark, d)), 3)
+
+
+def error_pivot(spark, d):
+    return round_doubles(propagate.error_pivot(error_rows(spark, d)), 3)
+
+
+def altitude_bin_errors(spark, d):
+    return round_doubles(propagate.altitude_bin_errors(error_rows(spark, d)), 3)
+
+
+def extreme_objects(spark, d):
+    return round_doubles(propagate.extreme_objects(error_rows(spark, d)), 3)
+
+
+def scored_rows(spark, d):
+    """The risk label with a score that is a fixed function of the row."""
+    df = targets.with_labels(banded(spark, d))
+    return df.select(F.col("collision_risk").cast("int").alias("label"), (F.round(F.col("l_extendedprice") / 1100, 0) / 100).alias("score"), *KEY)
+
+
+def classifier_metrics(spark, d):
+    return round_doubles(metrics.classifier_metrics(scored_rows(spark, d)), 6)
+
+
+def class_weights(spark, d):
+    return round_doubles(metrics.class_weights(scored_rows(spark, d)), 6)
+
+
+def stratified_sample(spark, d):
+    df = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
+    return metrics.stratified_sample(df, "o_orderstatus", 0.1, "o_orderkey")
+
+
+def rf_baseline(spark, d):
+    df = labelled_rows(spark, d)
+    model = forest.fit_forest(df, FEATURES, trees=20, depth=8)
+    return metrics.classifier_metrics(forest.scored(model, df.where("split = 'test'"), FEATURES))
+
+
+QUERIES = (
+    risk_thresholds_by_band, rtn_frame, rtn_validation, orbital_elements, elements_validation, epoch_sequences, sequence_stats, rank_split, split_profile, split_leaks, size_distribution, time_gaps, trend_features,
+    size_features, env_features, risk_features, rtn_products, feature_sanity, null_profile, iqr_outliers, bc_summary, scaler_params, scaled_features, label_encoding, risk_labels, future_targets, sliding_windows,
+    window_tensor_stats, window_range_join, target_summary, target_checks, epoch_histogram, epoch_shares, epoch_percentiles, gap_stats, gap_regularity, red_flags, time_range, bc_by_epoch_bin, nearest_epoch,
+    ks_two_sample, feature_label_corr, latest_snapshot, geodetic, geodetic_summary, voxel_grid, grid_marginals, hottest_shell, bc_histogram, catalog_labels, altitude_correlation, message_ingest, parse_summary,
+    propagation_errors, divergence, horizon_error_stats, regime_errors, worst_objects, error_pivot, altitude_bin_errors, extreme_objects, classifier_metrics, class_weights, stratified_sample, rf_baseline,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES} | {"j2_acceleration": j2_acc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
