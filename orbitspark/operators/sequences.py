@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from orbitspark.constants import MIN_EPOCHS, SEQ_LEN, TRAIN_RATIO, VAL_RATIO
 from orbitspark.functions.features import by_object, seconds_since, size_range
 
-OBJECT = Window.partitionBy("satellite_number")
-
-
 def with_sequences(df: DataFrame, length: int = SEQ_LEN) -> DataFrame:
     """epoch_idx (from 0), sequence_id, seq_pos and seq_len."""
     df = df.repartition("satellite_number").withColumn("epoch_idx", F.row_number().over(by_object()).cast("long") - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitspark import oracle
@@ -350,7 +350,7 @@ def divergence(spark, d):
 def error_rows(spark, d):
     """Error rows from the snapshots: days since the object's first, and a distance that varies with the state."""
     df = elements(spark, d)
-    first = F.min("epoch_dt").over(sequences.OBJECT)
+    first = F.min("epoch_dt").over(Window.partitionBy("satellite_number"))
     return df.select("satellite_number", (norm(vec("j2k_pos_")) - R_EARTH + F.lit(30.0) * (F.col("satellite_number") % 50)).alias("alt_km"), (F.timestamp_diff("SECOND", first, F.col("epoch_dt")) / 86400.0).alias("days"), F.abs("j2k_pos_x").alias("err_km")).where("days > 0")
 
 
