@@ -161,7 +161,7 @@ FROM (SELECT *, coalesce(drev / (g + 1e-10), 0) AS revolution_rate, coalesce(dv,
   FROM (SELECT *, coalesce(date_sub('second', lag(epoch_dt) OVER o, epoch_dt) / 86400.0::DOUBLE, 0) AS g, epoch_rev - lag(epoch_rev) OVER o AS drev, v - lag(v) OVER s AS dv,
       sqrt((x - lag(x) OVER s) ** 2 + (y - lag(y) OVER s) ** 2 + (z - lag(z) OVER s) ** 2) AS drift, vector_u_sigma_km - lag(vector_u_sigma_km) OVER s AS du,
       semi_major_axis_km - lag(semi_major_axis_km) OVER s AS da, {BC} - lag({BC}) OVER s AS dbc FROM whole WINDOW o AS ({OBJ}), s AS ({SEQ})))"""),
-    "size_features": sql(f"SELECT {KEY}, round({BC} + 1e-10, 8) AS bc_abs, round(log_bc, 4) AS log_bc, round(log10({BC} / ({SRP} + 1e-10)), 4) AS log_bc_to_srp_ratio, round(({BC} + 1e-10) / {CD}, 8) AS area_to_mass_ratio_m2kg, round(log10(({BC} + 1e-10) / {CD} + 1e-10), 4) AS log_amr, row_size AS size_range FROM band"),
+    "size_features": sql(f"SELECT {KEY}, round({BC} + 1e-10, 8) AS bc_abs, round(log_bc, 4) AS log_bc, {z(f"round(log10({BC} / ({SRP} + 1e-10)), 4)")} AS log_bc_to_srp_ratio, round(({BC} + 1e-10) / {CD}, 8) AS area_to_mass_ratio_m2kg, round(log10(({BC} + 1e-10) / {CD} + 1e-10), 4) AS log_amr, row_size AS size_range FROM band"),
     "env_features": sql(f"SELECT {KEY}, round(log10({RHO}), 4) AS log_density, round({SRP} * solar_flux_f10 / 1361, 8) AS srp_acceleration_ms2, round((average_ap + 1) / 10, 4) AS kp_index, CASE WHEN mean_altitude_km < 2000 THEN 'LEO' WHEN mean_altitude_km < 35786 THEN 'MEO' ELSE 'GEO' END AS orbit_regime, altitude_band FROM band"),
     "risk_features": sql(f"SELECT {KEY}, round(sqrt(volume), 4) AS sqrt_uncertainty_volume, round(log_volume, 4) AS log_uncertainty_volume, round(volume / (mean_altitude_km * mean_altitude_km + 1), 6) AS collision_risk_proxy FROM band"),
     "rtn_products": sql(f"""
