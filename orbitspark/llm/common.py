@@ -17,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders by application, for local sessions that name no shared one.
+LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in LOCAL:
+        LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return LOCAL[app]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
