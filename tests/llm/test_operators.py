@@ -314,7 +314,7 @@ def plain_removal(rows, n=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("hot", "block"), [(64, 3_000_000), (0, 20_000)])
+@pytest.mark.parametrize(("hot", "block"), [(4096, 2_000_000), (1, 20_000)])
 def test_suffix_dedup_equals_brute_force(spark, hot, block):
     rows = documents()
     df = spark.createDataFrame(rows, "doc_id long, text string")
