@@ -145,12 +145,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return grouped_rows(docs, id_col, text_col, width, cap).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each root of grouped (doc_id, h1, h2, root)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    kept = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.h1").alias("__h1"), F.col("k.h2").alias("__h2"))
+    h1, h2 = row_hash(id_col, text_col)
+    return docs.withColumns({"__h1": h1, "__h2": h2}).join(kept, ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"]).drop("__h1", "__h2")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = 64) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id, null ids last.
 
     Of rows that share this id, the one with the smaller hash stays; of rows equal in id and text, one. All columns stay as they were.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
-    kept = grouped_rows(docs, id_col, text_col, width, cap).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.h1").alias("__h1"), F.col("k.h2").alias("__h2"))
-    h1, h2 = row_hash(id_col, text_col)
-    return docs.withColumns({"__h1": h1, "__h2": h2}).join(kept, ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"]).drop("__h1", "__h2")
+    return one_of_each(docs, grouped_rows(docs, id_col, text_col, width, cap), id_col, text_col)
