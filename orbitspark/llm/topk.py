@@ -50,6 +50,14 @@ def chosen_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[at]
 
 
+def starting_floor(ids: np.ndarray, vectors: np.ndarray, seen_ids: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the sample's rows of other ids; -inf where there are fewer."""
+    if len(seen) < k:
+        return np.full(len(ids), -np.inf)
+    known = np.where(ids[:, None] == seen_ids[None], -np.inf, vectors @ seen.T)
+    return np.sort(known, axis=1)[:, len(seen) - k]
+
+
 class Block:
     """A block of queries with their pivot distances and the k-th scores known so far."""
 
@@ -97,12 +105,14 @@ def top_k(
         "vec_id is not null and v is not null"
     )
     stored = written(stored, "vectors")
-    some = [r["v"] for r in stored.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").collect()]
+    some = [(r["vec_id"], r["v"]) for r in stored.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("vec_id", "v").collect()]
     if not some:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max({len(x) for x in some}, key=[len(x) for x in some].count)
+    lengths = [len(x) for _, x in some]
+    width = max(set(lengths), key=lengths.count)
     stored = stored.where(F.size("v") == width)
-    seen = np.array([x for x in some if len(x) == width], np.int64).reshape(-1, width)
+    seen = np.array([x for _, x in some if len(x) == width], np.int64).reshape(-1, width)
+    seen_ids = np.array([i for i, x in some if len(x) == width], np.int64)
     points = chosen_pivots(seen, pivots)
 
     def with_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,10 +132,7 @@ def top_k(
         if not part:
             continue
         ids, vectors = np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part], np.int64)
-        # k + 1: the sample may hold the query itself
-        known = np.sort(vectors @ seen.T, axis=1)[:, ::-1]
-        floor = known[:, k].astype(float) if known.shape[1] > k else np.full(len(ids), -np.inf)
-        shared = spark.sparkContext.broadcast(Block(ids, vectors, points, floor, k))
+        shared = spark.sparkContext.broadcast(Block(ids, vectors, points, starting_floor(ids, vectors, seen_ids, seen, k), k))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             asked_block, best = shared.value, [[] for _ in shared.value.ids]

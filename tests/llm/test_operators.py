@@ -184,6 +184,15 @@ def test_topk_elimination_is_exact():
         assert best[q] == want
 
 
+def test_topk_repeated_query_id(spark):
+    few = [(0, [1.0, 1.0]), (0, [1.0, 0.9]), *((i, [i / 16, 0.0]) for i in range(1, 6))]
+    many = [(0, [1.0, 1.0])] * 40 + [(i, [i / 256, 0.0]) for i in range(1, 81)]
+    for rows, best in ((few, [5, 4, 3, 2, 1]), (many, [80, 79, 78, 77, 76])):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == best
+
+
 # --- toxicity
 
 
