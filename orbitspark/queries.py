@@ -197,7 +197,7 @@ def window_tensor_stats(spark, d):
 
 def window_range_join(spark, d):
     rows = observations(spark, d).withColumn("epoch_idx", F.row_number().over(ft.by_object()).cast("long") - 1)
-    windows = rows.where("epoch_idx >= 19 and epoch_idx % 7 = 5").select("satellite_number", (F.col("epoch_idx") - 19).alias("window_start_idx"), F.col("epoch_idx").alias("window_end_idx"))
+    windows = rows.where("epoch_idx >= 19").select("satellite_number", (F.col("epoch_idx") - 19).alias("window_start_idx"), F.col("epoch_idx").alias("window_end_idx"))
     found = targets.window_members(rows.select("satellite_number", "epoch_idx", "solar_flux_f10"), windows)
     return found.groupBy("satellite_number", "window_end_idx").agg(F.count("*").alias("n"), F.round(F.avg("solar_flux_f10"), 4).alias("mean_flux"))
 
