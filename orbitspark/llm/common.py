@@ -19,13 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Temporary folders by application, for local sessions that name no shared one.
 LOCAL: dict[str, str] = {}
+#: Bytes of an Arrow batch on its way to Python: with few long texts a batch has few rows.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes, unless its own bound is lower."""
+    known = spark.conf.get(BATCH_SETTING, None)
+    if known is None or not known.isdigit() or int(known) > size:
+        spark.conf.set(BATCH_SETTING, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Unset, a local session takes a temporary one; others are refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in LOCAL:
         LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -38,7 +51,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written(), once nothing will read them again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -73,5 +96,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        before, now = now, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        erase(before)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
