@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with an Aho-Corasick automaton and backtracking over compatible tokens.
 
 The vocabulary's byte strings are read as Latin-1, so that the automaton of pyahocorasick holds them and finds the
-longest token that starts at a place of a piece. From there the encoder goes on while each next token is compatible with
-the one before, takes the next shorter token if not, and steps back where none is left, marking the place as one that
-no encoding passes. Two adjacent tokens are compatible if the merges, applied to their joined bytes,
+longest path of tokens that starts at a place of a piece. From there the encoder takes the longest token on that path
+that is compatible with the one before (memoised by token and path), and steps back where none is, marking the place as
+one that no encoding passes. Two adjacent tokens are compatible if the merges, applied to their joined bytes,
 give these two tokens back; that answer is memoised by pair. A sequence of pairwise compatible tokens is the one that
 the merges give, and each place is left at most once, so that the time is linear in the piece.
 """
@@ -20,13 +20,19 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from orbitspark.llm.common import batches_of
+
 #: Where a text can be cut if white space is irregular; else it is cut at each space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Marks that are a match of their own after letters.
+ENDS = frozenset(",.;:!?")
 #: Distinct words in a generation of what a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Ids decoded at a time.
+DECODED = 1 << 16
 
 
 class Loose(Exception):
@@ -40,21 +46,27 @@ class WordMemory(dict):
     encoded each for itself, with the single space before it.
     """
 
-    def __init__(self, encode_word: Callable[[str], bytes]):
+    def __init__(self, encode_word: Callable[[str], bytes], encode_match: Callable[[str], bytes]):
         super().__init__()
-        self.encode_word, self.old = encode_word, {}
+        self.encode_word, self.encode_match, self.old = encode_word, encode_match, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if word in ("", " ") or word[-1].isspace() or word[0] == " " and word[1].isspace():
+            if word.isalpha() or word[:1] == " " and word[1:].isalpha():  # one match
+                ids = self.encode_match(word)
+            elif word in ("", " ") or word[-1].isspace() or word[0] == " " and word[1].isspace():
                 raise Loose
-            ids = self.encode_word(word)
+            else:
+                ids = self.encode_word(word)
+        self.keep(word, ids)
+        return ids
+
+    def keep(self, word: str, ids: bytes) -> None:
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
         self[word] = ids
-        return ids
 
     def peek(self, word: str) -> bytes | None:
         return self.get(word) or self.old.get(word)
@@ -63,11 +75,13 @@ class WordMemory(dict):
         """The ids of a whole text, as little-endian unsigned 32-bit integers; null is read as empty."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        try:
-            return b"".join(map(self.__getitem__, [first, *[" " + w for w in rest]]))
-        except Loose:
-            return b"".join([self.peek(w) or self.encode_word(w) for w in CUT.split(text)])
+        if "\0" not in text:
+            # each word with the space before it
+            try:
+                return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
+            except Loose:
+                pass
+        return b"".join([self.peek(w) or self.encode_word(w) for w in CUT.split(text)])
 
 
 class ByteBPE:
@@ -79,6 +93,8 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.size = list(map(len, self.bytes_of))
+        self.sizes = np.array(self.size)
+        self.begins, self.joined_bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         trie = ahocorasick.Automaton()
@@ -92,12 +108,15 @@ class ByteBPE:
             trie.add_word(token.decode("latin-1"), rank)
         trie.make_automaton()
         self.trie, self.longest = trie, {}
+        self.most = max(map(len, ranks))
         self.shorter = [-1] * len(self.size)  # the next shorter token that begins a token
         for token, rank in ranks.items():
             if token.decode("latin-1") in trie:
                 self.shorter[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n].decode("latin-1") in trie), -1)
-        self.pairs: dict[int, bool] = {}
-        self.words = WordMemory(self.word)
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.size]
+        self.after: list[dict[str, int]] = [{} for _ in self.size]
+        self.known = 0
+        self.words = WordMemory(self.word, self.match)
 
     def merged(self, token: bytes, below: int) -> list[int]:
         """The ids that merges of a rank under `below` leave of a byte string."""
@@ -110,91 +129,120 @@ class ByteBPE:
         return [ranks[x] for x in ids]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the joined bytes of two tokens leaves just these two.
+        """Whether merging the joined bytes of two tokens leaves just these two; the answer is remembered.
 
         Undoing merges from the later one on: at each step the two tokens that face each other at the border must not
         merge before the later of them was made.
         """
-        if (known := self.pairs.get(left << 32 | right)) is not None:
-            return known
-        a, b, bound, good = left, right, len(self.bytes_of), True
+        good = self.pairs[left].get(right)
+        if good is None:
+            self.remember()
+            good = self.pairs[left][right] = self.undone(left, right)
+        return good
+
+    def undone(self, a: int, b: int) -> bool:
+        bound = len(self.bytes_of)
         while True:
             rank = self.joined.get((a, b))
             if rank is not None and rank < bound:
-                good = False
-                break
+                return False
             undo_left, undo_right = a in self.parts, b in self.parts
             if not undo_left and not undo_right:
-                break
+                return True
             if undo_left and (not undo_right or a > b):
                 a, bound = self.parts[a][1], a
             else:
                 b, bound = self.parts[b][0], b + 1
-        if len(self.pairs) > 2 * REMEMBERED:
-            self.pairs.clear()
-        self.pairs[left << 32 | right] = good
-        return good
+
+    def remember(self) -> None:
+        """Counts what is remembered of tokens' neighbours, and forgets it all when it is too much."""
+        self.known += 1
+        if self.known > 2 * REMEMBERED:
+            self.known = 0
+            for x in (*self.pairs, *self.after):
+                x.clear()
+
+    def follow(self, left: int, path: str) -> int:
+        """The longest token on a path of the trie that is compatible with the one before, or -1; remembered in after."""
+        token = self.along(path)
+        while token >= 0 and not self.compatible(left, token):
+            token = self.shorter[token]
+        self.remember()
+        self.after[left][path] = token
+        return token
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        latin, size, pairs, shorter, longest, deepest = piece.decode("latin-1"), self.size, self.pairs, self.shorter, self.longest, self.trie.longest_prefix
-        at, end, closed = 0, len(latin), set()
-        ids: list[int] = []
-        path = latin[: deepest(latin)]
-        token = longest.get(path)
-        if token is None:
-            token = self.along(path)
-        while True:
-            to = at + size[token]
-            if to in closed:
-                good = False
-            elif ids:
-                good = pairs.get(ids[-1] << 32 | token)
-                if good is None:
-                    good = self.compatible(ids[-1], token)
-            else:
-                good = True
-            if good:
-                ids.append(token)
-                at = to
-                if at == end:
-                    return ids
-                rest = latin[at:]
-                path = rest[: deepest(rest)]
-                token = longest.get(path)
-                if token is None:
-                    token = self.along(path)
-                continue
-            token = shorter[token]
+        latin, size, after, deepest, most = piece.decode("latin-1"), self.size, self.after, self.trie.longest_prefix, self.most
+        token = self.along(latin[: deepest(latin[:most])])
+        ids, at, end, closed = [token], size[token], len(latin), set()
+        while at < end:
+            # no path of the trie is longer than its longest token
+            rest = latin[at : at + most]
+            path = rest[: deepest(rest)]
+            token = after[ids[-1]].get(path)
+            if token is None:
+                token = self.follow(ids[-1], path)
+            if closed and token >= 0 and at + size[token] in closed:
+                token = self.next_shorter(ids, token, at, closed)
             while token < 0:  # none is left: the place is closed, and the token before it gives way
                 closed.add(at)
                 token = ids.pop()
                 at -= size[token]
-                token = shorter[token]
+                token = self.next_shorter(ids, token, at, closed)
+            ids.append(token)
+            at += size[token]
+        return ids
+
+    def next_shorter(self, ids: list[int], token: int, at: int, closed: set[int]) -> int:
+        """The next shorter token at a place that fits the one before it and leads to no closed place, or -1."""
+        token = self.shorter[token]
+        while token >= 0 and (at + self.size[token] in closed or ids and not self.compatible(ids[-1], token)):
+            token = self.shorter[token]
+        return token
 
     def along(self, path: str) -> int:
         """The longest token on a path of the trie, remembered by path (the trie bounds their number)."""
-        n = len(path)
-        while path[:n] not in self.trie:
-            n -= 1
-        token = self.longest[path] = self.trie.get(path[:n])
+        token = self.longest.get(path)
+        if token is None:
+            n = len(path)
+            while path[:n] not in self.trie:
+                n -= 1
+            token = self.longest[path] = self.trie.get(path[:n])
         return token
 
     def word(self, text: str) -> bytes:
-        """Ids of the matches of the pattern in a text."""
-        if text.isalpha() or text[0] == " " and text[1:].isalpha():  # one match
-            return array("I", self.piece(text.encode())).tobytes()
-        known = self.words.peek
-        return b"".join([known(m) or array("I", self.piece(m.encode())).tobytes() for m in self.pattern.findall(text)])
+        """Ids of the matches of the pattern in a text; each match is remembered too, as more words are made of it."""
+        words, out = self.words, []
+        ends = text[-1] in ENDS and (text[:-1].isalpha() or text[0] == " " and text[1:-1].isalpha())
+        for m in (text[:-1], text[-1]) if ends else self.pattern.findall(text):
+            ids = words.peek(m)
+            if ids is None:
+                ids = self.match(m)
+                if len(m) <= self.most:
+                    words.keep(m, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def match(self, text: str) -> bytes:
+        return array("I", self.piece(text.encode())).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null is read as empty."""
         return self.words.encode(text)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        out, all_ids = [], np.frombuffer(ids, "<u4")
+        for i in range(0, len(all_ids), DECODED):
+            some = all_ids[i : i + DECODED]
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.begins[some] - (ends - sizes), sizes)
+            at += np.arange(len(at))
+            out.append(self.joined_bytes[at].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(2)
@@ -206,7 +254,12 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:
-    """Column of a text's token ids, as binary of little-endian unsigned 32-bit integers. Null gives no ids."""
+    """Column of a text's token ids, as binary of little-endian unsigned 32-bit integers.
+
+    Null and empty texts give no ids; texts are encoded whole, in time linear in their matches of the pattern. It is a
+    column of its row alone, so that repeated rows and other columns play no part.
+    """
+    batches_of(SparkSession.active())
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
