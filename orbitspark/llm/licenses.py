@@ -1,19 +1,24 @@
 """License scan by MinHash bands over overlapping word windows, then exact shingle containment; DataFrame operations only.
 
-Words are lower-cased and freed of punctuation. Texts and templates are cut into windows of four 5-word shingles that
-overlap by half; a window's MinHash under each of two permutations is a band of one row. Equal windows collide in
-every band with certainty, and a template of m >= 7 shingles, of which 80 per cent are present, keeps a run of at least 6
-in a row, as each changed word takes 5 shingles: such a run holds a whole window of the text, and templates have a
-window at every place. Templates of fewer shingles than a window are retrieved by single shingles, those of fewer than
-five words by their whole sequence. So retrieval misses none. Retrieved pairs are verified: the largest number of
-distinct template shingles within a stretch of 1.25 times the template's length, by the number of its shingles.
+Words are lower-cased and freed of punctuation. Each word is hashed once, and the hash of a 5-word shingle is made from
+those of its words. Texts are cut into windows of four shingles that overlap by half; templates have a window at every
+place. The smallest and the largest hash of a window are its MinHashes under two opposite orders, each a band of one
+row. Two windows of Jaccard similarity j share a given band with probability j, so at least one of the two with
+probability j or more (about 1 - (1 - j)^2), and equal windows share both with certainty.
+
+A template of m >= 7 shingles, of which 80 per cent are present, keeps a run of at least 6 in a row, as each changed
+word takes 5 shingles: such a run holds a whole window of the text, so that it is retrieved with certainty. Templates
+of fewer shingles than a window are retrieved by single shingles, those of fewer than five words by their whole
+sequence. Retrieved pairs are verified on the words themselves: the largest number of distinct template shingles within
+a stretch of 1.25 times the template's length, by the number of its shingles. All this happens within a row, so that
+nothing but results is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitspark.llm.common import WORD_BREAK
@@ -33,7 +38,9 @@ TEMPLATES = {
 }
 #: Characters taken out of words.
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#/\\_-"
-WIDTH, WINDOW, STEP, BANDS, LEAST = 5, 4, 2, 2, 0.8
+WIDTH, WINDOW, STEP, LEAST = 5, 4, 2, 0.8
+#: Templates of a call at most, so that what is sent to every task is bounded.
+MOST_TEMPLATES = 500
 NO_LONGS = "cast(array() as array<bigint>)"
 
 
@@ -48,69 +55,102 @@ def template_shingles(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def words_of(text: Column) -> Column:
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
+    """Words without punctuation, in lower case."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[" + re.escape(PUNCTUATION) + "]+", "")
     return F.filter(F.split(plain, WORD_BREAK), lambda w: w != "")
 
 
-def shingle_hashes(words: Column, width: int) -> Column:
-    """xxhash64 of each shingle's words."""
-    each = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*(words[i + j] for j in range(width))))
-    return F.when(F.size(words) >= width, each).otherwise(F.expr(NO_LONGS))
+def shingle_hashes(table: DataFrame, widths: list[int]) -> DataFrame:
+    """table (with words) with a column h<k> for each width: hashes of the k-word shingles, made of the words' own."""
+    table = table.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
 
+    def joined(a: int, b: int) -> Column:
+        """Shingles of a and then b words."""
+        n = F.greatest(F.size("h1") - (a + b - 1), F.lit(0))
+        return F.zip_with(F.slice(F.col(f"h{a}"), 1, n), F.slice(F.col(f"h{b}"), F.lit(a + 1), n), lambda x, y: F.xxhash64(x, y))
 
-def permuted(h: Column, band: int) -> Column:
-    return F.xxhash64(h, F.lit(band))
+    for k in range(2, WIDTH + 1):
+        # 4 = 2 + 2, else one word more
+        if k in widths or k in (2, 4) and max(widths) > k:
+            table = table.withColumn(f"h{k}", joined(2, 2) if k == 4 else joined(k - 1, 1))
+    return table
 
 
-def window_keys(hashes: Column, step: int) -> Column:
-    """Band keys of the windows that begin at every step-th shingle."""
-    starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW, F.lit(step))
-    keys = F.transform(starts, lambda i: F.array(*(permuted(F.least(*(permuted(hashes[i + j], b) for j in range(WINDOW))), b) for b in range(BANDS))))
-    return F.when(F.size(hashes) >= WINDOW, F.flatten(keys)).otherwise(F.expr(NO_LONGS))
+def window_keys(hashes: Column, step: int) -> tuple[Column, Column]:
+    """The two bands of the windows that begin at every step-th shingle: their smallest and their largest hashes."""
+    starts = F.sequence(F.lit(1), F.size(hashes) - WINDOW + 1, F.lit(step))
 
+    def band(pick) -> Column:
+        return F.when(F.size(hashes) >= WINDOW, F.transform(starts, lambda i: pick(F.slice(hashes, i, WINDOW)))).otherwise(F.expr(NO_LONGS))
 
-def template_table(spark, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(template, key) of the templates' retrieval keys, and (template, shingle, width, total) of their distinct shingles."""
+    return band(F.array_min), band(F.array_max)
+
+
+def template_keys(spark: SparkSession, templates: dict[str, str]) -> dict[str, dict[int, list[str]]]:
+    """Templates by retrieval key, for each column that keys are looked up in: h<k>, low and high."""
     shingles = template_shingles(templates)
-    rows = [(name, s.split(" "), len(s.split(" ")), len(set(all_)), len(all_)) for name, all_ in shingles.items() for s in all_]
-    table = spark.createDataFrame(rows, "template string, words array<string>, width int, total int, count int")
-    whole = spark.createDataFrame([(n, re.split(" ", s[0]) + [x.split(" ")[-1] for x in s[1:]], len(s)) for n, s in shingles.items()], "template string, words array<string>, count int")
-    of_width = [table.where(F.col("width") == k).withColumn("hash", shingle_hashes(F.col("words"), k)[0]) for k in range(1, WIDTH + 1)]
-    hashed = of_width[0]
-    for t in of_width[1:]:
-        hashed = hashed.unionByName(t)
-    single = hashed.where(F.col("count") < WINDOW).select("template", F.col("hash").alias("key"))
-    banded = whole.where(F.col("count") >= WINDOW).withColumn("h", shingle_hashes(F.col("words"), WIDTH)).select("template", F.explode(window_keys(F.col("h"), 1)).alias("key"))
-    return single.union(banded).distinct(), hashed.select("template", "hash", "width", "total", "count").distinct()
+    rows = [(n, " ".join([s[0], *(x.rsplit(" ", 1)[-1] for x in s[1:])]).split(" ")) for n, s in shingles.items()]
+    widths = sorted({min(WIDTH, len(w)) for _, w in rows} | {WIDTH})
+    table = shingle_hashes(spark.createDataFrame(rows, "template string, words array<string>").coalesce(1), widths)
+    low, high = window_keys(F.col(f"h{WIDTH}"), 1)
+    found: dict[str, dict[int, list[str]]] = {c: {} for c in (*(f"h{k}" for k in widths), "low", "high")}
+    for r in table.withColumns({"low": low, "high": high}).collect():
+        n = len(r["words"])
+        columns = ("low", "high") if n - WIDTH + 1 >= WINDOW else (f"h{min(WIDTH, n)}",)
+        for c in columns:
+            for key in r[c]:
+                found[c].setdefault(key, []).append(r["template"])
+    return {c: keys for c, keys in found.items() if keys}
+
+
+def looked_up(keys: Column, by_key: Column) -> Column:
+    return F.flatten(F.transform(keys, lambda k: F.element_at(by_key, k)))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, template, containment, first_word): the templates of which at least `least` is within a text.
 
     containment is the best stretch's share of the template's distinct shingles, first_word where the earliest such
-    stretch begins, counted in words from 0. Texts are scanned whole. Rows that repeat an id are one document's rows and
-    reported once, with the best; a null id is reported as null; null, empty and wordless texts match nothing. Other columns are
-    never read. Templates are a small fixed list, which is broadcast.
+    stretch begins, counted in words from 0. Texts are scanned whole. Each row is verified by itself; rows that repeat
+    an id are one document's rows and reported once, with the best, ties to the earliest word; a null id is reported as
+    null; null, empty and wordless texts match nothing, and an empty table gives no rows. Other columns are never read.
+    Templates are a small fixed list (at most MOST_TEMPLATES), which goes to every task.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    keys, shingles = template_table(spark, templates)
-    widths = sorted({len(s[0].split(" ")) for s in template_shingles(templates).values()} | {WIDTH})
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    hashed = words.select("doc_id", *(shingle_hashes(F.col("words"), k).alias(f"h{k}") for k in widths))
-    wanted = F.concat(*(F.col(f"h{k}") for k in widths), window_keys(F.col(f"h{WIDTH}"), STEP))
-    retrieved = hashed.withColumn("row", F.xxhash64(f"h{WIDTH}")).select("doc_id", "row", *(f"h{k}" for k in widths), F.explode(wanted).alias("key")).join(F.broadcast(keys), "key")
-    pairs = retrieved.groupBy("doc_id", "row", "template").agg(*(F.first(f"h{k}").alias(f"h{k}") for k in widths))
-    places = pairs.select("doc_id", "row", "template", F.explode(F.array(*(F.struct(F.lit(k).alias("width"), F.col(f"h{k}").alias("h")) for k in widths))).alias("w"))
-    places = places.select("doc_id", "row", "template", F.col("w.width").alias("width"), F.posexplode("w.h").alias("at", "hash"))
-    held = places.join(F.broadcast(shingles), ["template", "width", "hash"])
-    stretch = F.ceil(1.25 * F.col("count")).cast("int")
-    by_place = Window.partitionBy("doc_id", "row", "template").orderBy("at")
-    sizes = sorted({-(-5 * len(s) // 4) for s in template_shingles(templates).values()})
-    best = F.lit(0)
-    for n in sizes:
-        inside = F.size(F.collect_set("hash").over(by_place.rangeBetween(0, n - 1)))
-        best = F.when(stretch == n, inside).otherwise(best)
-    scored = held.withColumn("containment", best / F.col("total"))
-    found = scored.where(F.col("containment") >= least).groupBy("doc_id", "template").agg(F.max(F.struct("containment", (-F.col("at")).alias("at"))).alias("best"))
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    shingles = template_shingles(templates)
+    keys = template_keys(spark, templates) if shingles else {}
+    widths = sorted({len(x[0].split(" ")) for x in shingles.values()} | {WIDTH})
+    hashed = shingle_hashes(docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")), widths)
+    low, high = window_keys(F.col(f"h{WIDTH}"), STEP)
+    bands = {"low": low, "high": high}
+    met = [F.expr("cast(array() as array<string>)")]
+    for c, of in keys.items():
+        shared = F.array_intersect(bands.get(c, F.col(c)), F.array(*map(F.lit, sorted(of))))
+        by_key = F.create_map(*(x for key, names in of.items() for x in (F.lit(key), F.array(*map(F.lit, sorted(set(names)))))))
+        met.append(looked_up(shared, by_key))
+    retrieved = hashed.select("doc_id", "words", F.array_distinct(F.concat(*met)).alias("met"))
+    # the filter is on what explode_outer gives: one on met would be pushed down and have the hashes made again
+    pairs = retrieved.select("doc_id", "words", F.explode_outer("met").alias("template")).where("template is not null")
+    rows = [(t, len(x[0].split(" ")), sorted(set(x)), -(-5 * len(x) // 4)) for t, x in shingles.items()]
+    sized = spark.createDataFrame(rows, "template string, width int, shingles array<string>, stretch int")
+    return verified(pairs.join(F.broadcast(sized), "template"), least)  # at most MOST_TEMPLATES rows
+
+
+def verified(pairs: DataFrame, least: float) -> DataFrame:
+    """The best stretch of each retrieved pair of a row and a template, if it holds at least `least` of the template."""
+    starts = F.when(F.size("words") >= F.col("width"), F.sequence(F.lit(0), F.size("words") - F.col("width"))).otherwise(F.expr("cast(array() as array<int>)"))
+    each = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, F.col("width")), " ").alias("shingle")))
+    held = pairs.withColumn("hits", F.filter(each, lambda x: F.array_contains("shingles", x["shingle"]))).drop("words")
+
+    def stretch_from(x: Column, j: Column) -> Column:
+        # a stretch of n words has at most n hits, those right after its first
+        inside = F.filter(F.slice("hits", j + 1, F.col("stretch")), lambda y: y["at"] < x["at"] + F.col("stretch"))
+        share = F.size(F.array_distinct(F.transform(inside, lambda y: y["shingle"]))) / F.size("shingles")
+        return F.struct(share.alias("containment"), (-x["at"]).alias("at"))
+
+    best = held.select("doc_id", "template", F.array_max(F.transform("hits", stretch_from)).alias("best"))
+    found = best.groupBy("doc_id", "template").agg(F.max("best").alias("best")).where(F.col("best.containment") >= least)
     return found.select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("long").alias("first_word"))
