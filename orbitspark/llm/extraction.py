@@ -3,7 +3,9 @@
 A page is read into blocks, each with its open elements. A linear classifier over a block's containers, link share,
 length and punctuation gives a logit; its soft costs are the capacities to the two terminals, content and boilerplate.
 Blocks next to each other, and blocks that follow one another in one container, are tied by edges that weaken with
-their distance in the document tree. The minimum cut, found by maximum flow, is the labelling of least total cost.
+their distance in the document tree. The minimum cut, found by maximum flow, is the labelling of least total cost: short
+lines that the classifier alone would drop stay with the paragraphs around them, and the other way round. Containers
+that name themselves (article, nav, a class of adverts) weigh more than edges can, so that the cut decides the rest.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BOILER = set("nav header footer aside form menu dialog fieldset".split())
 #: Elements whose text the tokeniser skips up to their end tag.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg"
+#: Attributes of a tag, and its end. A quote opens a value only after "="; one that never closes is a plain character. Nothing
+#: is tried twice, so that reading is linear in the page whatever it holds; a tag that the page cuts off takes the rest.
+INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z|(?P<text>[^<]+|<)""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{INSIDE}(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>{INSIDE})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -34,54 +39,96 @@ AGAINST = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|side-?bar|side|widgets?|related|recommend\w*|share|sharing|social|menu|nav\w*|breadcrumbs?|foot(?:er)?|head(?:er|bar)?|masthead|topbar|comments?|comment-?list|replies|reply|respond|disqus|newsletter|subscribe|signup|login|search|toc|pagination|pager|tags?|copyright|legal|disclaimer|toolbar|skip\w*|form|contentinfo|complementary|navigation)(?:$|[^a-z])"
 )
 FOR = re.compile(r"(?:^|[^a-z])(?:article\w*|content|post|entry|body|main|story|text|prose)(?:$|[^a-z])")
-#: Weight of an edge between neighbours, and of one between blocks that follow each other in a container.
-BESIDE, AKIN = 1.0, 0.5
+#: Names of parts that stay out however much text they hold.
+NEVER = re.compile(r"(?:^|[^a-z])(?:comments?|comment-?list|replies|reply|respond|disqus)(?:$|[^a-z])")
+#: The classifier: weights of a container's evidence, and of a block's own.
+SECTION, BOILERPLATE, NAMED_AGAINST, NAMED_FOR = 5.0, -9.0, -9.0, 1.5
+BIAS, BY_LENGTH, MOST_LENGTH, LINKED, ENDED, HEADED, LEGAL, UNSEEN = -1.0, 1 / 80, 2.5, -4.0, 0.5, 0.5, -3.0, -60.0
+#: Weight of an edge between neighbours, halved by each step between them in the tree, and of one between blocks that
+#: follow one another in a container.
+BESIDE, AKIN = 4.0, 1.0
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A wrapper that holds more than this share of a page's unlinked text is the page's frame, and its name says nothing.
+FRAME = 0.5
 
 
-def container_logit(tag: str, names: str, inside_content: bool) -> float:
-    """What an open element says of the blocks in it."""
-    logit = 0.0
-    if tag in ("article", "main"):
-        logit += 4
-    elif tag in BOILER:
-        logit -= 2 if tag == "header" and inside_content else 9
-    if names:
-        if AGAINST.search(names) and tag not in ("body", "html", "article", "main"):
-            logit -= 9
-        elif FOR.search(names):
-            logit += 2
-    return logit
+class Node:
+    """An open element: its parent, depth, evidence, unlinked characters within, and what its ancestors and it say."""
+
+    __slots__ = ("tag", "parent", "depth", "evidence", "damped", "mass", "logit")
+
+    def __init__(self, tag: str, parent: Node | None, evidence: float = 0.0, damped: bool = False):
+        self.tag, self.parent, self.evidence, self.damped = tag, parent, evidence, damped
+        self.depth, self.mass, self.logit = parent.depth + 1 if parent else 0, 0, 0.0
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "logit", "tag")
+    __slots__ = ("text", "linked", "node")
+
+    def __init__(self, text: str, linked: int, node: Node):
+        self.text, self.linked, self.node = text, linked, node
+
+
+def evidence_of(tag: str, names: str, inside_content: bool) -> tuple[float, bool]:
+    """What an open element says of the blocks in it, and whether that is void if it holds most of the page."""
+    if tag in SILENT:
+        return UNSEEN, False
+    if names and NEVER.search(names):
+        return NAMED_AGAINST, False
+    if tag in ("article", "main"):
+        return SECTION, False
+    if tag in BOILER:
+        return -2.0 if tag == "header" and inside_content else BOILERPLATE, tag == "form"
+    if names and tag not in ("body", "html"):
+        if AGAINST.search(names):
+            return NAMED_AGAINST, True
+        if FOR.search(names):
+            return NAMED_FOR, False
+    return 0.0, False
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], logit: float, tag: str):
-        self.text, self.linked, self.path, self.logit, self.tag = text, linked, path, logit, tag
 
+def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
+    """Blocks in page order, and the elements around them, parents first.
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order. Unclosed elements end with their container; a cut-off tag, comment or script is dropped."""
+    Unclosed elements end with their container; a cut-off tag, comment or script is dropped. Every step is constant or
+    pays for an element that it closes, so that time is linear in the page.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, element number, logit so far, inside content
+    root = Node("", None)
+    nodes, stack = [root], [root]  # the stack holds inline elements too; only blocks are nodes of the tree
+    boxes = [root]
+    inside = [False]  # by box: whether within article or main
     parts: list[str] = []
-    linked = made = links = 0
+    at: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
+    box_at = [0]
+    linked = silent = 0  # silent: open inline elements of which no text is read
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                boxes = [s for s in stack if s[0] in BLOCK or not s[0]]
-                out.append(Block(text, linked, tuple(s[1] for s in boxes), boxes[-1][2], boxes[-1][0]))
+                out.append(Block(text, linked, boxes[-1]))
+                boxes[-1].mass += max(0, len(text) - linked)
             parts.clear()
         linked = 0
 
+    def pop() -> None:
+        nonlocal silent
+        tag = stack.pop().tag
+        at[tag].pop()
+        silent -= tag in SILENT and tag not in BLOCK
+        if tag in BLOCK:
+            boxes.pop()
+            inside.pop()
+            box_at.pop()
+
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
+            if silent:
+                continue
             parts.append(text)
-            if links:
+            if at.get("a"):
                 linked += len(text.strip())
             continue
         tag = m["tag"]
@@ -94,49 +141,66 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK:
             close()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            # an inline end tag doesn't reach beyond its block
+            if at.get(tag) and (tag in BLOCK or at[tag][-1] > box_at[-1]):
+                for _ in range(len(stack) - at[tag][-1]):
+                    pop()
         elif tag not in VOID:
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") or tag in BLOCK and stack[-1][0] not in BLOCK:
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") or tag in BLOCK and stack[-1].tag not in BLOCK:
                 ends = {"p", *HEADINGS} if tag == "p" else {tag, "p"}
-                while len(stack) > 1 and (stack[-1][0] in ends and (tag != "li" or stack[-1][0] != "ul") or stack[-1][0] not in BLOCK and any(s[0] in ends for s in stack[1:])):
-                    links -= stack[-1][0] == "a"
-                    stack.pop()
-            made += 1
+                while len(stack) > 1 and (stack[-1].tag in ends or stack[-1].tag not in BLOCK and any(at.get(t) for t in ends)):
+                    pop()
             rest = m["rest"]
-            names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)).lower() if rest and "=" in rest else ""
-            _, _, logit, inside = stack[-1]
-            stack.append((tag, made, logit + container_logit(tag, names, inside) - (30 if tag in SILENT else 0), inside or tag in ("article", "main")))
-            links += tag == "a"
+            if tag in BLOCK:
+                names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)).lower() if rest and "=" in rest else ""
+                node = Node(tag, boxes[-1], *evidence_of(tag, names, inside[-1]))
+                nodes.append(node)
+                box_at.append(len(stack))
+                boxes.append(node)
+                inside.append(inside[-1] or tag in ("article", "main"))
+            else:
+                node = Node(tag, boxes[-1])
+                silent += tag in SILENT
+            at.setdefault(tag, []).append(len(stack))
+            stack.append(node)
     close()
-    return out
+    return out, nodes
+
+
+def weighed(nodes: list[Node]) -> None:
+    """Adds up texts from the leaves, and evidence from the root, of which a frame's is void."""
+    for n in reversed(nodes):
+        if n.parent:
+            n.parent.mass += n.mass
+    whole = nodes[0].mass
+    for n in nodes:
+        void = n.damped and n.mass > FRAME * whole
+        n.logit = (n.parent.logit if n.parent else 0.0) + (0.0 if void else n.evidence)
 
 
 def block_logit(b: Block) -> float:
     """The classifier: positive for content."""
     n = len(b.text)
-    logit = b.logit - 0.5 + min(2.0, n / 100) - 4.0 * min(1.0, b.linked / n)
+    logit = b.node.logit + BIAS + min(MOST_LENGTH, n * BY_LENGTH) + LINKED * min(1.0, b.linked / n)
     if b.text[-1] in ".!?…\"'”»":
-        logit += 0.7
-    if b.tag in HEADINGS:
-        logit += 1.0
-    if b.text[0] == "©" or "all rights reserved" in b.text.lower():
-        logit -= 2.0
+        logit += ENDED
+    if b.node.tag in HEADINGS:
+        logit += HEADED
+    if b.node.logit < SECTION and (b.text[0] == "©" or "all rights reserved" in b.text.lower()):
+        logit += LEGAL
     return logit
 
 
-def tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
+def tree_distance(a: Node, b: Node) -> int:
+    """Steps between two elements. Over neighbours in page order the sum of them is at most twice the elements."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def minimum_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -203,25 +267,26 @@ def minimum_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[
                 used[a] += 1
 
 
-def labelled(page: str | None) -> list[tuple[str, bool]]:
-    """(text, whether content) of each block of a page, in order."""
-    blocks = blocks_of(page) if page else []
+def labelled(page: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, whether content by the cut, whether by the classifier alone) of each block of a page, in order."""
+    blocks, nodes = blocks_of(page) if page else ([], [Node("", None)])
+    weighed(nodes)
     logits = [block_logit(b) for b in blocks]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, BESIDE / (1 + tree_distance(blocks[i - 1].path, b.path))))
-        box = b.path[:-1]
+            edges.append((i - 1, i, BESIDE * 0.5 ** tree_distance(blocks[i - 1].node, b.node)))
+        box = b.node.parent
         if (j := last.get(box, i - 1)) < i - 1:
             edges.append((j, i, AKIN))
         last[box] = i
     soft = lambda x: math.log1p(math.exp(-abs(x))) + max(x, 0)
     kept = minimum_cut([soft(x) for x in logits], [soft(-x) for x in logits], edges)
-    return [(b.text, k) for b, k in zip(blocks, kept, strict=True)]
+    return [(b.text, k, x > 0) for b, k, x in zip(blocks, kept, logits, strict=True)]
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(text for text, content in labelled(page) if content)
+    return " ".join(text for text, content, _ in labelled(page) if content)
 
 
 def extracted(page: Column) -> Column:
