@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitspark.llm.common import partitions, written
+from orbitspark.llm.common import batches_of, partitions, written
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -32,13 +32,13 @@ def byte_letters() -> dict[str, int]:
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     """Encoder for the byte-level vocabulary of a `tokenizers` file; ids are those that `tokenizers` gives, at a third of its time.
 
-    A special token's string in a text is ordinary text.
+    As there, a special token's string in a text is that token.
     """
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    letters, special = byte_letters(), {t["content"] for t in file["added_tokens"]}
+    letters, special = byte_letters(), {t["content"]: t["id"] for t in file["added_tokens"]}
     ranks = {bytes(map(letters.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def binary_lengths(n: int, limit: int = 2048) -> list[int]:
@@ -51,15 +51,17 @@ def split_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, l
     """One row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit).
 
     A document's tokens are its ids and then end_id, so that a null or empty text makes one piece of one token. Rows
-    that repeat an id, or have none, are packed each. Texts are encoded whole, whatever their length.
+    that repeat an id, or have none, are packed each. Texts are encoded whole, whatever their length. An empty table
+    gives no rows; other columns are never read.
     """
+    batches_of(docs.sparkSession)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = encoder(path, pattern)
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                ids = array("I", code.encode_ordinary(text) if text else [])
+                ids = array("I", code.encode(text, allowed_special="all") if text else [])
                 ids.append(end_id)
                 blob, n, at = memoryview(ids).cast("B"), len(ids), 0
                 for k in binary_lengths(n, limit):
@@ -74,11 +76,11 @@ def split_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, l
 def number_sequences(pieces: DataFrame) -> DataFrame:
     """pieces with sequence_id (long, from 0 without gaps, buckets of one length together) and offset (0: a piece fills its sequence).
 
-    Rows are numbered within slices of a bucket, by hash, and the slices' counts, at most 12 a partition, give each
-    slice its first number; so no bucket goes to one task.
+    Rows are dealt out in turn to slices, written with them, and numbered within their slice; the slices' counts, at
+    most 12 a partition, give each slice its first number. So no bucket goes to one task, nor do rows of one id or none.
     """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(partitions(spark))).cast("int")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(partitions(spark))).cast("int")
     sliced = written(pieces.withColumn("slice", salt), "pieces")
     counts = sliced.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.orderBy("length", "slice").rowsBetween(Window.unboundedPreceding, -1)
