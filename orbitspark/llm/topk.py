@@ -6,8 +6,9 @@ of the score q.x. Within a batch, candidates of a query are evaluated in the ord
 the first bound under its k-th best score so far; ties in the bound are evaluated. The k-th best score starts from the
 pivot sample, so that elimination works from the first batch on.
 
-Queries go in blocks of bounded size, each broadcast to one pass over the stored vectors; every task returns at most k
-rows a query, and a window by query merges them. Scores are exact integers.
+Queries go in blocks of bounded size, one after another: a block is broadcast to one pass over the stored vectors, its
+result is written, and the block is released. Every task returns at most k rows a query, and a window by query merges
+them. Scores are exact integers; where products could pass 64 bits they are summed as unbounded ones.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitspark.llm.common import written
+from orbitspark.llm.common import batches_of, written
 
 SCHEMA = "query_id long, vec_id long, score long"
-#: Slack for rounding of distances, relative and absolute; a bound is only ever loosened by it.
-SLACK = 1e-9
+#: Slack of a bound relative to the squared lengths, which only ever loosens it: for rounding while all sums of squares
+#: are exact in 64-bit floats, and where they aren't (a difference of two near distances then loses half the digits).
+SLACK, WIDE_SLACK, EXACT = 1e-9, 1e-6, 2.0**52
+#: Bound of a component times the scale, and of a score.
+MOST = 2.0**62
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component as array<long>; null where the vector or a component is null or not finite."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    return F.when(vector.isNotNull() & ~bad, F.transform(wide, lambda x: F.when(F.abs(x * F.lit(float(scale))) < MOST, F.floor(x * F.lit(float(scale))).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for scores of 64 bits")).cast("long"))))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -39,6 +43,16 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
 
 
+def scores_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with those of y, or with the one vector y, exact."""
+    if x.shape[-1] * float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) < MOST:
+        return x @ y.T
+    found = x.astype(object) @ y.T.astype(object)
+    if np.abs(found).max(initial=0) >= 1 << 63:
+        raise OverflowError("a score does not fit 64 bits")
+    return found.astype(np.int64)
+
+
 def chosen_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """n rows of a sample, each the farthest from those before it."""
     if not len(sample):
@@ -54,7 +68,7 @@ def starting_floor(ids: np.ndarray, vectors: np.ndarray, seen_ids: np.ndarray, s
     """The k-th best score of each query among the sample's rows of other ids; -inf where there are fewer."""
     if len(seen) < k:
         return np.full(len(ids), -np.inf)
-    known = np.where(ids[:, None] == seen_ids[None], -np.inf, vectors @ seen.T)
+    known = np.where(ids[:, None] == seen_ids[None], -np.inf, scores_of(vectors, seen))
     return np.sort(known, axis=1)[:, len(seen) - k]
 
 
@@ -65,14 +79,17 @@ class Block:
         self.ids, self.vectors, self.pivots, self.floor, self.k = ids, vectors, pivots, floor, k
         self.table = distances(vectors, pivots)
         self.norms = (vectors.astype(float) ** 2).sum(1)
+        self.evaluated = 0  # pairs of which the score was taken
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, best: list[list[tuple[int, int]]]) -> None:
         """Puts the best (score, -id) of a batch of candidates into best, by query."""
         norms = (vectors.astype(float) ** 2).sum(1)
+        most = max(norms.max(initial=0), self.norms.max(initial=0), (self.pivots.astype(float) ** 2).sum(1).max(initial=0))
+        slack = SLACK if most < EXACT else WIDE_SLACK
         for i, q in enumerate(self.vectors):
             low = np.abs(table - self.table[i]).max(1)
             top = (self.norms[i] + norms - low * low) / 2
-            top += SLACK * (self.norms[i] + norms) + 0.5
+            top += slack * (self.norms[i] + norms + most * (slack > SLACK)) + 0.5
             mine = best[i]
             worst = max(self.floor[i], mine[-1][0] if len(mine) == self.k else -np.inf)
             order = np.flatnonzero(top >= worst)
@@ -80,7 +97,8 @@ class Block:
             step = 32
             while len(order):
                 part, order = order[:step], order[step:]
-                scores = vectors[part] @ q
+                scores = scores_of(vectors[part], q)
+                self.evaluated += len(part)
                 mine += [(int(s), -int(c)) for s, c in zip(scores, ids[part], strict=True) if s >= worst and c != self.ids[i]]
                 mine.sort(reverse=True)
                 del mine[self.k :]
@@ -95,58 +113,62 @@ def top_k(
     """(query_id, rank, vec_id, score): for each row where `queries` holds, its k best other rows, ties to the smaller id.
 
     The score is the inner product of the quantised vectors. Rows with a null id or vector, or with null or non-finite
-    components, take no part; nor do vectors of another length than most in the pivot sample have. Rows that repeat an
-    id stay candidates each, and a query that repeats is asked once, with its first vector in order. Fewer candidates than k give
-    fewer rows; an empty table gives none. Pivots are taken from a sample of at most `sample` rows by hash of the id, a
-    bound that only steers speed. A block holds at most `block` queries in memory; more queries make more passes.
+    components, take no part. Vectors of different lengths have no inner product: candidates are the rows of the
+    query's own length. Rows that repeat an id stay candidates each, and a query that repeats is asked once for each
+    length, with its first vector in order. Fewer candidates than k give fewer rows; an empty table gives none. Other
+    columns are never read. Pivots are taken from a sample of at most `sample` rows by hash of the id, a bound that only
+    steers speed. A block holds at most about `block` queries in memory; more queries make more passes. A component of
+    2^62 / scale or more, or a score beyond 64 bits, is an error and not a wrong rank.
     """
     spark = rows.sparkSession
+    batches_of(spark)
     stored = rows.select(F.col(id_col).alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(
         "vec_id is not null and v is not null"
     )
     stored = written(stored, "vectors")
-    some = [(r["vec_id"], r["v"]) for r in stored.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("vec_id", "v").collect()]
-    if not some:
+    found = None
+    for r in stored.groupBy(F.size("v").alias("width")).agg(F.count_if("asked").alias("asked")).where("asked > 0").orderBy("width").collect():
+        for part in searched(stored.where(F.size("v") == r["width"]), r["width"], k, pivots, sample, block):
+            found = part if found is None else found.union(part)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lengths = [len(x) for _, x in some]
-    width = max(set(lengths), key=lengths.count)
-    stored = stored.where(F.size("v") == width)
-    seen = np.array([x for _, x in some if len(x) == width], np.int64).reshape(-1, width)
-    seen_ids = np.array([i for i, x in some if len(x) == width], np.int64)
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by_score).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def searched(stored: DataFrame, width: int, k: int, pivots: int, sample: int, block: int) -> Iterator[DataFrame]:
+    """The best rows (query_id, vec_id, score) that each task has found for each query, written block by block."""
+    spark = stored.sparkSession
+    some = [(r["vec_id"], r["v"]) for r in stored.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("vec_id", "v").collect()]
+    seen = np.array([x for _, x in some], np.int64).reshape(-1, width)
+    seen_ids = np.array([i for i, _ in some], np.int64)
     points = chosen_pivots(seen, pivots)
 
     def with_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "to_pivots": list(distances(np.stack(b["v"]), points))})
+                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "to_pivots": list(distances(np.stack(b["v"]).reshape(-1, width), points))})
 
     table = stored.select("vec_id", "v").mapInPandas(with_table, "vec_id long, v array<long>, to_pivots array<double>")
     asked = stored.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = -(-asked.count() // block)
     if blocks > 1:
         table = written(table, "pivots")
-    found = []
     for n in range(blocks):
         # ids by hash: a block holds about `block` queries, its size proven by the count above
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()
         if not part:
             continue
-        ids, vectors = np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part], np.int64)
+        ids, vectors = np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part], np.int64).reshape(-1, width)
         shared = spark.sparkContext.broadcast(Block(ids, vectors, points, starting_floor(ids, vectors, seen_ids, seen, k), k))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             asked_block, best = shared.value, [[] for _ in shared.value.ids]
             for b in batches:
                 if len(b):
-                    asked_block.search(b["vec_id"].to_numpy(), np.stack(b["v"]), np.stack(b["to_pivots"]), best)
+                    asked_block.search(b["vec_id"].to_numpy(), np.stack(b["v"]).reshape(-1, width), np.stack(b["to_pivots"]), best)
             rows = [(q, -c, s) for q, own in zip(asked_block.ids.tolist(), best, strict=True) for s, c in own]
             yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-        found.append(table.mapInPandas(search, SCHEMA))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.union(f)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(by_score).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        yield written(table.mapInPandas(search, SCHEMA), "best")
+        shared.destroy()
