@@ -6,7 +6,8 @@ import corpus_pipeline
 from conftest import SMALL
 from orbitspark.llm import quality, queries, toxicity
 from orbitspark.llm.common import table, written
-from test_operators import ODD, plain_components, plain_fingerprint, plain_removal
+from test_near_copies import least_ids
+from test_operators import ODD
 
 
 @pytest.fixture(scope="module")
@@ -30,23 +31,41 @@ def test_filters_take_effect(spark, outputs):
 
 
 def test_one_of_each_group(outputs):
+    """By all pairs of similarities of five-word shingles."""
     rows = [(r["doc_id"], r["text"]) for r in outputs[2].collect()]
-    prints = {i: plain_fingerprint(t) for i, t in rows}
-    roots, least = plain_components(set(prints.values())), {}
-    for i, f in prints.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
-    assert ids(outputs[3]) == sorted(least.values())
+    assert ids(outputs[3]) == least_ids(rows)[0]
 
 
 def test_repeats_are_cut(outputs):
+    """The stage's texts are the bytes that remain, without those of characters that a cut has split."""
     rows = [(r["doc_id"], r["text"]) for r in outputs[3].collect()]
-    want = {i: n - gone for i, n, gone, _, _ in plain_removal(rows)}
+    want = {i: left.decode("utf-8", "ignore") for i, left in remaining(rows)}
     for r in outputs[4].collect():
-        # a split character's bytes go too
-        assert want[r["doc_id"]] - 6 * 4 <= len(r["text"].encode()) <= want[r["doc_id"]] and r["n_chars"] == len(r["text"])
+        assert r["text"] == want[r["doc_id"]] and r["n_chars"] == len(r["text"])
     assert outputs[4].columns == outputs[0].columns
 
 
+def remaining(rows, n=50):
+    first = {}
+    for i, t in rows:
+        b = t.encode()
+        for p in range(len(b) - n + 1):
+            first[b[p : p + n]] = min(first.get(b[p : p + n], i), i)
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - n + 1):
+            if first[b[p : p + n]] < i:
+                gone[p : p + n] = b"\1" * n
+        yield i, bytes(x for x, g in zip(b, gone, strict=True) if not g)
+
+
+def test_packing_covers_the_texts(outputs):
+    rows = outputs[5].collect()
+    assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows))) and all(r["length"] & (r["length"] - 1) == 0 for r in rows)
+    assert {r["doc_id"] for r in rows} == set(ids(outputs[4]))
+
+
 def test_packed_ids_decode_to_the_texts(spark, outputs):
     from array import array
 
