@@ -78,7 +78,7 @@ def risk_features() -> dict[str, Column]:
 def rtn_products() -> dict[str, Column]:
     r, t, w = (F.col(f"vector_{x}_sigma_km") for x in "uvw")
     total = F.sqrt(r * r + t * t + w * w)
-    return {"rtn_covariance_volume_km3": r * t * w, "rtn_along_track_ratio": t / (r + 1e-15), "rtn_cross_track_ratio": w / (r + 1e-15), "rtn_total_uncertainty_km": total, "log_rtn_uncertainty": F.log10(total + 1e-30)}
+    return {"rtn_covariance_volume_km3": r * t * w, "rtn_along_track_ratio": t / (r + 1e-15), "rtn_cross_track_ratio": w / (r + 1e-15), "rtn_total_uncertainty_km": total, "log_rtn_uncertainty": F.log10(total + 1e-15)}
 
 
 #: Order of an object's snapshots, with tie-breakers of the adapter's rows.

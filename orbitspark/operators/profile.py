@@ -42,8 +42,9 @@ def gaps(df: DataFrame) -> DataFrame:
 
 
 def gap_stats(df: DataFrame) -> DataFrame:
-    g = "gap_days"
-    return gaps(df).agg(F.count(g).alias("n"), F.avg(g).alias("mean"), F.percentile(g, F.lit(0.5)).alias("median"), F.stddev_samp(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"))
+    g, rows = "gap_days", gaps(df)
+    one = rows.agg(F.count(g).alias("n"), F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"))
+    return one.crossJoin(exact_quantiles(rows, g, {"median": 0.5}))  # a row each
 
 
 def object_gaps(df: DataFrame) -> DataFrame:
@@ -67,7 +68,9 @@ def bc_by_epoch_bin(df: DataFrame) -> DataFrame:
     """Coefficient statistics by the object's number of snapshots, counted over a window instead of a join back."""
     n = F.count("*").over(Window.partitionBy("satellite_number"))
     bc = "ballistic_coef_m2kg"
-    return df.withColumn("epoch_bin", epoch_bin(n)).groupBy("epoch_bin").agg(F.avg(bc).alias("bc_mean"), F.percentile(bc, F.lit(0.5)).alias("bc_median"), F.stddev_samp(bc).alias("bc_std"), F.count("*").alias("n_rows"))
+    binned = df.withColumn("epoch_bin", epoch_bin(n))
+    stats = binned.groupBy("epoch_bin").agg(F.avg(bc).alias("bc_mean"), F.stddev_samp(bc).alias("bc_std"), F.count("*").alias("n_rows"))
+    return stats.join(exact_quantiles(binned, bc, {"bc_median": 0.5}, "epoch_bin"), "epoch_bin", "left")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,13 +79,53 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], width: float = 3.0) -> DataFrame:
-    """Per column: quartiles, fences, and the rows outside them."""
-    fences = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
-    rows = fences.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3")) for c in columns))).alias("f")).select("f.*")
+    """Per column: quartiles, fences, and the rows outside them; all from one count of distinct values by column."""
+    values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column_name", "value")
+    points = value_counts(values, "value", "column_name")
+    rows = quantiles_of_counts(points, {"q1": 0.25, "q3": 0.75}, "column_name")
     rows = rows.withColumns({"low": F.col("q1") - width * (F.col("q3") - F.col("q1")), "high": F.col("q3") + width * (F.col("q3") - F.col("q1"))})
-    values = df.unpivot([], columns, "column_name", "value")
-    out = values.join(F.broadcast(rows), "column_name")  # a row per column
-    return out.groupBy("column_name", "q1", "q3", "low", "high").agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("n_outliers"), F.count("value").alias("n"))
+    outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
+    out = points.join(rows, "column_name")
+    return out.groupBy("column_name", "q1", "q3", "low", "high").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outliers"), F.sum("n").alias("n"))
+
+
+def value_counts(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, x, n): how often each value occurs by keys, nulls left out; combinable, so that a common value is one row early."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
+    """Linear quantiles of a column by keys, a column for each; without keys one row, null for no values."""
+    return quantiles_of_counts(value_counts(df, value, *keys), quantiles, *keys)
+
+
+def quantiles_of_counts(points: DataFrame, quantiles: dict[str, float], *keys: str, ranges: int = 256) -> DataFrame:
+    """Quantiles from counted values (keys, x, n), in two levels, so that no task holds a group's values.
+
+    Values are dealt into ranges at approximate quantiles; the ranges' totals say which of them hold the wanted ranks,
+    and only those are ordered, each by itself. A finer cut takes more ranges.
+    """
+    by = list(keys) or ["__all"]
+    points = points if keys else points.withColumn("__all", F.lit(0))
+    edges = points.groupBy(*by).agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("__edges"), F.sum("n").alias("__total"))
+    dealt = points.join(edges, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("x")))).drop("__edges")
+    place = {q: (F.col("__total") - 1) * F.lit(float(at)) for q, at in quantiles.items()}
+    ranks = F.array(*(f(h).cast("long") for h in place.values() for f in (F.floor, F.ceil)))
+    totals = dealt.groupBy(*by, "__range", "__total").agg(F.sum("n").alias("__n"))
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+    wanted = before.where(F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))).select(*by, "__range", "__before")
+    inside = Window.partitionBy(*by, "__range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.join(wanted, [*by, "__range"]).withColumn("__cum", F.col("__before") + F.sum("n").over(inside))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("__cum") - F.col("n")) & (rank < F.col("__cum")), F.col("x")))
+
+    found = {}
+    for q, h in place.items():
+        low, high = value_at(F.floor(h)), value_at(F.ceil(h))
+        found[q] = low + (high - low) * (F.max(h) - F.floor(F.max(h)))
+    return summed.groupBy(*keys).agg(*(c.alias(q) for q, c in found.items()))
 
 
 def size_distribution(seqs: DataFrame) -> DataFrame:

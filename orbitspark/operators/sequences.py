@@ -50,9 +50,27 @@ def rank_split(seqs: DataFrame) -> DataFrame:
 
 
 def with_split(df: DataFrame) -> DataFrame:
-    """Complete sequences with size_range by sequence and split by object, without leaks between splits."""
-    seqs = sequence_table(df)
-    return df.join(seqs.select("satellite_number", "sequence_id", "size_range", "seq_bc"), ["satellite_number", "sequence_id"]).join(rank_split(seqs).select("satellite_number", "split"), "satellite_number")
+    """Complete sequences with seq_bc and size_range by sequence, and split by object, without leaks between splits.
+
+    The sequence's first coefficient comes over a window of the object's partition; only the rank table is joined.
+    """
+    first = F.first("ballistic_coef_m2kg").over(by_object("sequence_id"))
+    rows = df.withColumn("seq_bc", first).withColumn("size_range", size_range(F.col("seq_bc")))
+    heads = df.where("seq_pos = 0").select("satellite_number", F.col("epoch_dt").alias("seq_first_epoch"))
+    return rows.join(rank_split(heads).select("satellite_number", "split"), "satellite_number")
+
+
+def with_span(df: DataFrame, least_hours: float = 6.0) -> DataFrame:
+    """Objects whose snapshots span more than so many hours."""
+    span = F.timestamp_diff("SECOND", F.min("epoch_dt"), F.max("epoch_dt"))
+    enough = df.groupBy("satellite_number").agg(span.alias("span")).where(F.col("span") > least_hours * 3600).select("satellite_number")
+    return df.join(enough, "satellite_number", "left_semi")
+
+
+def sampled_objects(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """All rows of n objects, those of the smallest seeded hash: the same sample on any partitioning."""
+    chosen = df.select("satellite_number").distinct().orderBy(F.xxhash64("satellite_number", F.lit(seed)), "satellite_number").limit(n)
+    return df.join(chosen, "satellite_number", "left_semi")
 
 
 def split_profile(df: DataFrame) -> DataFrame:

@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from orbitspark.constants import SEQ_LEN
 from orbitspark.functions.features import by_object
+from orbitspark.operators.profile import quantiles_of_counts, value_counts
+from orbitspark.operators.sequences import with_history
 
 
-def band_thresholds(df: DataFrame, *keys: str, q: float = 0.70, q_secondary: float = 0.90, exact: bool = True) -> DataFrame:
-    """Linear quantiles of log_uncertainty_volume by keys and band. exact=False bounds memory where a band has billions of values."""
-    value = "log_uncertainty_volume"
-    quantile = F.percentile(value, F.array(F.lit(q), F.lit(q_secondary))) if exact else F.percentile_approx(value, [q, q_secondary], 100_000)
-    return df.groupBy(*keys, "altitude_band").agg(quantile.alias("qs"), F.count("*").alias("n_rows")).select(*keys, "altitude_band", F.col("qs")[0].alias("threshold"), F.col("qs")[1].alias("secondary_threshold"), "n_rows")
+def band_thresholds(df: DataFrame, *keys: str, q: float = 0.70, q_secondary: float = 0.90, fit_split: str | None = None, least: int = 0) -> DataFrame:
+    """Exact linear quantiles of log_uncertainty_volume by keys and band, with n_rows and n_above (strictly above the first).
+
+    fit_split takes only the rows of one split; least only objects of at least so many rows.
+    """
+    if least:
+        df = with_history(df, least)
+    if fit_split is not None:
+        df = df.where(F.col("split") == fit_split)
+    by = [*keys, "altitude_band"]
+    points = value_counts(df, "log_uncertainty_volume", *by)
+    limits = quantiles_of_counts(points, {"threshold": q, "secondary_threshold": q_secondary}, *by)
+    counted = points.join(limits, by).groupBy(*by, "threshold", "secondary_threshold")
+    return counted.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("x") > F.col("threshold"), F.col("n")).otherwise(0)).alias("n_above"))
 
 
 def threshold_report(df: DataFrame, *keys: str) -> DataFrame:
-    """Thresholds with the rows strictly above; the thresholds, a row per band, are joined back."""
-    limits = band_thresholds(df, *keys)
-    joined = df.join(limits.select(*keys, "altitude_band", "threshold"), [*keys, "altitude_band"])
-    above = joined.groupBy(*keys, "altitude_band").agg(F.count_if(F.col("log_uncertainty_volume") > F.col("threshold")).alias("n_above"))
-    return limits.join(above, [*keys, "altitude_band"]).withColumn("ratio_above", F.col("n_above") / F.col("n_rows"))
+    """Thresholds with the rows strictly above and their share, all from one count of distinct values."""
+    return band_thresholds(df, *keys).withColumn("ratio_above", F.col("n_above") / F.col("n_rows"))
 
 
-def with_labels(df: DataFrame, *keys: str) -> DataFrame:
+def with_labels(df: DataFrame, *keys: str, fit_split: str | None = None) -> DataFrame:
     """collision_risk (above the band's 0.70 quantile) and unc_vol_above_p90 (volume above that of the 0.90 quantile)."""
-    joined = df.join(band_thresholds(df, *keys).drop("n_rows"), [*keys, "altitude_band"], "left")
+    joined = df.join(band_thresholds(df, *keys, fit_split=fit_split).drop("n_rows", "n_above"), [*keys, "altitude_band"], "left")
     return joined.withColumns({
         "collision_risk": F.coalesce(F.col("log_uncertainty_volume") > F.col("threshold"), F.lit(False)),
         "unc_vol_above_p90": F.coalesce(F.col("uncertainty_volume_km3") > F.pow(F.lit(10.0), "secondary_threshold"), F.lit(False)),
@@ -68,11 +76,17 @@ def window_members(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
 def nearest_epochs(df: DataFrame, horizons: tuple[float, ...] = (1.0, 3.0, 7.0)) -> DataFrame:
     """(satellite_number, horizon_days, nearest_idx, distance_s): the object's snapshot nearest to its first plus each horizon."""
-    first = df.groupBy("satellite_number").agg(F.min("epoch_dt").alias("t0"))
-    wanted = first.withColumn("horizon_days", F.explode(F.array(*map(F.lit, horizons))))
-    aim = F.abs(F.timestamp_diff("SECOND", F.col("t0"), F.col("epoch_dt")) - F.col("horizon_days") * 86400)
-    joined = df.select("satellite_number", "epoch_dt", "epoch_idx").join(wanted, "satellite_number")
-    return joined.groupBy("satellite_number", "horizon_days").agg(F.min(F.struct(aim.alias("d"), F.col("epoch_idx"))).alias("m")).select("satellite_number", "horizon_days", F.col("m.epoch_idx").alias("nearest_idx"), F.col("m.d").alias("distance_s"))
+    past = F.timestamp_diff("SECOND", F.min("epoch_dt").over(Window.partitionBy("satellite_number")), F.col("epoch_dt"))
+    rows = df.select("satellite_number", "epoch_idx", past.alias("past"))
+    near = [F.min(F.struct(F.abs(F.col("past") - h * 86400).alias("d"), F.col("epoch_idx"))).alias(f"m{i}") for i, h in enumerate(horizons)]
+    found = rows.groupBy("satellite_number").agg(*near)
+    each = found.select("satellite_number", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"m{i}").alias("m")) for i, h in enumerate(horizons)))).alias("x"))
+    return each.select("satellite_number", F.col("x.h").alias("horizon_days"), F.col("x.m.epoch_idx").alias("nearest_idx"), F.col("x.m.d").alias("distance_s"))
+
+
+def window_features(windows: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
+    """Windows (satellite_number, window_end_idx) with the features of their last snapshot, joined on object and index."""
+    return windows.join(rows.select("satellite_number", F.col("epoch_idx").alias("window_end_idx"), *features), ["satellite_number", "window_end_idx"])
 
 
 def target_summary(df: DataFrame) -> DataFrame:

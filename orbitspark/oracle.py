@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from orbitspark.sources.messages import COLUMNS, filler
 from orbitspark.constants import CD, DENSITY, DENSITY_LOW, DENSITY_TOP, GM, J2, KM_PER_DEG_LAT, R_EARTH, WGS84_A, WGS84_B, WGS84_E2, WGS84_EP2
 
 KEY = "satellite_number, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
@@ -9,6 +10,9 @@ TIES = "epoch_dt, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
 PROFILED = ["ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10"]
 FEATURES = ["ballistic_coef_m2kg", "perigee_alt_km", "inclination_deg", "eccentricity", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "log_bc"]
 
+#: Newton steps for Kepler's equation.
+NEWTON = " ".join(f"k{i + 1} AS (SELECT *, e{i} - (e{i} - ec * sin(e{i}) + es * (1 - cos(e{i})) - m) / (1 - ec * cos(e{i}) + es * sin(e{i})) AS e{i + 1} FROM k{i})," for i in range(10))
+
 BASE = f"""
 raw AS (
   SELECT *, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) * 8640000 + (l_orderkey % 8640) * 1000 + l_linenumber + 500 AS ms,
@@ -92,9 +96,18 @@ sup AS (
   SELECT s_name || CASE WHEN s_nationkey % 2 = 0 THEN ' DEB' ELSE ' R/B' END AS name, '1993-036' || s_suppkey AS oid, s_suppkey AS id, 12 + 0.15::DOUBLE * s_nationkey AS mm, 0.001::DOUBLE * (1 + s_nationkey % 7) AS ecc, 'event' || (s_nationkey % 3) AS src
   FROM supplier WHERE s_nationkey % 3 < 2),
 cat AS (SELECT name, id, src, power({GM} / power(mm * (2 * pi() / 86400.0), 2), 1.0::DOUBLE / 3) - {R_EARTH} AS mean_alt FROM sup),
-err AS (
-  SELECT satellite_number, r - {R_EARTH} + 30 * (satellite_number % 50) AS alt_km, date_sub('second', min(epoch_dt) OVER (PARTITION BY satellite_number), epoch_dt) / 86400.0::DOUBLE AS days, abs(x) AS err_km FROM el),
-errs AS (SELECT * FROM err WHERE days > 0),
+fs AS (
+  SELECT satellite_number, epoch_dt, l_orderkey, l_linenumber, l_partkey, l_extendedprice, x, y, z, date_sub('second', first_value(epoch_dt) OVER w, epoch_dt) AS dt, first_value(perigee_alt_km) OVER w AS alt_km,
+    {", ".join(f"first_value({c}) OVER w AS {c}0" for c in ("x", "y", "z", "vx", "vy", "vz"))} FROM el WINDOW w AS (PARTITION BY satellite_number ORDER BY {TIES})),
+fs1 AS (SELECT *, sqrt(x0 * x0 + y0 * y0 + z0 * z0) AS r0, x0 * vx0 + y0 * vy0 + z0 * vz0 AS rv0, vx0 * vx0 + vy0 * vy0 + vz0 * vz0 AS vv0 FROM fs WHERE dt > 0 AND dt <= 30 * 86400),
+fs2 AS (SELECT *, 1.0::DOUBLE / (2 / r0 - vv0 / {GM}::DOUBLE) AS a0 FROM fs1),
+fs3 AS (SELECT *, sqrt({GM}::DOUBLE / (a0 * a0 * a0)) AS n0, 1 - r0 / a0 AS ec, rv0 / sqrt({GM}::DOUBLE * a0) AS es FROM fs2 WHERE a0 > 0),
+k0 AS (SELECT *, n0 * dt - 2 * pi() * floor(n0 * dt / (2 * pi())) AS m, n0 * dt - 2 * pi() * floor(n0 * dt / (2 * pi())) AS e0 FROM fs3),
+{NEWTON}
+fg AS (SELECT *, 1 - a0 / r0 * (1 - cos(e10)) AS f, (m - (e10 - sin(e10))) / n0 AS g FROM k10),
+errs AS (
+  SELECT satellite_number, epoch_dt, l_orderkey, l_linenumber, l_partkey, l_extendedprice, alt_km, dt / 86400.0::DOUBLE AS days,
+    sqrt((f * x0 + g * vx0 - x) ** 2 + (f * y0 + g * vy0 - y) ** 2 + (f * z0 + g * vz0 - z) ** 2) AS err_km FROM fg),
 hor AS (SELECT *, CASE WHEN days BETWEEN 6.5 - 1.5 AND 9 THEN '7d' WHEN days BETWEEN 2 AND 4 THEN '3d' WHEN days BETWEEN 0.5 AND 1.5 THEN '1d' END AS horizon FROM errs),
 hors AS (SELECT * FROM hor WHERE horizon IS NOT NULL),
 wide AS (
@@ -130,6 +143,22 @@ BC, SRP = "ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg"
 OBJ = f"PARTITION BY satellite_number ORDER BY {TIES}"
 SEQ = f"PARTITION BY satellite_number, sequence_id ORDER BY {TIES}"
 GRID = "last_obs"
+#: Window features and what they are in SQL.
+MATRIX = {c: c for c in (BC, SRP, "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "perigee_alt_km", "apogee_alt_km", "semi_major_axis_km", "eccentricity", "inclination_deg", "orbital_period_min", "mean_altitude_km", "log_bc")} | {
+    "log_uncertainty_volume": "log_volume", "collision_risk_proxy": "volume / (mean_altitude_km * mean_altitude_km + 1)", "kp_index": "(average_ap + 1) / 10", "srp_acceleration_ms2": f"{SRP} * solar_flux_f10 / 1361",
+    "rtn_along_track_ratio": "vector_v_sigma_km / (vector_u_sigma_km + 1e-15)", "rtn_cross_track_ratio": "vector_w_sigma_km / (vector_u_sigma_km + 1e-15)", "rtn_total_uncertainty_km": "sqrt(vector_u_sigma_km ** 2 + vector_v_sigma_km ** 2 + vector_w_sigma_km ** 2)",
+}
+
+
+
+def filled(name: str, kind: str) -> str:
+    """What a message says of a column that snapshots lack."""
+    return f"'{filler(name)}'" if kind == "string" else f"{filler(name)}::DOUBLE"
+
+
+#: Message columns that snapshots have; the rest is filled.
+MESSAGE = {f"{frame}_pos_{n}": f"round({n}, 4)" for frame in ("j2k", "efg") for n in "xyz"} | {f"j2k_vel_{n}": f"round(v{n}, 4)" for n in "xyz"} | {f"vector_{a}_sigma_km": f"round(vector_{a}_sigma_km, 10)" for a in "uvw"} | {f"vector_{a}d_sigma_kms": f"round(vector_{a}_sigma_km / 1000, 10)" for a in "uvw"}
+MESSAGE |= {"message_type": "'SP VECTOR/COVARIANCE MESSAGE - V2.0'", "satellite_number": "satellite_number", "common_name": "common_name", "epoch_rev": "epoch_rev", "solar_flux_f10": "round(solar_flux_f10, 10)", "average_f10": "70 + 10.0::DOUBLE * l_linenumber", "average_ap": "round(average_ap, 10)"} | {c: f"round({c}, 10)" for c in (BC, SRP)}
 
 SQL = {
     "risk_thresholds_by_band": sql("SELECT altitude_band, round(threshold, 4) AS threshold, n_rows, count(*) FILTER (WHERE collision_risk) AS n_above, round(count(*) FILTER (WHERE collision_risk) / n_rows, 4) AS ratio_above FROM marked JOIN limits USING (altitude_band) GROUP BY altitude_band, threshold, n_rows"),
@@ -165,14 +194,16 @@ FROM (SELECT *, coalesce(drev / (g + 1e-10), 0) AS revolution_rate, coalesce(dv,
     "env_features": sql(f"SELECT {KEY}, round(log10({RHO}), 4) AS log_density, round({SRP} * solar_flux_f10 / 1361, 8) AS srp_acceleration_ms2, round((average_ap + 1) / 10, 4) AS kp_index, CASE WHEN mean_altitude_km < 2000 THEN 'LEO' WHEN mean_altitude_km < 35786 THEN 'MEO' ELSE 'GEO' END AS orbit_regime, altitude_band FROM band"),
     "risk_features": sql(f"SELECT {KEY}, round(sqrt(volume), 4) AS sqrt_uncertainty_volume, round(log_volume, 4) AS log_uncertainty_volume, round(volume / (mean_altitude_km * mean_altitude_km + 1), 6) AS collision_risk_proxy FROM band"),
     "rtn_products": sql(f"""
-SELECT {KEY}, round(sqrt(volume), 3) AS sqrt_rtn_covariance_volume, {z("round(log10(vector_v_sigma_km / vector_u_sigma_km), 3)")} AS log_rtn_along_track_ratio, {z("round(log10(vector_w_sigma_km / vector_u_sigma_km), 3)")} AS log_rtn_cross_track_ratio, round(t, 3) AS rtn_total_uncertainty_km, round(log10(t), 3) AS log_rtn_uncertainty
+SELECT {KEY}, round(sqrt(volume), 3) AS sqrt_rtn_covariance_volume, {z("round(log10(vector_v_sigma_km / vector_u_sigma_km), 3)")} AS log_rtn_along_track_ratio, {z("round(log10(vector_w_sigma_km / vector_u_sigma_km), 3)")} AS log_rtn_cross_track_ratio, round(t, 3) AS rtn_total_uncertainty_km, round(log10(t + 1e-15), 3) AS log_rtn_uncertainty
 FROM (SELECT *, sqrt(vector_u_sigma_km ** 2 + vector_v_sigma_km ** 2 + vector_w_sigma_km ** 2) AS t FROM band)"""),
-    "feature_sanity": sql(f"SELECT round(median({BC}), 7) AS bc_median, round(min(log_bc), 4) AS log_bc_min, round(max(log_bc), 4) AS log_bc_max, round(log10(min({RHO})), 4) AS density_min, round(log10(max({RHO})), 4) AS density_max, round(max((average_ap + 1) / 10), 4) AS kp_max, round(avg(v), 4) AS mean_speed, round(median(vector_v_sigma_km / (vector_u_sigma_km + 1e-15)), 4) AS along_median, count(DISTINCT altitude_band) AS n_bands FROM band"),
+    "feature_sanity": sql(f"SELECT round(median({BC}), 7) AS bc_median, round(min(log_bc), 4) AS log_bc_min, round(max(log_bc), 4) AS log_bc_max, round(log10(min({RHO})), 4) AS density_min, round(log10(max({RHO})), 4) AS density_max, round(max((average_ap + 1) / 10), 4) AS kp_max, round(avg(v), 4) AS mean_speed, round(median(vector_v_sigma_km / (vector_u_sigma_km + 1e-15)), 4) AS along_median, round(median(vector_w_sigma_km / (vector_u_sigma_km + 1e-15)), 4) AS cross_median, round(min(({BC} + 1e-10) / {CD}), 8) AS amr_min, round(max(({BC} + 1e-10) / {CD}), 8) AS amr_max, round(min(log_volume), 4) AS log_volume_min, round(max(log_volume), 4) AS log_volume_max, count(DISTINCT CASE WHEN mean_altitude_km < 2000 THEN 'LEO' WHEN mean_altitude_km < 35786 THEN 'MEO' ELSE 'GEO' END) AS n_regimes, count(DISTINCT altitude_band) AS n_bands FROM band"),
     "null_profile": sql(f"SELECT unnest(['size_range', 'ratio', 'epoch_dt', '{BC}']) AS column_name, unnest([count(*) FILTER (WHERE l_linenumber = 3), count(*) FILTER (WHERE {SRP} = 0), count(*) FILTER (WHERE epoch_dt IS NULL), count(*) FILTER (WHERE {BC} IS NULL)]) AS n_null FROM obs"),
     "iqr_outliers": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q1 - 0.4::DOUBLE * (q3 - q1), 6) AS low, round(q3 + 0.4::DOUBLE * (q3 - q1), 6) AS high, count(*) FILTER (WHERE {c} < q1 - 0.4::DOUBLE * (q3 - q1) OR {c} > q3 + 0.4::DOUBLE * (q3 - q1)) AS n_outliers, count({c}) AS n FROM obs, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM obs) GROUP BY q1, q3" for c in PROFILED)),
     "bc_summary": sql(f"SELECT round(min({BC}), 8) AS bc_min, round(max({BC}), 8) AS bc_max, round(avg({BC}), 8) AS bc_mean, round(median({BC}), 8) AS bc_median, round(corr({BC}, {SRP}), 6) AS bc_srp_corr FROM obs"),
     "scaler_params": sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM parted WHERE split = 'train'" for c in PROFILED)),
-    "scaled_features": sql(f"SELECT {KEY}, {', '.join(z(f'round(({c} - m_{c}) / s_{c}, 4)') + f' AS scaled_{c}' for c in PROFILED)} FROM parted, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in PROFILED)} FROM parted WHERE split = 'train')"),
+    "scaled_features": sql(f"""
+, fit AS MATERIALIZED (SELECT {KEY}, split, {", ".join(PROFILED)} FROM parted)
+SELECT {KEY}, {", ".join(z(f"round(({c} - m_{c}) / s_{c}, 4)") + f" AS scaled_{c}" for c in PROFILED)} FROM fit, (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PROFILED)} FROM fit WHERE split = 'train')"""),
     "label_encoding": sql("SELECT altitude_band AS value, (row_number() OVER (ORDER BY altitude_band) - 1)::INTEGER AS code FROM (SELECT DISTINCT altitude_band FROM band)"),
     "risk_labels": sql("""
 SELECT size_range, altitude_band, count(*) AS n, count(*) FILTER (WHERE log_volume > t) AS n_risk, count(*) FILTER (WHERE volume > power(10, t2)) AS n_secondary, round(t, 4) AS threshold
@@ -180,9 +211,17 @@ FROM (SELECT row_size AS size_range, altitude_band, volume, log_volume FROM band
     "future_targets": sql(f"SELECT {KEY}, {', '.join(f'{z(f"round(lead({c}) OVER w, 4)")} AS future_pos_{c}' for c in 'xyz')}, round(lead(vector_u_sigma_km) OVER w, 4) AS future_sigma_r, lead(epoch_dt) OVER w AS future_epoch_dt, lead(epoch_dt) OVER w IS NOT NULL AS has_future FROM obs WINDOW w AS ({OBJ})"),
     "sliding_windows": sql(f"SELECT satellite_number, epoch_idx - 19 AS window_id, epoch_idx - 19 AS window_start_idx, epoch_idx AS window_end_idx, date_sub('second', e0, epoch_dt) AS window_span_s, epoch_dt FROM (SELECT *, lag(epoch_dt, 19) OVER ({OBJ}) AS e0 FROM seq) WHERE epoch_idx >= 19"),
     "window_tensor_stats": sql(f"""
-SELECT satellite_number, epoch_idx AS window_end_idx, 20 AS n_rows, round(s, 1) AS sum_sigma, round(f, 1) AS sum_flux
-FROM (SELECT *, sum(vector_u_sigma_km::FLOAT::DOUBLE) OVER w AS s, sum(solar_flux_f10::FLOAT::DOUBLE) OVER w AS f FROM seq WINDOW w AS ({OBJ} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE epoch_idx >= 19"""),
-    "window_range_join": sql("SELECT a.satellite_number, a.epoch_idx AS window_end_idx, count(*) AS n, round(avg(b.solar_flux_f10), 4) AS mean_flux FROM seq a JOIN seq b ON a.satellite_number = b.satellite_number AND b.epoch_idx BETWEEN a.epoch_idx - 19 AND a.epoch_idx WHERE a.epoch_idx >= 19 AND a.epoch_idx % 7 = 5 GROUP BY ALL"),
+SELECT satellite_number, epoch_idx AS window_end_idx, 20 AS n_rows, {", ".join(z(f"round(s_{c}, 2)") + f" AS sum_{c}" for c in MATRIX)}
+FROM (SELECT satellite_number, epoch_idx, {", ".join(f"sum(({e})::FLOAT::DOUBLE) OVER w AS s_{c}" for c, e in MATRIX.items())} FROM seq WINDOW w AS ({OBJ} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE epoch_idx >= 19"""),
+    "windows_with_features": sql("SELECT satellite_number, epoch_idx - 19 AS window_id, epoch_idx AS window_end_idx, round(perigee_alt_km, 4) AS perigee_alt_km, round(log_volume, 4) AS log_uncertainty_volume FROM seq WHERE epoch_idx >= 19"),
+    "thresholds_of_train": sql("""
+, lim AS (SELECT size_range, altitude_band, quantile_cont(log_volume, 0.7) AS t, quantile_cont(log_volume, 0.9) AS t2 FROM parted WHERE split = 'train' AND satellite_number IN (SELECT satellite_number FROM parted GROUP BY 1 HAVING count(*) >= 20) GROUP BY ALL)
+SELECT size_range, altitude_band, round(t, 4) AS threshold, round(t2, 4) AS secondary_threshold, count(*) AS n_rows, count(*) FILTER (WHERE log_volume > t) AS n_above FROM parted JOIN lim USING (size_range, altitude_band) WHERE split = 'train' GROUP BY size_range, altitude_band, t, t2"""),
+    "long_spans": "SELECT user_id AS satellite_number, count(*) AS n, round(date_sub('second', min(ts), max(ts)) / 86400.0::DOUBLE, 6) AS span_days FROM events GROUP BY 1 HAVING count(*) >= 10 AND date_sub('second', min(ts), max(ts)) > 6 * 3600",
+    "union_sources": sql("SELECT 'messages' AS source, count(*) AS n, count(ballistic_coef_m2kg) AS n_bc, min(epoch_dt) AS first_epoch FROM obs UNION ALL SELECT 'events', count(*), 0, min(epoch_dt) FROM ev"),
+    "propagation_errors": sql(f"SELECT {KEY}, epoch_dt, round(alt_km, 3) AS alt_km, round(days, 3) AS days, round(err_km, 3) AS err_km FROM errs"),
+    "divergence": sql("SELECT satellite_number, round(min(days) FILTER (WHERE err_km > 10000), 3) AS diverged_days, round(arg_max(err_km, (days, err_km)), 3) AS last_err_km FROM errs GROUP BY 1"),
+    "window_range_join": sql("SELECT a.satellite_number, a.epoch_idx AS window_end_idx, count(*) AS n, round(avg(b.solar_flux_f10), 4) AS mean_flux FROM seq a JOIN seq b ON a.satellite_number = b.satellite_number AND b.epoch_idx BETWEEN a.epoch_idx - 19 AND a.epoch_idx WHERE a.epoch_idx >= 19 GROUP BY ALL"),
     "target_summary": sql("SELECT split, count(*) AS n_windows, count(*) FILTER (WHERE collision_risk) AS n_risk, round(avg(collision_risk::INTEGER), 4) AS risk_ratio, round(avg(has_future::INTEGER), 4) AS future_ratio FROM parted_marked WHERE i >= 20 GROUP BY 1"),
     "target_checks": sql("SELECT avg(collision_risk::INTEGER) BETWEEN 0.25 AND 0.35 AS ratio_ok, count(DISTINCT split) = 3 AS splits_ok, avg(has_future::INTEGER) >= 0.8 AS future_ok FROM parted_marked"),
     "epoch_histogram": sql(f"SELECT {EPOCH_BIN} AS epoch_bin, count(*) AS n_objects FROM ev_counts GROUP BY 1"),
@@ -216,7 +255,10 @@ SELECT n_a, n_b, round(s, 6) AS statistic, round(least(greatest(list_sum(list_tr
 SELECT satellite_number, CASE WHEN id IS NOT NULL AND ({CLASS.format(n="upper(trim(name))")}) <> 'unknown' THEN ({CLASS.format(n="upper(trim(name))")}) ELSE ({CLASS.format(n="upper(trim(common_name))")}) END AS object_class, coalesce(src, 'none') AS debris_cloud_membership, count(*) AS n, round(max(mean_alt), 4) AS catalog_mean_alt_km
 FROM obs LEFT JOIN cat ON satellite_number = id GROUP BY ALL"""),
     "altitude_correlation": sql("SELECT count(*) AS n, round(corr(perigee_alt_km, mean_alt), 5) AS altitude_corr FROM el JOIN cat ON satellite_number = id"),
-    "message_ingest": sql(f"SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, satellite_number, common_name, epoch_dt, epoch_rev, round(x, 4) AS j2k_pos_x, round({BC}, 10) AS {BC}, round(average_ap, 4) AS average_ap, round(sqrt(vector_w_sigma_km), 4) AS sqrt_w_sigma, NULL::DOUBLE AS thrust_accel_ms2 FROM obs"),
+    "message_ingest": sql("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, epoch_dt, " + ", ".join(f"{MESSAGE.get(c, filled(c, kind))} AS {c}" for c, kind in COLUMNS.items() if c != "epoch_time_utc") + " FROM obs"),
+    "sink_round_trips": sql("SELECT unnest(['parquet', 'folders', 'csv', 'json']) AS format, n, n_names, sum_key, sum_flux FROM (SELECT count(*) AS n, count(DISTINCT common_name) AS n_names, sum(l_orderkey)::BIGINT AS sum_key, round(sum(solar_flux_f10), 3) AS sum_flux FROM obs)"),
+    "grid_round_trip": sql("SELECT 225 + 50.0::DOUBLE * alt_i AS alt_center, count(*) AS n_cells, round(sum(pop), 3) AS pop, min(-89 + 2.0::DOUBLE * lat_i) AS lat_min, max(-179 + 2.0::DOUBLE * lon_i) AS lon_max FROM cells GROUP BY alt_i", GRID),
+    "catalog_files": sql(f"SELECT src AS event_source, {CLASS.format(n='upper(trim(name))')} AS object_class_catalog, count(*) AS n, round(avg(mean_alt), 3) AS mean_alt_km FROM cat GROUP BY ALL"),
     "parse_summary": sql("SELECT count(*) AS n_rows, count(DISTINCT satellite_number) AS n_objects, 62 AS n_columns FROM obs"),
     "j2_acceleration": sql("SELECT " + KEY + ", " + ", ".join(z(f"round(1e6 * (-{GM} * {c} / (r * r * r) + {-1.5 * J2 * GM * R_EARTH**2} / power(r, 5) * {c} * ({k} - 5 * z * z / (r * r))), 4)") + f" AS acc_{c}_mm_s2" for c, k in (("x", 1), ("y", 1), ("z", 3))) + " FROM obs1"),
     "horizon_error_stats": sql("SELECT horizon, count(*) AS n, round(avg(err_km), 3) AS mean, round(median(err_km), 3) AS median, round(stddev_pop(err_km), 3) AS std, round(quantile_cont(err_km, 0.9), 3) AS p90, round(quantile_cont(err_km, 0.95), 3) AS p95, round(quantile_cont(err_km, 0.99), 3) AS p99, round(min(err_km), 3) AS min, round(max(err_km), 3) AS max FROM hors GROUP BY 1"),

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitspark import oracle
-from orbitspark.constants import R_EARTH
 from orbitspark.functions import features as ft
 from orbitspark.functions.orbital import element_checks, frame_errors, j2_acceleration, with_elements, with_geodetic, with_rtn
 from orbitspark.functions.vec import norm, vec
-from orbitspark.operators import forest, metrics, profile, propagate, riskmap, scaling, sequences, targets
+from orbitspark.operators import errors, forest, metrics, profile, riskmap, scaling, sequences, targets
 from orbitspark.plans import stages
-from orbitspark.sources import catalog, messages
+from orbitspark.sources import catalog, messages, tables
 from orbitspark.sources.obs import observations, table
 
 TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -78,8 +79,9 @@ def sequence_stats(spark, d):
     df = sequences.with_sequences(observations(spark, d))
     full = sequences.complete(df)
     a = df.agg(F.count("*").alias("n_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_sequences"))
-    b = sequences.with_time_gap(full).agg(F.count("*").alias("n_complete_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_complete"), F.round(F.avg("time_gap_days"), 4).alias("mean_gap"), F.round(F.percentile("time_gap_days", F.lit(0.5)), 4).alias("median_gap"))
-    return a.crossJoin(b)
+    gaps = sequences.with_time_gap(full)
+    b = gaps.agg(F.count("*").alias("n_complete_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_complete"), F.round(F.avg("time_gap_days"), 4).alias("mean_gap"))
+    return a.crossJoin(b).crossJoin(rounded(profile.exact_quantiles(gaps, "time_gap_days", {"median_gap": 0.5}), 4, "median_gap"))  # a row each
 
 
 def rank_split(spark, d):
@@ -138,11 +140,18 @@ def rtn_products(spark, d):
 
 def feature_sanity(spark, d):
     df = banded(spark, d).withColumns(ft.size_features() | ft.environment_features() | ft.rtn_products())
-    return df.agg(
-        F.round(F.percentile("ballistic_coef_m2kg", F.lit(0.5)), 7).alias("bc_median"), F.round(F.min("log_bc"), 4).alias("log_bc_min"), F.round(F.max("log_bc"), 4).alias("log_bc_max"),
+    df = df.withColumn("orbit_regime", ft.orbit_regime(F.col("mean_altitude_km")))
+    medians = {"ballistic_coef_m2kg": ("bc_median", 7), "rtn_along_track_ratio": ("along_median", 4), "rtn_cross_track_ratio": ("cross_median", 4)}
+    one = df.agg(
+        F.round(F.min("log_bc"), 4).alias("log_bc_min"), F.round(F.max("log_bc"), 4).alias("log_bc_max"),
         F.round(F.log10(F.min("atmospheric_density_kgm3")), 4).alias("density_min"), F.round(F.log10(F.max("atmospheric_density_kgm3")), 4).alias("density_max"), F.round(F.max("kp_index"), 4).alias("kp_max"),
-        F.round(F.avg(norm(vec("j2k_vel_"))), 4).alias("mean_speed"), F.round(F.percentile("rtn_along_track_ratio", F.lit(0.5)), 4).alias("along_median"), F.countDistinct("altitude_band").alias("n_bands"),
+        F.round(F.min("area_to_mass_ratio_m2kg"), 8).alias("amr_min"), F.round(F.max("area_to_mass_ratio_m2kg"), 8).alias("amr_max"),
+        F.round(F.min("log_uncertainty_volume"), 4).alias("log_volume_min"), F.round(F.max("log_uncertainty_volume"), 4).alias("log_volume_max"), F.countDistinct("orbit_regime").alias("n_regimes"),
+        F.round(F.avg(norm(vec("j2k_vel_"))), 4).alias("mean_speed"), F.countDistinct("altitude_band").alias("n_bands"),
     )
+    for column, (name, digits) in medians.items():
+        one = one.crossJoin(rounded(profile.exact_quantiles(df, column, {name: 0.5}), digits, name))  # a row each
+    return one
 
 
 def null_profile(spark, d):
@@ -156,7 +165,9 @@ def iqr_outliers(spark, d):
 
 def bc_summary(spark, d):
     bc, srp = "ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg"
-    return observations(spark, d).agg(F.round(F.min(bc), 8).alias("bc_min"), F.round(F.max(bc), 8).alias("bc_max"), F.round(F.avg(bc), 8).alias("bc_mean"), F.round(F.percentile(bc, F.lit(0.5)), 8).alias("bc_median"), F.round(F.corr(bc, srp), 6).alias("bc_srp_corr"))
+    return observations(spark, d).agg(F.round(F.min(bc), 8).alias("bc_min"), F.round(F.max(bc), 8).alias("bc_max"), F.round(F.avg(bc), 8).alias("bc_mean"), F.round(F.corr(bc, srp), 6).alias("bc_srp_corr")).crossJoin(
+        rounded(profile.exact_quantiles(observations(spark, d), bc, {"bc_median": 0.5}), 8, "bc_median")  # a row each
+    )
 
 
 def scaler_params(spark, d):
@@ -188,11 +199,55 @@ def sliding_windows(spark, d):
     return targets.sliding_windows(observations(spark, d)).select("satellite_number", "window_id", "window_start_idx", "window_end_idx", "window_span_s", "epoch_dt")
 
 
+#: Features of the window matrices: those that the snapshots' own columns give.
+MATRIX = ["ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "perigee_alt_km", "apogee_alt_km", "semi_major_axis_km", "eccentricity", "inclination_deg", "orbital_period_min", "mean_altitude_km", "log_bc", "log_uncertainty_volume", "collision_risk_proxy", "kp_index", "srp_acceleration_ms2", "rtn_along_track_ratio", "rtn_cross_track_ratio", "rtn_total_uncertainty_km"]
+
+
 def window_tensor_stats(spark, d):
-    cols = ["vector_u_sigma_km", "solar_flux_f10"]
-    df = targets.window_matrices(observations(spark, d), cols)
-    total = lambda k: F.round(F.aggregate("matrix", F.lit(0.0), lambda a, r: a + r[k]), 1)
-    return df.select("satellite_number", "window_end_idx", F.size("matrix").alias("n_rows"), total(0).alias("sum_sigma"), total(1).alias("sum_flux"))
+    """Each window's matrix, and the sum over its rows of every feature."""
+    df = banded(spark, d).withColumns(ft.size_features() | ft.environment_features() | ft.rtn_products())
+    held = targets.window_matrices(df, MATRIX)
+    sums = F.aggregate("matrix", F.array_repeat(F.lit(0.0), len(MATRIX)), lambda a, row: F.zip_with(a, row, lambda x, y: x + y))
+    held = held.select("satellite_number", "window_end_idx", F.size("matrix").alias("n_rows"), sums.alias("sums"))
+    return held.select("satellite_number", "window_end_idx", "n_rows", *(F.round(F.col("sums")[i], 2).alias(f"sum_{c}") for i, c in enumerate(MATRIX)))
+
+
+def windows_with_features(spark, d):
+    """Windows joined to the features of their last snapshot."""
+    rows = banded(spark, d).withColumn("epoch_idx", F.row_number().over(ft.by_object()).cast("long") - 1)
+    windows = targets.sliding_windows(observations(spark, d)).select("satellite_number", "window_id", "window_end_idx")
+    return rounded(targets.window_features(windows, rows, ["perigee_alt_km", "log_uncertainty_volume"]), 4, "perigee_alt_km", "log_uncertainty_volume")
+
+
+def thresholds_of_train(spark, d):
+    """Thresholds by size range and band from objects of the train split with 20 snapshots at least."""
+    df = sequences.with_split(sequences.complete(sequences.with_sequences(banded(spark, d))))
+    out = targets.band_thresholds(df, "size_range", fit_split="train", least=20)
+    return rounded(out, 4, "threshold", "secondary_threshold")
+
+
+def long_spans(spark, d):
+    """Snapshots per object, of those that span more than six hours and have a history of ten."""
+    df = sequences.with_span(sequences.with_history(event_rows(spark, d)))
+    return df.groupBy("satellite_number").agg(F.count("*").alias("n"), F.round(F.timestamp_diff("SECOND", F.min("epoch_dt"), F.max("epoch_dt")) / 86400.0, 6).alias("span_days"))
+
+
+def event_rows(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("satellite_number"), F.col("ts").alias("epoch_dt"))
+
+
+def object_sample(spark, d):
+    """Snapshots per object of a fixed sample of objects."""
+    return sequences.sampled_objects(observations(spark, d), 5).groupBy("satellite_number").agg(F.count("*").alias("n"))
+
+
+def union_sources(spark, d):
+    """Two sources of which one lacks columns, as one table; what is missing is null."""
+    full = observations(spark, d).select("satellite_number", "epoch_dt", "ballistic_coef_m2kg").withColumn("source", F.lit("messages"))
+    part = event_rows(spark, d).withColumn("source", F.lit("events"))
+    both = full.unionByName(part, allowMissingColumns=True)
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.count("ballistic_coef_m2kg").alias("n_bc"), F.min("epoch_dt").alias("first_epoch"))
 
 
 def window_range_join(spark, d):
@@ -322,9 +377,47 @@ def altitude_correlation(spark, d):
 
 
 def message_ingest(spark, d):
+    """All 62 columns of the messages that the snapshots are written as, and the parsed epoch."""
     obs = observations(spark, d)
-    parsed = messages.parse_messages(obs.select(*TIE, messages.as_text(obs).alias("block")))
-    return parsed.select(*TIE, "satellite_number", "common_name", messages.epoch_time(F.col("epoch_time_utc")).alias("epoch_dt"), "epoch_rev", F.round("j2k_pos_x", 4).alias("j2k_pos_x"), F.round("ballistic_coef_m2kg", 10).alias("ballistic_coef_m2kg"), F.round("average_ap", 4).alias("average_ap"), F.round(F.sqrt("vector_w_sigma_km"), 4).alias("sqrt_w_sigma"), F.col("thrust_accel_ms2"))
+    parsed = messages.parse_messages(obs.select(F.struct(*TIE).alias("row"), messages.as_text(obs).alias("block")))
+    numbers = {c: F.round(c, 4 if "_pos_" in c or "_vel_" in c else 10) for c, kind in messages.COLUMNS.items() if kind == "double"}
+    return parsed.withColumns(numbers | {"epoch_dt": messages.epoch_time(F.col("epoch_time_utc"))}).select("row.*", "epoch_dt", *(c for c in messages.COLUMNS if c != "epoch_time_utc"))
+
+
+def sink_round_trips(spark, d):
+    """Snapshots written and read again as Parquet (by name, and with a folder a value), CSV and JSON: rows and sums."""
+    df = observations(spark, d).select("satellite_number", "common_name", "l_orderkey", "l_linenumber", "solar_flux_f10")
+    schema, root = df.schema.simpleString()[7:-1].replace(":", " "), tables.scratch(spark)
+    tables.write_parquet(df, f"{root}/plain")
+    tables.write_parquet(df, f"{root}/by_name", ["common_name"])
+    tables.write_csv(df, f"{root}/csv")
+    tables.write_json(df, f"{root}/json")
+    found = {
+        "parquet": tables.read_parquet(spark, f"{root}/plain", df.columns), "folders": tables.read_parquet(spark, f"{root}/by_name", df.columns),
+        "csv": tables.read_csv(spark, f"{root}/csv", schema), "json": tables.read_json(spark, f"{root}/json", schema),
+    }
+    sums = [F.count("*").alias("n"), F.countDistinct("common_name").alias("n_names"), F.sum("l_orderkey").alias("sum_key"), F.round(F.sum("solar_flux_f10"), 3).alias("sum_flux")]
+    return reduce(DataFrame.unionByName, [x.agg(*sums).withColumn("format", F.lit(name)) for name, x in found.items()])
+
+
+def grid_round_trip(spark, d):
+    """The presence grid written with its axes and read again, with centres joined from the axes' tables."""
+    root = tables.scratch(spark)
+    tables.write_grid(cells(spark, d), f"{root}/grid")
+    read = tables.read_parquet(spark, f"{root}/grid/cells")
+    for axis in ("alt", "lat", "lon"):
+        read = read.join(tables.read_parquet(spark, f"{root}/grid/axis_{axis}").withColumnRenamed("center", f"{axis}_center"), f"{axis}_i")
+    return read.groupBy("alt_center").agg(F.count("*").alias("n_cells"), F.round(F.sum("pop"), 3).alias("pop"), F.min("lat_center").alias("lat_min"), F.max("lon_center").alias("lon_max"))
+
+
+def catalog_files(spark, d):
+    """The catalogue written as a CSV file set for each event, read as one table and made unique."""
+    known, root = catalog.supplier_catalog(table(spark, d, "supplier")), tables.scratch(spark)
+    events = ["event0", "event1", "event9"]
+    for e in events:
+        tables.write_csv(known.where(F.col("event_source") == e).drop("event_source"), f"{root}/{e}")
+    one = catalog.enriched(catalog.read_catalog(spark, {e: f"{root}/{e}" for e in events}))
+    return one.groupBy("event_source", "object_class_catalog").agg(F.count("*").alias("n"), F.round(F.avg("mean_alt_km"), 3).alias("mean_alt_km"))
 
 
 def parse_summary(spark, d):
@@ -338,44 +431,41 @@ def j2_acc(spark, d):
     return observations(spark, d).select(*KEY, *(F.round(c * 1e6, 4).alias(f"{n}_mm_s2") for n, c in acc.items()))
 
 
-def propagation_errors(spark, d):
-    df = elements(spark, d).withColumn("size_range", ft.size_range(F.col("ballistic_coef_m2kg")))
-    return propagate.residuals(df)
+def error_rows(spark, d):
+    """Distances of snapshots from their object's first state, carried on as a two-body orbit."""
+    return errors.residuals(elements(spark, d))
 
 
-def divergence(spark, d):
-    return propagate.divergence(propagation_errors(spark, d))
+def propagation_errors(spark, d):
+    return rounded(error_rows(spark, d), 3, "alt_km", "days", "err_km")
 
 
-def error_rows(spark, d):
-    """Error rows from the snapshots: days since the object's first, and a distance that varies with the state."""
-    df = elements(spark, d)
-    first = F.min("epoch_dt").over(Window.partitionBy("satellite_number"))
-    return df.select("satellite_number", (norm(vec("j2k_pos_")) - R_EARTH + F.lit(30.0) * (F.col("satellite_number") % 50)).alias("alt_km"), (F.timestamp_diff("SECOND", first, F.col("epoch_dt")) / 86400.0).alias("days"), F.abs("j2k_pos_x").alias("err_km")).where("days > 0")
+def divergence(spark, d):
+    return rounded(errors.divergence(error_rows(spark, d)), 3, "diverged_days", "last_err_km")
 
 
 def horizon_error_stats(spark, d):
-    return round_doubles(propagate.horizon_stats(error_rows(spark, d)), 3)
+    return round_doubles(errors.horizon_stats(error_rows(spark, d)), 3)
 
 
 def regime_errors(spark, d):
-    return round_doubles(propagate.regime_errors(error_rows(spark, d)), 3)
+    return round_doubles(errors.regime_errors(error_rows(spark, d)), 3)
 
 
 def worst_objects(spark, d):
-    return round_doubles(propagate.worst_objects(error_rows(spark, d)), 3)
+    return round_doubles(errors.worst_objects(error_rows(spark, d)), 3)
 
 
 def error_pivot(spark, d):
-    return round_doubles(propagate.error_pivot(error_rows(spark, d)), 3)
+    return round_doubles(errors.error_pivot(error_rows(spark, d)), 3)
 
 
 def altitude_bin_errors(spark, d):
-    return round_doubles(propagate.altitude_bin_errors(error_rows(spark, d)), 3)
+    return round_doubles(errors.altitude_bin_errors(error_rows(spark, d)), 3)
 
 
 def extreme_objects(spark, d):
-    return round_doubles(propagate.extreme_objects(error_rows(spark, d)), 3)
+    return round_doubles(errors.extreme_objects(error_rows(spark, d)), 3)
 
 
 def scored_rows(spark, d):
@@ -398,16 +488,24 @@ def stratified_sample(spark, d):
 
 
 def rf_baseline(spark, d):
+    """Metrics of a forest for each size range (three), on its windows' last snapshots, fitted on the train split."""
     df = labelled_rows(spark, d)
-    model = forest.fit_forest(df, FEATURES, trees=20, depth=8)
-    return metrics.classifier_metrics(forest.scored(model, df.where("split = 'test'"), FEATURES))
+    windows = df.withColumn("i", F.row_number().over(ft.by_object("size_range"))).where("i >= 20")
+    found = []
+    for size in ("5-10cm", "10-25cm", "25-50cm"):
+        own = windows.where(F.col("size_range") == size)
+        if own.where("split = 'train'").head() is None or own.where("split = 'test'").head() is None:
+            continue
+        model = forest.fit_forest(own, FEATURES)
+        found.append(metrics.classifier_metrics(forest.scored(model, own.where("split = 'test'"), FEATURES)).withColumn("size_range", F.lit(size)))
+    return reduce(DataFrame.unionByName, found) if found else metrics.classifier_metrics(spark.createDataFrame([], "label int, score double")).withColumn("size_range", F.lit(None).cast("string"))
 
 
 QUERIES = (
     risk_thresholds_by_band, rtn_frame, rtn_validation, orbital_elements, elements_validation, epoch_sequences, sequence_stats, rank_split, split_profile, split_leaks, size_distribution, time_gaps, trend_features,
     size_features, env_features, risk_features, rtn_products, feature_sanity, null_profile, iqr_outliers, bc_summary, scaler_params, scaled_features, label_encoding, risk_labels, future_targets, sliding_windows,
-    window_tensor_stats, window_range_join, target_summary, target_checks, epoch_histogram, epoch_shares, epoch_percentiles, gap_stats, gap_regularity, red_flags, time_range, bc_by_epoch_bin, nearest_epoch,
-    ks_two_sample, feature_label_corr, latest_snapshot, geodetic, geodetic_summary, voxel_grid, grid_marginals, hottest_shell, bc_histogram, catalog_labels, altitude_correlation, message_ingest, parse_summary,
+    window_tensor_stats, windows_with_features, thresholds_of_train, long_spans, object_sample, union_sources, window_range_join, target_summary, target_checks, epoch_histogram, epoch_shares, epoch_percentiles, gap_stats, gap_regularity, red_flags, time_range, bc_by_epoch_bin, nearest_epoch,
+    ks_two_sample, feature_label_corr, latest_snapshot, geodetic, geodetic_summary, voxel_grid, grid_marginals, hottest_shell, bc_histogram, catalog_labels, altitude_correlation, message_ingest, parse_summary, sink_round_trips, grid_round_trip, catalog_files,
     propagation_errors, divergence, horizon_error_stats, regime_errors, worst_objects, error_pivot, altitude_bin_errors, extreme_objects, classifier_metrics, class_weights, stratified_sample, rf_baseline,
 )
 

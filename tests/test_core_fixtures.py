@@ -11,7 +11,7 @@ from conftest import SMALL
 from orbitspark.constants import GM, R_EARTH
 from orbitspark.functions import features as ft
 from orbitspark.functions.orbital import with_geodetic
-from orbitspark.operators import metrics, profile, propagate, riskmap, targets
+from orbitspark.operators import errors, metrics, profile, riskmap, sequences, targets
 from orbitspark.plans import stages
 from orbitspark.sources import catalog, messages
 from orbitspark.sources.obs import observations
@@ -70,32 +70,74 @@ def test_messages(spark, tmp_path):
     assert len(messages.parse_messages(spark.createDataFrame([("x",)], "block string")).columns) == 62
 
 
-def test_circular_orbit_returns():
+def test_circular_orbit_returns(spark):
+    """After whole and third periods a circular orbit is where it should be; an unbound state has no place."""
     r = R_EARTH + 500
-    start = np.array([[r, 0, 0, 0, math.sqrt(GM / r), 0]]).T
-    period = 2 * math.pi * math.sqrt(r**3 / GM)
-    (end,) = propagate.states_at(start, [np.array([period / 3, 2 * period / 3])], 60.0, j2=0.0)
-    assert np.abs(end[:3, -1] - start[:3, 0]).max() < 0.05
-    energy = (end[3:] ** 2).sum(0) / 2 - GM / np.sqrt((end[:3] ** 2).sum(0))
-    assert energy == pytest.approx(-GM / (2 * r), rel=1e-6)  # steps of 60 s lose about 2e-7 in an orbit
-
-
-def test_lanes_equal_single_runs():
-    rng = np.random.default_rng(0)
-    start = np.array([[7000 + 50 * i, 10, 20, 0.1, 7.4, 1.0] for i in range(3)], float).T
-    spans = [np.array([500.0, 50.0]), np.array([]), rng.uniform(10, 900, 5)]
-    together = propagate.states_at(start, spans, 120.0)
-    for i in (0, 2):
-        assert together[i] == pytest.approx(propagate.states_at(start[:, [i]], [spans[i]], 120.0)[0])
+    v, period = math.sqrt(GM / r), 2 * math.pi * math.sqrt(r**3 / GM)
+    rows = [(r, 0.0, 0.0, 0.0, v, 0.0, period / 3), (r, 0.0, 0.0, 0.0, v, 0.0, 7 * period), (r, 0.0, 0.0, 0.0, 2 * v, 0.0, 100.0)]
+    names = [f"__{c}" for c in errors.STATE] + ["dt"]
+    got = errors.carried(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))).collect()
+    assert (got[0]["at_x"], got[0]["at_y"]) == pytest.approx((r * math.cos(2 * math.pi / 3), r * math.sin(2 * math.pi / 3)), abs=1e-6)
+    assert (got[1]["at_x"], got[1]["at_y"]) == pytest.approx((r, 0), abs=1e-4) and got[2]["at_x"] is None
+
+
+def test_eccentric_orbit_equals_small_steps(spark):
+    """Against a plain integration in steps of a tenth of a second."""
+    s = np.array([7000.0, 100.0, -300.0, 0.5, 8.6, 1.2])
+    names = [f"__{c}" for c in errors.STATE] + ["dt"]
+    got = errors.carried(spark.createDataFrame([(*map(float, s), 2000.0)], ", ".join(f"{c} double" for c in names))).first()
+    p, v, h = s[:3].copy(), s[3:].copy(), 0.1
+    pull = lambda x: -GM * x / np.linalg.norm(x) ** 3
+    for _ in range(20_000):
+        half = v + h / 2 * pull(p)
+        p = p + h * half
+        v = half + h / 2 * pull(p)
+    assert np.abs(np.array([got["at_x"], got["at_y"], got["at_z"]]) - p).max() < 1e-2
 
 
 def test_residuals_cover_all_objects(spark):
-    df = observations(spark, SMALL).withColumns({"perigee_alt_km": F.lit(500.0), "size_range": F.lit("5-10cm")}).where("epoch_dt < timestamp'2022-09-06'")
-    got = {r["satellite_number"] for r in propagate.residuals(df).collect()}
+    df = observations(spark, SMALL).withColumn("perigee_alt_km", F.lit(500.0)).where("epoch_dt < timestamp'2022-09-06'")
+    got = {r["satellite_number"] for r in errors.residuals(df).collect()}
     many = {r["satellite_number"] for r in df.groupBy("satellite_number").count().where("count > 1").collect()}
     assert got == many
 
 
+def test_exact_quantiles(spark):
+    """Against numpy, with a value that a third of all rows have, few rows, and none."""
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in rng.normal(size=700)] + [("a", 0.25)] * 350 + [("b", 7.0), ("b", 9.0), ("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"low": 0.0, "q": 0.37, "mid": 0.5, "high": 1.0}
+    got = {r["k"]: r for r in profile.exact_quantiles(df, "v", wanted, "k").collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in got:
+        values = [v for kk, v in rows if kk == k]
+        assert [got[k][q] for q in wanted] == pytest.approx([np.quantile(values, p) for p in wanted.values()])
+    assert profile.quantiles_of_counts(profile.value_counts(df.where("k = 'd'"), "v"), wanted).first()["mid"] is None
+
+
+def test_history_span_and_sample(spark):
+    rows = [(1, datetime(2022, 1, 1, i)) for i in range(12)] + [(2, datetime(2022, 1, 1, 0, i)) for i in range(12)] + [(3, datetime(2022, 1, 1)), (3, datetime(2022, 1, 2))]
+    df = spark.createDataFrame(rows, "satellite_number long, epoch_dt timestamp_ntz")
+    objects = lambda x: {r["satellite_number"] for r in x.collect()}
+    assert objects(sequences.with_history(df)) == {1, 2} and objects(sequences.with_span(df)) == {1, 3}
+    assert objects(sequences.sampled_objects(df, 2)) == objects(sequences.sampled_objects(df.repartition(5), 2)) and len(objects(sequences.sampled_objects(df, 2))) == 2
+
+
+def test_zero_sigmas(spark):
+    got = spark.createDataFrame([(0.0, 0.0, 0.0)], "vector_u_sigma_km double, vector_v_sigma_km double, vector_w_sigma_km double").select(ft.rtn_products()["log_rtn_uncertainty"].alias("x")).first()
+    assert got["x"] == pytest.approx(-15)
+
+
+def test_message_lines_are_strict(spark):
+    block = "  COMMON NAME: LED BY SPACES\n<>   COMMON NAME:  TWO  WORDS \t\nJ2K POS (KM): 1 2 3 4\nJ2K VEL (KM/S): 1 2\nECI POS (KM): 1 x 3\nEFG POS (KM): 7 8 9\nEFG POS (KM): 7 8\nSOLAR FLUX:  F10:1.5 AVERAGE F10: 2 AVERAGE AP: 3\nEPOCH TIME (UTC): 2022 244 EPOCH REV: x1\nPOLAR MOT X,Y (ARCSEC): .1 -.2 IAU 1980 NUTAT: 4 terms\nMESSAGE TIME (UTC): now CENTER:\n"
+    r = messages.parse_messages(spark.createDataFrame([(block,), (None,)], "block string")).collect()
+    assert r[0]["common_name"] == "TWO  WORDS" and r[0]["j2k_pos_x"] is None and r[0]["j2k_vel_x"] is None and r[0]["eci_pos_z"] is None
+    assert (r[0]["efg_pos_x"], r[0]["efg_pos_z"]) == (7.0, 9.0) and (r[0]["solar_flux_f10"], r[0]["average_f10"], r[0]["average_ap"]) == (1.5, 2.0, 3.0)
+    assert r[0]["epoch_rev"] is None and (r[0]["polar_mot_x_arcsec"], r[0]["polar_mot_y_arcsec"], r[0]["iau_1980_nutat"]) == (0.1, -0.2, "4 terms")
+    assert (r[0]["message_time_utc"], r[0]["center"]) == ("now", "") and all(r[1][c] is None for c in messages.COLUMNS)
+
+
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.8), (0, 0.1)], "label int, score double")
     r = metrics.classifier_metrics(df).first()
