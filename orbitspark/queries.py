@@ -490,8 +490,11 @@ def stratified_sample(spark, d):
 def rf_baseline(spark, d):
     """Metrics of a forest for each size range (three), on its windows' last snapshots, fitted on the train split."""
     df = labelled_rows(spark, d)
-    windows = df.withColumn("i", F.row_number().over(ft.by_object("size_range"))).where("i >= 20")
-    found = []
+    windows = df.withColumn("i", F.row_number().over(ft.by_object("size_range"))).where("i >= 20").select("size_range", "split", "collision_risk", *FEATURES)
+    # written once: a forest reads its rows many times
+    root, found = tables.scratch(spark), []
+    tables.write_parquet(windows, f"{root}/windows", ["size_range"])
+    windows = tables.read_parquet(spark, f"{root}/windows")
     for size in ("5-10cm", "10-25cm", "25-50cm"):
         own = windows.where(F.col("size_range") == size)
         if own.where("split = 'train'").head() is None or own.where("split = 'test'").head() is None:
