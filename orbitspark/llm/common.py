@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.written_at = path
+    for held in RECORDS:
+        held.append(out)
     return out
 
 
+#: Lists that take note of the tables written while they are open.
+RECORDS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that are written while this is open."""
+    held: list[DataFrame] = []
+    RECORDS.append(held)
+    try:
+        yield held
+    finally:
+        RECORDS[:] = [x for x in RECORDS if x is not held]
+
+
 def erase(*tables: DataFrame) -> None:
     """Deletes the files of tables from written(), once nothing will read them again."""
     for t in tables:
