@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the given tables, and SQL for those that SQL can express."""
+"""The queries op1_ to op13_ over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitspark.llm import byte_bpe, extraction, licenses, packing, quality, sharding, simhash, suffix_dedup, topk, toxicity
+from orbitspark.llm import byte_bpe, collocations, extraction, licenses, merkle, packing, quality, sharding, simhash, suffix_dedup, topk, toxicity, word_bpe
 from orbitspark.llm.common import table
 
 
@@ -63,7 +63,22 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-OPERATORS = (op1_simhash_dedup, op2_byte_bpe, op3_exact_topk, op4_toxicity, op5_quality_rules, op6_license_scan, op7_binary_packing, op8_suffix_dedup, op9_html_extraction, op10_minimax_sharding)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = table(spark, sf_dir, "documents").select("doc_id", word_bpe.encode(F.col("text"), path).alias("ids"))
+    decoded = coded.withColumn("decoded", word_bpe.decode(F.col("ids"), path))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_simhash_dedup, op2_byte_bpe, op3_exact_topk, op4_toxicity, op5_quality_rules, op6_license_scan, op7_binary_packing, op8_suffix_dedup, op9_html_extraction, op10_minimax_sharding, op11_phrase_collocations, op12_word_bpe, op13_merkle_manifest)
 
 
 def queries() -> dict:
@@ -143,5 +158,69 @@ FROM scored WHERE containment >= {licenses.LEAST} GROUP BY doc_id, template
 """
 
 
+def _op11_sql() -> str:
+    """Every phrase of every piece, counted as text."""
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS phrase FROM pieces WHERE len(w) >= {k}" for k in range(1, 5))
+    return rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM texts),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM found),
+scored AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.c, p.f AS l, q.f AS r, (2000000 * x.a::HUGEINT // (p.f + q.f))::BIGINT AS score FROM cuts x
+  JOIN counts p ON p.lang = x.lang AND p.phrase = array_to_string(x.w[1:x.c], ' ') JOIN counts q ON q.lang = x.lang AND q.phrase = array_to_string(x.w[x.c + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+parts AS (
+  SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM found WHERE k > 2))),
+held AS (SELECT lang, phrase, max(a) AS h FROM parts GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN held USING (lang, phrase) JOIN totals USING (lang) WHERE h IS NULL OR 100 * h < 80 * a QUALIFY rank <= 2000
+"""
+
+
+def _op13_sql(levels: int = 6) -> str:
+    """The trees level by level, enough of them for 16^6 leaves and sources."""
+    table_of = [0] * 256  # of CRC-32
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        table_of[i] = c
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, {table_of}[(xor(a, b) & 255) + 1])), 4294967295)"
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, first: str) -> str:
+        """Tables name0, name1, ... (g, i, n, h) of nodes, and name_s0, ... of what stands beside each."""
+        parts = [f"{name}0 AS MATERIALIZED ({first})"]
+        for j in range(levels):
+            parts.append(f"{name}{j + 1} AS MATERIALIZED (SELECT g, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{j} GROUP BY g, i // 16, n)")
+            side = lambda op: f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i {op} a.i), '')"
+            parts.append(f"{name}_s{j} AS MATERIALIZED (SELECT a.g, a.i, a.n > 1 AS up, {side('<')} AS lft, {side('>')} AS rgt FROM {name}{j} a JOIN {name}{j} b ON a.g = b.g AND a.i // 16 = b.i // 16 GROUP BY a.g, a.i, a.n)")
+        return ",\n".join(parts)
+
+    def climb(name: str, start: str, tree_name: str) -> str:
+        """Tables name0, ... of documents on their way up: path and fold so far, and place (g, i) in the tree."""
+        parts = [f"{name}0 AS ({start})"]
+        for j in range(levels):
+            parts.append(f"{name}{j + 1} AS MATERIALIZED (SELECT d.* REPLACE (i // 16 AS i, path || lft || rgt AS path, CASE WHEN up THEN sha256(lft || fold || rgt) ELSE fold END AS fold) FROM {name}{j} d JOIN {tree_name}_s{j} s USING (g, i))")
+        return ",\n".join(parts)
+
+    return f"""
+WITH leaves AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, {leaf("text")} AS leaf, CASE WHEN coalesce({crc} % 5 = 0, false) THEN {leaf(small)} ELSE {leaf("text")} END AS changed FROM documents),
+places AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{tree("t", "SELECT g, i, n, leaf AS h FROM places")},
+tops AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t{levels}),
+{tree("s", "SELECT '' AS g, i, n, h FROM tops")},
+{climb("d", "SELECT doc_id, leaf, g, i, '' AS path, changed AS fold FROM places", "t")},
+{climb("e", f"SELECT d.doc_id, d.leaf, x.h AS subroot, '' AS g, x.i, d.path, d.fold FROM d{levels} d JOIN tops x USING (g)", "s")}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(path) AS proof_sha256, fold AS folded_root, fold = root.h AS verified FROM e{levels}, s{levels} AS root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": _op3_sql(), "op5_quality_rules": _op5_sql(), "op6_license_scan": _op6_sql()}
+    return {"op3_exact_topk": _op3_sql(), "op5_quality_rules": _op5_sql(), "op6_license_scan": _op6_sql(), "op11_phrase_collocations": _op11_sql(), "op13_merkle_manifest": _op13_sql()}
