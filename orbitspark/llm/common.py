@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,24 +56,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.written_at = path
-    for held in RECORDS:
+    if (held := RECORD.get()) is not None:
         held.append(out)
     return out
 
 
-#: Lists that take note of the tables written while they are open.
-RECORDS: list[list[DataFrame]] = []
+#: What takes note of the tables that this thread writes.
+RECORD: ContextVar[list[DataFrame] | None] = ContextVar("RECORD", default=None)
 
 
 @contextmanager
 def recorded() -> Iterator[list[DataFrame]]:
-    """The tables that are written while this is open."""
+    """The tables that the calling thread writes while this is open."""
     held: list[DataFrame] = []
-    RECORDS.append(held)
+    token = RECORD.set(held)
     try:
         yield held
     finally:
-        RECORDS[:] = [x for x in RECORDS if x is not held]
+        RECORD.reset(token)
 
 
 def erase(*tables: DataFrame) -> None:

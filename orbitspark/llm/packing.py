@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitspark.llm.common import batches_of, partitions, written
+from orbitspark.llm.common import batches_of, written
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, task int, nth long"
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,8 +50,9 @@ def binary_lengths(n: int, limit: int = 2048) -> list[int]:
 
 
 def split_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit).
+    """One row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit), task and nth.
 
+    Pieces are numbered as they are made: nth (from 0) among those of their length that their task has made.
     A document's tokens are its ids and then end_id, so that a null or empty text makes one piece of one token. Rows
     that repeat an id, or have none, are packed each. Texts are encoded whole, whatever their length. An empty table
     gives no rows; other columns are never read.
@@ -57,7 +60,7 @@ def split_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, l
     batches_of(docs.sparkSession)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(path, pattern)
+        code, task, made = encoder(path, pattern), TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
@@ -65,9 +68,10 @@ def split_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, l
                 ids.append(end_id)
                 blob, n, at = memoryview(ids).cast("B"), len(ids), 0
                 for k in binary_lengths(n, limit):
-                    rows.append((doc, at, k, n, bytes(blob[4 * at : 4 * (at + k)])))
+                    rows.append((doc, at, k, n, bytes(blob[4 * at : 4 * (at + k)]), task, made[k]))
                     at += k
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
+                    made[k] += 1
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth"])
             yield out.astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(split, PIECES)
@@ -76,23 +80,15 @@ def split_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, l
 def number_sequences(pieces: DataFrame) -> DataFrame:
     """pieces with sequence_id (long, from 0 without gaps, buckets of one length together) and offset (0: a piece fills its sequence).
 
-    Rows are dealt out in turn to slices, written with them, and numbered within their slice; the slices' counts, at
-    most 12 a partition, give each slice its first number. So no bucket goes to one task, nor do rows of one id or none.
+    Pieces are written as they were made; what is counted then, a row for each length (12 at most) and task, says with
+    which number a task's pieces of a length begin. So pieces are never shuffled.
     """
-    spark = pieces.sparkSession
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(partitions(spark))).cast("int")
-    sliced = written(pieces.withColumn("slice", salt), "pieces")
-    counts = sliced.groupBy("length", "slice").agg(F.count("*").alias("n"))
-    before = Window.orderBy("length", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("length", "slice").orderBy("doc_id", "start", "doc_tokens")
-    return (
-        sliced.withColumn("n", F.row_number().over(inside) - 1)
-        .join(first, ["length", "slice"])
-        .withColumn("sequence_id", (F.col("first") + F.col("n")).cast("long"))
-        .withColumn("offset", F.lit(0).cast("long"))
-        .drop("slice", "n", "first")
-    )
+    made = written(pieces, "pieces")
+    counts = made.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = Window.orderBy("length", "task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = made.join(F.broadcast(first), ["length", "task"]).withColumns({"sequence_id": F.col("first") + F.col("nth"), "offset": F.lit(0).cast("long")})
+    return numbered.drop("task", "nth", "first")
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, limit: int = 2048) -> DataFrame:

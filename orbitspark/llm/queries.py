@@ -43,8 +43,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     pieces = packing.split_documents(table(spark, sf_dir, "documents"), path, pattern)
-    # the ids' digest is taken before the pieces are numbered, so that the ids themselves aren't shuffled
-    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    # the ids' digest is taken before the pieces are numbered, so that the ids themselves aren't written
+    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "task", "nth")
     return packing.number_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

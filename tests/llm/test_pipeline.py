@@ -92,5 +92,12 @@ def test_odd_documents_pass_every_stage(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
 
 
+def test_two_runs_don_t_meet(spark, outputs):
+    """Both results are read after both runs, and equal that of the stages."""
+    first, second = corpus_pipeline.run(spark, SMALL), corpus_pipeline.run(spark, SMALL)
+    pieces = lambda df: sorted((r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in df.collect())
+    assert pieces(first) == pieces(second) == pieces(outputs[5])
+
+
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
