@@ -29,7 +29,7 @@ from orbitspark.llm.common import batches_of, release, written
 #: Words of the longest phrase.
 MOST = 4
 #: One word in so many ends a chunk.
-TRIGGER = 16
+TRIGGER = 32
 #: Bits of the bitmap of frequent phrases, as a power of two: 8 MB.
 BITMAP = 26
 #: Marks that end a piece. In the text's bytes all of them become the first, and A-Z become small.
@@ -47,36 +47,47 @@ class Triggers(dict):
         return ends
 
 
-def chunks_of(text: str, triggers: Triggers, most: int = MOST) -> Iterator[tuple[int, bytes]]:
-    """(own, chunk): words and "." for ends of pieces, space-joined; the first `own` of them are the chunk's own."""
+def chunks_of(text: str, triggers: Triggers, most: int = MOST) -> Iterator[tuple[int, int, bytes]]:
+    """(own, words, chunk): words and "." for ends of pieces, space-joined; the first `own`, `words` of them words, are the chunk's own."""
     words = text.encode().translate(LOWER).replace(b".", b" . ").split()
     ends = np.flatnonzero(np.fromiter(map(triggers.__getitem__, words), bool, len(words))) + 1
     start = 0
     for end in (*ends.tolist(), len(words)):
         if end > start:
-            yield end - start, b" ".join(words[start : end + most - 1])
+            yield end - start, end - start - words[start:end].count(b"."), b" ".join(words[start : end + most - 1])
         start = end
 
 
 def chunk_dictionary(docs: DataFrame) -> DataFrame:
-    """(lang, own, chunk, n): the distinct chunks of all texts by language, with their frequency in the parse."""
+    """(lang, own, words, chunk, n): the distinct chunks of all texts by language, with their frequency n in the parse.
+
+    own: how many words and ends of pieces the chunk owns, from its first on; words: how many of them are words.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         triggers = Triggers()
         for b in batches:
             found: Counter = Counter()
             for lang, text in b.itertuples(index=False):
-                found.update((lang, own, chunk) for own, chunk in chunks_of(text, triggers))
-            rows = [(lang, own, chunk.decode(), n) for (lang, own, chunk), n in found.items()]
-            yield pd.DataFrame(rows, columns=["lang", "own", "chunk", "n"])
+                found.update((lang, *chunk) for chunk in chunks_of(text, triggers))
+            rows = [(lang, own, words, chunk.decode(), n) for (lang, own, words, chunk), n in found.items()]
+            yield pd.DataFrame(rows, columns=["lang", "own", "words", "chunk", "n"])
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    return texts.mapInPandas(parse, "lang string, own int, chunk string, n long").groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(parse, "lang string, own int, words int, chunk string, n long").groupBy("lang", "own", "words", "chunk").agg(F.sum("n").alias("n"))
+
+
+def places(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Where phrases stand in the bitmap, by the hashes of their language and words."""
+    h = lang
+    for w in words:
+        h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        h = h ^ h >> np.uint64(29)
+    return (h >> np.uint64(64 - BITMAP)).astype(np.int64)
 
 
-def mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+def held_in(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def hashes(values: pa.Array) -> np.ndarray:
@@ -91,7 +102,7 @@ def flat(chunks: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
 
 
 def phrase_counts(dictionary: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, bit, n): occurrences of phrases of k words; those of which a part isn't in the bitmap are left out."""
+    """(lang, phrase, n): occurrences of phrases of k words; those of which a part isn't in the bitmap are left out."""
     held = dictionary.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +113,6 @@ def phrase_counts(dictionary: DataFrame, k: int, bits: np.ndarray | None) -> Dat
             langs = b["lang"].dictionary_encode()
             of = np.repeat(np.arange(b.num_rows), lengths)
             inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            word_hash, lang_hash = hashes(words), hashes(langs.dictionary)
             # where a phrase of k words begins: in the chunk's own part, without an end of a piece in it
             stop = pc.index(words, ".").as_py()  # -1: none
             good = inside < b["own"].to_numpy()[of]
@@ -114,53 +124,55 @@ def phrase_counts(dictionary: DataFrame, k: int, bits: np.ndarray | None) -> Dat
             at = at[good]
             lang = langs.indices.to_numpy()[of[at]].astype(np.int64)
 
-            def places(first: int, n: int, at=at, lang=lang, codes=codes, word_hash=word_hash, lang_hash=lang_hash) -> np.ndarray:
-                h = lang_hash[lang]
-                for j in range(first, first + n):
-                    h = mixed(h, word_hash[codes[at + j]])
-                return (h >> np.uint64(64 - BITMAP)).astype(np.int64)
-
             if k > 1:
-                bitmap = held.value
-                known = [bitmap[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in (places(0, k - 1), places(1, k - 1))]
-                keep = (known[0] & known[1]).astype(bool)
+                hashed, lang_hash = hashes(words), hashes(langs.dictionary)
+                keep = np.ones(len(at), bool)
+                for first in (0, 1):
+                    keep &= held_in(held.value, places(lang_hash[lang], [hashed[codes[at + first + j]] for j in range(k - 1)]))
                 at, lang = at[keep], lang[keep]
-            columns = {"lang": lang, "bit": places(0, k, at, lang)} | {f"w{j}": codes[at + j] for j in range(k)} | {"n": b["n"].to_numpy()[of[at]]}
+            columns = {"lang": lang} | {f"w{j}": codes[at + j] for j in range(k)} | {"n": b["n"].to_numpy()[of[at]]}
             found = pa.table(columns).group_by([c for c in columns if c != "n"]).aggregate([("n", "sum")])
             phrase = pc.binary_join_element_wise(*(words.take(found[f"w{j}"].combine_chunks()) for j in range(k)), " ")
-            out = pa.record_batch([langs.dictionary.take(found["lang"].combine_chunks()), phrase, found["bit"].combine_chunks(), found["n_sum"].combine_chunks()], ["lang", "phrase", "bit", "n"])
+            out = pa.record_batch([langs.dictionary.take(found["lang"].combine_chunks()), phrase, found["n_sum"].combine_chunks()], ["lang", "phrase", "n"])
             for i in range(0, out.num_rows, 100_000):
                 yield out.slice(i, 100_000)
 
-    counted = dictionary.mapInArrow(count, "lang string, phrase string, bit long, n long")
-    return counted.groupBy("lang", "phrase", "bit").agg(F.sum("n").alias("n"))
+    counted = dictionary.mapInArrow(count, "lang string, phrase string, n long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
 
+def bitmap_of(phrases: DataFrame, k: int) -> np.ndarray:
+    """The bitmap of phrases of k words: at most 2^20 rows of 64 bits come to the driver, whatever the phrases' number."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes, words, _ = flat(b["phrase"])
+                hashed, langs = hashes(words)[codes].reshape(-1, k), b["lang"].dictionary_encode()
+                yield pa.record_batch([places(hashes(langs.dictionary)[langs.indices.to_numpy()], list(hashed.T))], ["bit"])
 
-def bitmap_of(phrases: DataFrame) -> np.ndarray:
-    """The bitmap of phrases (column bit): at most 2^20 rows of 64 bits come to the driver, whatever the phrases' number."""
     one = F.expr("shiftleft(1L, int(bit & 63))")
-    rows = phrases.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITMAP - 6), np.uint64)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return bits
+    found = phrases.select("lang", "phrase").mapInArrow(bits, "bit long")
+    rows = found.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP - 6), np.uint64)
+    bitmap[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bitmap
 
 
 def frequent_phrases(docs: DataFrame, least: int, most: int = MOST) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (lang, phrase, bit, n) of the phrases of 1, 2, ... words with n >= least, and (lang, n) of all words."""
+    """Tables (lang, phrase, n) of the phrases of 1, 2, ... words with n >= least, and (lang, n) of all words."""
     spark = docs.sparkSession
     batches_of(spark)
     dictionary = written(chunk_dictionary(docs), "chunks")
     release(spark)
+    totals = dictionary.groupBy("lang").agg(F.sum(F.col("n") * F.col("words")).alias("n"))
     levels, bits = [], None
     for k in range(1, most + 1):
         counts = phrase_counts(dictionary, k, bits)
-        if k == 1:
-            counts = written(counts, "words")
-            totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
         levels.append(written(counts.where(F.col("n") >= least), f"phrases{k}"))
         release(spark)
         if k < most:
-            bits = bitmap_of(levels[-1])
+            bits = bitmap_of(levels[-1], k)
     return levels, totals
 
 

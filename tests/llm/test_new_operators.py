@@ -72,7 +72,7 @@ def test_collocations_equal_plain_counts(spark, least, top):
 def test_full_bitmap_changes_nothing(spark, monkeypatch):
     rows = odd_texts()
     df = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(collocations, "bitmap_of", lambda _: np.full(1 << (collocations.BITMAP - 6), 2**64 - 1, np.uint64))
+    monkeypatch.setattr(collocations, "bitmap_of", lambda *_: np.full(1 << (collocations.BITMAP - 6), 2**64 - 1, np.uint64))
     assert {tuple(r) for r in collocations.collocations(df, 5).collect()} == plain_collocations(rows, 5, 2000)
 
 
@@ -86,8 +86,9 @@ def test_chunks_own_every_phrase_once():
         words = [w for w in re.split("[ \t]+", re.sub("[.,;:!?\n\x0b\x0c\r]", " . ", small(text or ""))) if w]
         whole = Counter(tuple(words[i : i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
         got = Counter()
-        for own, chunk in collocations.chunks_of(text or "", triggers):
+        for own, said, chunk in collocations.chunks_of(text or "", triggers):
             w = chunk.decode().split(" ")
+            assert said == sum(x != "." for x in w[:own])
             got.update(tuple(w[i : i + k]) for k in range(1, 5) for i in range(own) if i + k <= len(w))
         assert got == whole
 
