@@ -18,9 +18,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbitspark.llm.byte_bpe import REMEMBERED
 from orbitspark.llm.common import batches_of
 
+#: Distinct cuts in a generation of what a Python worker remembers; there are two.
+REMEMBERED = 150_000
 NONE = np.iinfo(np.int64).max
 #: ASCII white space besides the space.
 BLANKS = "\t\n\x0b\x0c\r"
