@@ -22,3 +22,13 @@ BC_MIN, BC_MAX, MAX_UNCERTAINTY_KM, N_SIGMA, MIN_SIGMA_KM = 0.0006, 0.02, 100.0,
 DENSITY = [(300, 2.0e-11), (400, 5.0e-12), (500, 2.0e-12), (600, 8.0e-13), (800, 3.0e-13), (1000, 1.0e-13)]
 DENSITY_TOP, DENSITY_LOW = 5.0e-14, 1.0e-10
 EXCLUDED_FEATURES = ("object_class", "collision_risk_proxy", "debris_cloud_membership")
+#: The model's features by kind, those that leak the target among them (EXCLUDED_FEATURES), and the categorical ones.
+FEATURES_OF = {
+    "size": ["bc_abs", "log_bc", "bc_to_srp_ratio", "area_to_mass_ratio_m2kg", "log_amr", "size_range"],
+    "orbital": ["mean_altitude_km", "perigee_alt_km", "apogee_alt_km", "inclination_deg", "eccentricity", "semi_major_axis_km", "raan_deg", "arg_perigee_deg", "true_anomaly_deg", "orbital_period_min", "altitude_band", "orbit_regime"],
+    "uncertainty": ["vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "rtn_covariance_volume_km3", "rtn_along_track_ratio", "rtn_cross_track_ratio", "rtn_total_uncertainty_km", "log_rtn_uncertainty"],
+    "temporal": ["time_gap_days", "revolution_rate", "position_drift_km", "velocity_magnitude_kms", "acceleration_kms2", "uncertainty_trend_r", "orbital_decay_trend_kmpday", "drag_trend_per_day"],
+    "environmental": ["solar_flux_f10", "average_f10", "kp_index", "atmospheric_density_kgm3", "srp_acceleration_ms2"],
+    "risk": ["uncertainty_volume_km3", "log_uncertainty_volume", "collision_risk_proxy", "object_class", "debris_cloud_membership"],
+}
+CATEGORICAL = ["size_range", "altitude_band", "orbit_regime"]

@@ -23,7 +23,7 @@ def orbit_regime(alt: Column) -> Column:
 
 def error_regime(alt: Column) -> Column:
     """Regimes of the error report: half-open ranges; null outside them."""
-    return F.when(alt.between(0, 1999.999999999), "LEO").when((alt >= 2000) & (alt < 20000), "MEO").when((alt >= 20000) & (alt < 50000), "GEO")
+    return F.when((alt >= 0) & (alt < 2000), "LEO").when((alt >= 2000) & (alt < 20000), "MEO").when((alt >= 20000) & (alt < 50000), "GEO")
 
 
 def error_altitude_bin(alt: Column) -> Column:

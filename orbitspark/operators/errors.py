@@ -16,6 +16,7 @@ from orbitspark.constants import GM
 from orbitspark.functions.features import TIES, by_object, error_altitude_bin, error_regime
 from orbitspark.functions.vec import dot, norm, vec
 from orbitspark.operators.profile import exact_quantiles
+from orbitspark.sources.tables import held
 
 #: Horizons in days with their half widths.
 HORIZONS = {"1d": (1.0, 0.5), "3d": (3.0, 1.0), "7d": (7.0, 2.0)}
@@ -72,7 +73,7 @@ def horizon_rows(errors: DataFrame) -> DataFrame:
 
 
 def horizon_stats(errors: DataFrame) -> DataFrame:
-    e, rows = "err_km", horizon_rows(errors)
+    e, rows = "err_km", held(horizon_rows(errors).select("horizon", "err_km"))
     out = rows.groupBy("horizon").agg(F.count(e).alias("n"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"))
     qs = exact_quantiles(rows, e, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "horizon")
     return out.join(qs, "horizon", "left").select("horizon", "n", "mean", "median", "std", "p90", "p95", "p99", "min", "max")
@@ -80,7 +81,8 @@ def horizon_stats(errors: DataFrame) -> DataFrame:
 
 def regime_errors(errors: DataFrame) -> DataFrame:
     """1-day errors by orbit regime."""
-    day = horizon_rows(errors).where("horizon = '1d'").withColumn("regime", error_regime(F.col("alt_km"))).where("regime is not null")
+    day = horizon_rows(errors).where("horizon = '1d'").select(error_regime(F.col("alt_km")).alias("regime"), "err_km").where("regime is not null")
+    day = held(day)
     stats = day.groupBy("regime").agg(F.count("*").alias("n"), F.avg("err_km").alias("mean"))
     return stats.join(exact_quantiles(day, "err_km", {"median": 0.5}, "regime"), "regime", "left")
 
@@ -98,7 +100,7 @@ def error_pivot(errors: DataFrame) -> DataFrame:
 
 
 def altitude_bin_errors(errors: DataFrame) -> DataFrame:
-    day = error_pivot(errors).where("err_1d_km is not null").withColumn("altitude_bin", error_altitude_bin(F.col("alt_km")))
+    day = held(error_pivot(errors).where("err_1d_km is not null").select(error_altitude_bin(F.col("alt_km")).alias("altitude_bin"), "err_1d_km"))
     stats = day.groupBy("altitude_bin").agg(F.count("*").alias("n"), F.max("err_1d_km").alias("max"))
     return stats.join(exact_quantiles(day, "err_1d_km", {"median": 0.5}, "altitude_bin"), "altitude_bin", "left")
 
@@ -108,3 +110,11 @@ def extreme_objects(errors: DataFrame, k: int = 5) -> DataFrame:
     day = error_pivot(errors).where("err_1d_km is not null").select("satellite_number", "err_1d_km")
     best = day.orderBy("err_1d_km", "satellite_number").limit(k).withColumn("side", F.lit("best"))
     return best.union(day.orderBy(F.desc("err_1d_km"), "satellite_number").limit(k).withColumn("side", F.lit("worst")))
+
+
+def error_overview(errors: DataFrame) -> DataFrame:
+    """One row over all errors: count, mean, median, standard deviation, least and largest, and the mean at one day."""
+    rows = held(errors.select("days", "err_km"))
+    e, (day, half) = F.col("err_km"), HORIZONS["1d"]
+    one = rows.agg(F.count(e).alias("n"), F.avg(e).alias("mean"), F.stddev_samp(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"), F.avg(F.when(F.col("days").between(day - half, day + half), e)).alias("mean_1d"))
+    return one.crossJoin(exact_quantiles(rows, "err_km", {"median": 0.5}))  # a row each

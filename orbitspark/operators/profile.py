@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitspark.functions.features import by_object, seconds_since
+from orbitspark.sources.tables import held
+
+#: Groups whose quantiles are found together with the driver's help; more go another way.
+MOST_GROUPS = 1024
+#: Ranges that a group's values are counted in, and values of such a range that are put in order at the end.
+BINS, FEW = 4096, 100_000
 
 #: Labels and lower bounds of the bins of snapshots per object.
 EPOCH_BINS = [("1", 1), ("2-5", 2), ("5-10", 5), ("10-20", 10), ("20-50", 20), ("50+", 50)]
@@ -42,7 +49,7 @@ def gaps(df: DataFrame) -> DataFrame:
 
 
 def gap_stats(df: DataFrame) -> DataFrame:
-    g, rows = "gap_days", gaps(df)
+    g, rows = "gap_days", held(gaps(df).select("gap_days"))
     one = rows.agg(F.count(g).alias("n"), F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"))
     return one.crossJoin(exact_quantiles(rows, g, {"median": 0.5}))  # a row each
 
@@ -54,6 +61,13 @@ def object_gaps(df: DataFrame) -> DataFrame:
     return out.withColumn("regular", F.coalesce(F.col("gap_cv") < 1e-6, F.lit(False)))
 
 
+def object_spans(df: DataFrame) -> DataFrame:
+    """Per object: first and last snapshot, span in days, and beside it the earliest and latest of all objects."""
+    own = df.groupBy("satellite_number").agg(F.min("epoch_dt").alias("first_epoch"), F.max("epoch_dt").alias("last_epoch"), F.count("*").alias("n"))
+    bounds = df.agg(F.min("epoch_dt").alias("earliest"), F.max("epoch_dt").alias("latest"))
+    return own.withColumn("span_days", F.timestamp_diff("SECOND", F.col("first_epoch"), F.col("last_epoch")) / 86400.0).crossJoin(bounds)  # one row
+
+
 def red_flags(df: DataFrame) -> DataFrame:
     """One row of booleans: under 10 % regular objects, a gap over 30 days, over half of the objects with one snapshot."""
     per_object = epoch_counts(df).join(object_gaps(df), "satellite_number", "left")
@@ -79,14 +93,12 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], width: float = 3.0) -> DataFrame:
-    """Per column: quartiles, fences, and the rows outside them; all from one count of distinct values by column."""
-    values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column_name", "value")
-    points = value_counts(values, "value", "column_name")
-    rows = quantiles_of_counts(points, {"q1": 0.25, "q3": 0.75}, "column_name")
+    """Per column: quartiles, fences, and the rows outside them."""
+    values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column_name", "value").where("value is not null")
+    rows = exact_quantiles(values, "value", {"q1": 0.25, "q3": 0.75}, "column_name")
     rows = rows.withColumns({"low": F.col("q1") - width * (F.col("q3") - F.col("q1")), "high": F.col("q3") + width * (F.col("q3") - F.col("q1"))})
-    outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
-    out = points.join(rows, "column_name")
-    return out.groupBy("column_name", "q1", "q3", "low", "high").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outliers"), F.sum("n").alias("n"))
+    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+    return values.join(rows, "column_name").groupBy("column_name", "q1", "q3", "low", "high").agg(F.count_if(outside).alias("n_outliers"), F.count("*").alias("n"))
 
 
 def value_counts(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -94,29 +106,116 @@ def value_counts(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
-    """Linear quantiles of a column by keys, a column for each; without keys one row, null for no values."""
-    return quantiles_of_counts(value_counts(df, value, *keys), quantiles, *keys)
+def same(a: DataFrame, b: DataFrame, pairs: dict[str, str]) -> Column:
+    """The condition that columns of a equal those of b, null with null."""
+    return reduce(Column.__and__, (a[x].eqNullSafe(b[y]) for x, y in pairs.items()), F.lit(True))
+
+
+def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
+    """The range of equal width between low and high that x is in, in the order of values; infinities have one of their own."""
+    half = high / 2 - low / 2  # a half, as the whole may be too large for a number
+    at = F.least(F.greatest(F.floor((x / 2 - low / 2) / half * bins), F.lit(0)), F.lit(bins - 1))
+    inside = F.when(half > 0, at).when(x > low, bins - 1).otherwise(0)
+    return F.when(x == -math.inf, -1).when(x == math.inf, bins).otherwise(inside).cast("int")
+
+
+def at_ranks(rows: DataFrame, wanted: dict[int, list], first: Column, end: Column) -> dict:
+    """The rows (g, ...) of which the places from first to before end hold a wanted rank of their range, by range and rank."""
+    ranks = rows.sparkSession.createDataFrame(sorted({(g, r) for g, own in wanted.items() for r, _, _ in own}), "of int, rank long")
+    hit = (F.col("g") == F.col("of")) & (F.col("rank") >= first) & (F.col("rank") < end)
+    return {(r["g"], r["rank"]): r for r in rows.join(ranks, hit).collect()}
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str, bins: int = BINS, few: int = FEW, most_groups: int = MOST_GROUPS) -> DataFrame:
+    """Linear quantiles of a column by keys, a column for each; without keys one row, null for no values.
+
+    Nulls and NaN are left out; a null key is a group like others. No row is shuffled: values are counted by ranges, which
+    combines before the exchange, and the range that holds a wanted rank is known then. If it holds more than a few
+    values it is cut into ranges again, between its own least and greatest value, or at approximate quantiles, each
+    a range of its own, if it has kept most of what was cut; the few that remain are put in order. The driver sees a row
+    for each group and wanted rank. Beyond MOST_GROUPS groups, see quantiles_of_counts.
+    """
+    spark, x = df.sparkSession, F.col(value).cast("double")
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), x.alias("x"))
+    finite = F.when(F.abs("x") < math.inf, F.col("x"))
+    ends = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    groups = ends.limit(most_groups + 1).collect()
+    if len(groups) > most_groups:
+        return quantiles_of_counts(value_counts(rows.withColumnsRenamed(dict(zip(names, keys, strict=True))), "x", *keys), quantiles, *keys)
+
+    places = [{q: (g["n"] - 1) * at for q, at in quantiles.items()} if g["n"] else {} for g in groups]
+    # (place in the range, group, place in the group) of what is wanted, by range
+    wanted = {i: sorted({(r, i, r) for h in own.values() for r in (math.floor(h), math.ceil(h))}) for i, own in enumerate(places) if own}
+    found: dict[tuple[int, int], float] = {}
+    key_types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    local = spark.createDataFrame([(i, *(groups[i][n] for n in names), groups[i]["low"], groups[i]["high"]) for i in wanted], "g int, " + (key_types + ", " if names else "") + "low double, high double")
+    dealt = rows.join(local, same(rows, local, {n: n for n in names})).select("g", "x", "low", "high")
+    dealt = dealt.withColumn("edges", F.lit(None).cast("array<double>"))
+    sizes = {i: groups[i]["n"] for i in wanted}
+    while wanted:
+        cut = F.when(F.col("edges").isNull(), bin_of(F.col("x"), F.col("low"), F.col("high"), bins)).otherwise(2 * F.size(F.filter("edges", lambda e: e < F.col("x"))) + F.array_contains("edges", F.col("x")).cast("int"))
+        binned = dealt.select("g", "x", cut.alias("bin"))
+        counted = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        ahead = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        counted = counted.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        bins_of = at_ranks(counted, wanted, F.col("before"), F.col("before") + F.col("n"))
+        left: dict[tuple[int, int], tuple] = {}
+        for g, own in wanted.items():
+            for rank, group, place in own:
+                r = bins_of[g, rank]
+                at = rank - r["before"]
+                if r["low"] == r["high"] or at in (0, r["n"] - 1):
+                    found[group, place] = r["high"] if at else r["low"]
+                else:
+                    left.setdefault((g, r["bin"]), (r, []))[1].append((at, group, place))
+        if not left:
+            break
+        wanted = {i: own for i, (_, own) in enumerate(left.values())}
+        local = spark.createDataFrame([(*key, i, r["low"], r["high"]) for i, (key, (r, _)) in enumerate(left.items())], "of int, of_bin int, next int, low double, high double")
+        dealt = binned.join(local, (F.col("g") == F.col("of")) & (F.col("bin") == F.col("of_bin"))).select(F.col("next").alias("g"), "x", "low", "high")
+        if max(r["n"] for r, _ in left.values()) <= few:
+            upto = F.sum("n").over(Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+            summed = dealt.groupBy("g", "x").agg(F.count("*").alias("n")).withColumn("upto", upto)
+            values = at_ranks(summed, wanted, F.col("upto") - F.col("n"), F.col("upto"))
+            found |= {(group, place): values[g, rank]["x"] for g, own in wanted.items() for rank, group, place in own}
+            break
+        dealt = held(dealt)
+        slow = [i for i, ((g, _), (r, _)) in enumerate(left.items()) if 2 * r["n"] > sizes[g]]
+        sizes = {i: r["n"] for i, (r, _) in enumerate(left.values())}
+        edges = dealt.where(F.col("g").isin(slow)).groupBy("g").agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 10_000).alias("edges")) if slow else None
+        known = spark.createDataFrame(edges.collect() if slow else [], "g int, edges array<double>")
+        dealt = dealt.join(known, "g", "left")
+
+    def at(i: int, q: str) -> float | None:
+        if not places[i]:
+            return None
+        h = places[i][q]
+        low, high = found[i, math.floor(h)], found[i, math.ceil(h)]
+        return low if low == high else low + (high - low) * (h - math.floor(h))
+
+    out = [(*(g[n] for n in names), *(at(i, q) for q in quantiles)) for i, g in enumerate(groups)]
+    schema = ", ".join([*(f"`{k}` {rows.schema[n].dataType.simpleString()}" for k, n in zip(keys, names, strict=True)), *(f"`{q}` double" for q in quantiles)])
+    return spark.createDataFrame(out, schema)
 
 
 def quantiles_of_counts(points: DataFrame, quantiles: dict[str, float], *keys: str, ranges: int = 256) -> DataFrame:
-    """Quantiles from counted values (keys, x, n), in two levels, so that no task holds a group's values.
+    """Quantiles from counted values (keys, x, n), in two levels, for any number of groups; no task holds a group's values.
 
     Values are dealt into ranges at approximate quantiles; the ranges' totals say which of them hold the wanted ranks,
     and only those are ordered, each by itself. A finer cut takes more ranges.
     """
-    by = list(keys) or ["__all"]
-    points = points if keys else points.withColumn("__all", F.lit(0))
-    edges = points.groupBy(*by).agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("__edges"), F.sum("n").alias("__total"))
-    dealt = points.join(edges, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("x")))).drop("__edges")
+    points = points.select(F.struct(*(keys or [F.lit(0)])).alias("__by"), "x", "n")  # equal with nulls in it
+    edges = points.groupBy("__by").agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("__edges"), F.sum("n").alias("__total"))
+    dealt = points.join(edges, "__by").withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("x")))).drop("__edges")
     place = {q: (F.col("__total") - 1) * F.lit(float(at)) for q, at in quantiles.items()}
     ranks = F.array(*(f(h).cast("long") for h in place.values() for f in (F.floor, F.ceil)))
-    totals = dealt.groupBy(*by, "__range", "__total").agg(F.sum("n").alias("__n"))
-    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = dealt.groupBy("__by", "__range", "__total").agg(F.sum("n").alias("__n"))
+    ahead = Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
-    wanted = before.where(F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))).select(*by, "__range", "__before")
-    inside = Window.partitionBy(*by, "__range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.join(wanted, [*by, "__range"]).withColumn("__cum", F.col("__before") + F.sum("n").over(inside))
+    wanted = before.where(F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))).select("__by", "__range", "__before")
+    inside = Window.partitionBy("__by", "__range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.join(wanted, ["__by", "__range"]).withColumn("__cum", F.col("__before") + F.sum("n").over(inside))
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("__cum") - F.col("n")) & (rank < F.col("__cum")), F.col("x")))
@@ -124,8 +223,31 @@ def quantiles_of_counts(points: DataFrame, quantiles: dict[str, float], *keys: s
     found = {}
     for q, h in place.items():
         low, high = value_at(F.floor(h)), value_at(F.ceil(h))
-        found[q] = low + (high - low) * (F.max(h) - F.floor(F.max(h)))
-    return summed.groupBy(*keys).agg(*(c.alias(q) for q, c in found.items()))
+        found[q] = F.when(low == high, low).otherwise(low + (high - low) * (F.max(h) - F.floor(F.max(h))))
+    at_ranks = [c.alias(q) for q, c in found.items()]
+    out = summed.groupBy("__by").agg(*at_ranks) if keys else summed.agg(*at_ranks)
+    return out.select(*(F.col("__by")[k].alias(k) for k in keys), *quantiles)
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """(column_name, bin, n, bin_low, bin_high): rows by bins of equal width between each column's least and greatest value.
+
+    Two combinable passes, one for the bounds and one for the counts; a bin that is empty has a row too. Nulls, NaN and
+    infinities are left out; a column of one value has it in the first bin of width 0, one of none has no row.
+    """
+    def finite(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < math.inf), x)
+
+    bounds = df.agg(*(f(finite(c)).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max)))).first()
+    known = {c: (bounds[f"low_{c}"], bounds[f"high_{c}"]) for c in columns if bounds[f"low_{c}"] is not None}
+    if not known:
+        return df.sparkSession.createDataFrame([], "column_name string, bin int, n long, bin_low double, bin_high double")
+    cells = [F.struct(F.lit(c).alias("column_name"), F.when(finite(c).isNotNull(), bin_of(finite(c), F.lit(low), F.lit(high), bins)).alias("bin")) for c, (low, high) in known.items()]
+    counted = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell.bin is not null").groupBy("cell.column_name", "cell.bin").agg(F.count("*").alias("n"))
+    edges = [(c, i, low + i * ((high - low) / bins), low + (i + 1) * ((high - low) / bins)) for c, (low, high) in known.items() for i in range(bins)]
+    every = df.sparkSession.createDataFrame(edges, "column_name string, bin int, bin_low double, bin_high double")
+    return every.join(counted, ["column_name", "bin"], "left").select("column_name", "bin", F.coalesce("n", F.lit(0)).alias("n"), "bin_low", "bin_high")
 
 
 def size_distribution(seqs: DataFrame) -> DataFrame:

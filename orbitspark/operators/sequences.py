@@ -9,10 +9,11 @@ from orbitspark.constants import MIN_EPOCHS, SEQ_LEN, TRAIN_RATIO, VAL_RATIO
 from orbitspark.functions.features import by_object, seconds_since, size_range
 
 def with_sequences(df: DataFrame, length: int = SEQ_LEN) -> DataFrame:
-    """epoch_idx (from 0), sequence_id, seq_pos and seq_len."""
-    df = df.repartition("satellite_number").withColumn("epoch_idx", F.row_number().over(by_object()).cast("long") - 1)
+    """epoch_idx (from 0), sequence_id, seq_pos and seq_len. One shuffle and one order of rows: a sequence's length follows from its object's."""
+    n = F.count("*").over(Window.partitionBy("satellite_number"))
+    df = df.withColumns({"epoch_idx": F.row_number().over(by_object()).cast("long") - 1, "__n": n})
     df = df.withColumns({"sequence_id": F.floor(F.col("epoch_idx") / length), "seq_pos": (F.col("epoch_idx") % length).cast("int")})
-    return df.withColumn("seq_len", F.count("*").over(Window.partitionBy("satellite_number", "sequence_id")))
+    return df.withColumn("seq_len", F.least(F.lit(length).cast("long"), F.col("__n") - F.col("sequence_id") * length)).drop("__n")
 
 
 def with_history(df: DataFrame, least: int = MIN_EPOCHS) -> DataFrame:
@@ -49,15 +50,22 @@ def rank_split(seqs: DataFrame) -> DataFrame:
     return ranked.withColumn("split", F.when(progress < TRAIN_RATIO, "train").when(progress < TRAIN_RATIO + VAL_RATIO, "val").otherwise("test"))
 
 
-def with_split(df: DataFrame) -> DataFrame:
-    """Complete sequences with seq_bc and size_range by sequence, and split by object, without leaks between splits.
+def with_sizes(df: DataFrame) -> DataFrame:
+    """Complete sequences with seq_bc, the coefficient of the sequence's first snapshot, and size_range; in the object's own order."""
+    head = F.when(F.col("seq_pos") == 0, F.struct("ballistic_coef_m2kg"))  # there even if the coefficient is null
+    own = F.last(head, ignorenulls=True).over(by_object())["ballistic_coef_m2kg"]
+    return df.withColumn("seq_bc", own).withColumn("size_range", size_range(F.col("seq_bc")))
 
-    The sequence's first coefficient comes over a window of the object's partition; only the rank table is joined.
-    """
-    first = F.first("ballistic_coef_m2kg").over(by_object("sequence_id"))
-    rows = df.withColumn("seq_bc", first).withColumn("size_range", size_range(F.col("seq_bc")))
+
+def split_table(df: DataFrame) -> DataFrame:
+    """(satellite_number, split) from complete sequences: a row per object."""
     heads = df.where("seq_pos = 0").select("satellite_number", F.col("epoch_dt").alias("seq_first_epoch"))
-    return rows.join(rank_split(heads).select("satellite_number", "split"), "satellite_number")
+    return rank_split(heads).select("satellite_number", "split")
+
+
+def with_split(df: DataFrame) -> DataFrame:
+    """Complete sequences with seq_bc and size_range by sequence, and split by object, without leaks between splits."""
+    return with_sizes(df).join(split_table(df), "satellite_number")
 
 
 def with_span(df: DataFrame, least_hours: float = 6.0) -> DataFrame:
@@ -81,3 +89,16 @@ def leaked_objects(df: DataFrame) -> DataFrame:
     """One row: objects in more than one split; must be 0."""
     per_object = df.groupBy("satellite_number").agg(F.countDistinct("split").alias("n"))
     return per_object.agg(F.count_if(F.col("n") > 1).alias("n_leaked"), F.count("*").alias("n_objects"))
+
+
+def ordered_chunks(df: DataFrame, columns: list[str], length: int = 1000) -> DataFrame:
+    """(satellite_number, chunk, n, rows): an object's snapshots in order, as arrays of structs (epoch_dt, columns).
+
+    A chunk holds so many snapshots at most, so that no object is one row, whatever its history; chunks follow each other.
+    """
+    at = F.row_number().over(by_object()).cast("long") - 1
+    cut = df.withColumn("__at", at).withColumn("chunk", F.floor(F.col("__at") / length))
+    rows = F.sort_array(F.collect_list(F.struct("__at", "epoch_dt", *columns)))
+    each = cut.groupBy("satellite_number", "chunk").agg(rows.alias("rows"))
+    plain = F.transform("rows", lambda x: F.struct(x["epoch_dt"].alias("epoch_dt"), *(x[c].alias(c) for c in columns)))
+    return each.select("satellite_number", "chunk", F.size("rows").cast("long").alias("n"), plain.alias("rows"))

@@ -7,34 +7,50 @@ from pyspark.sql import functions as F
 
 from orbitspark.constants import SEQ_LEN
 from orbitspark.functions.features import by_object
-from orbitspark.operators.profile import quantiles_of_counts, value_counts
+from orbitspark.operators.profile import exact_quantiles, same
 from orbitspark.operators.sequences import with_history
+from orbitspark.sources.tables import held
 
 
-def band_thresholds(df: DataFrame, *keys: str, q: float = 0.70, q_secondary: float = 0.90, fit_split: str | None = None, least: int = 0) -> DataFrame:
-    """Exact linear quantiles of log_uncertainty_volume by keys and band, with n_rows and n_above (strictly above the first).
+def band_limits(df: DataFrame, *keys: str, q: float = 0.70, q_secondary: float = 0.90, fit_split: str | None = None, least: int = 0, written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Exact linear quantiles (threshold, secondary_threshold) of log_uncertainty_volume by keys and band, and the rows they are of.
 
-    fit_split takes only the rows of one split; least only objects of at least so many rows.
+    fit_split takes only the rows of one split; least only objects of at least so many rows. What is read more than once,
+    the value and its keys, is written first, unless df is such a table.
     """
     if least:
         df = with_history(df, least)
     if fit_split is not None:
         df = df.where(F.col("split") == fit_split)
     by = [*keys, "altitude_band"]
-    points = value_counts(df, "log_uncertainty_volume", *by)
-    limits = quantiles_of_counts(points, {"threshold": q, "secondary_threshold": q_secondary}, *by)
-    counted = points.join(limits, by).groupBy(*by, "threshold", "secondary_threshold")
-    return counted.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("x") > F.col("threshold"), F.col("n")).otherwise(0)).alias("n_above"))
+    values = df.select(*by, "log_uncertainty_volume")
+    values = values if written else held(values)
+    return exact_quantiles(values, "log_uncertainty_volume", {"threshold": q, "secondary_threshold": q_secondary}, *by), values
+
+
+def with_limits(df: DataFrame, limits: DataFrame, *keys: str, how: str = "left") -> DataFrame:
+    """df with its group's limits, null keys like others. They are few rows, which Spark sees, so that df stays where it is."""
+    by = [*keys, "altitude_band"]
+    limits = limits.withColumnsRenamed({k: f"__{k}" for k in by})
+    return df.join(limits, same(df, limits, {k: f"__{k}" for k in by}), how).drop(*(f"__{k}" for k in by))
+
+
+def band_thresholds(df: DataFrame, *keys: str, **options) -> DataFrame:
+    """Thresholds by keys and band (see band_limits), with n_rows and n_above (strictly above the first)."""
+    limits, values = band_limits(df, *keys, **options)
+    x = F.col("log_uncertainty_volume")
+    counted = with_limits(values.where(x.isNotNull() & ~F.isnan(x)), limits, *keys, how="inner").groupBy(*keys, "altitude_band", "threshold", "secondary_threshold")
+    return counted.agg(F.count("*").alias("n_rows"), F.count_if(x > F.col("threshold")).alias("n_above"))
 
 
 def threshold_report(df: DataFrame, *keys: str) -> DataFrame:
-    """Thresholds with the rows strictly above and their share, all from one count of distinct values."""
+    """Thresholds with the rows strictly above and their share."""
     return band_thresholds(df, *keys).withColumn("ratio_above", F.col("n_above") / F.col("n_rows"))
 
 
-def with_labels(df: DataFrame, *keys: str, fit_split: str | None = None) -> DataFrame:
+def with_labels(df: DataFrame, *keys: str, **options) -> DataFrame:
     """collision_risk (above the band's 0.70 quantile) and unc_vol_above_p90 (volume above that of the 0.90 quantile)."""
-    joined = df.join(band_thresholds(df, *keys, fit_split=fit_split).drop("n_rows", "n_above"), [*keys, "altitude_band"], "left")
+    joined = with_limits(df, band_limits(df, *keys, **options)[0], *keys)
     return joined.withColumns({
         "collision_risk": F.coalesce(F.col("log_uncertainty_volume") > F.col("threshold"), F.lit(False)),
         "unc_vol_above_p90": F.coalesce(F.col("uncertainty_volume_km3") > F.pow(F.lit(10.0), "secondary_threshold"), F.lit(False)),
@@ -64,6 +80,15 @@ def window_matrices(df: DataFrame, features: list[str], *keys: str, length: int
     return held.where(F.size("matrix") == length)
 
 
+def window_sums(df: DataFrame, features: list[str], *keys: str, length: int = SEQ_LEN) -> DataFrame:
+    """A row per window: its end, n_rows, and the sum over its rows of every feature, as float for export. No matrix is made."""
+    w = by_object(*keys)
+    frame = w.rowsBetween(1 - length, 0)
+    sums = {f"sum_{c}": F.sum(F.col(c).cast("float").cast("double")).over(frame) for c in features}
+    held_rows = df.withColumns({"window_end_idx": F.row_number().over(w).cast("long") - 1, "n_rows": F.count("*").over(frame).cast("int")} | sums)
+    return held_rows.where(F.col("n_rows") == length)
+
+
 def window_members(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Range join: the rows (satellite_number, epoch_idx) of each window, by object and index between start and end.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from orbitspark.sources.messages import COLUMNS, filler
 from orbitspark.constants import CD, DENSITY, DENSITY_LOW, DENSITY_TOP, GM, J2, KM_PER_DEG_LAT, R_EARTH, WGS84_A, WGS84_B, WGS84_E2, WGS84_EP2
 
 KEY = "satellite_number, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
@@ -143,22 +142,46 @@ BC, SRP = "ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg"
 OBJ = f"PARTITION BY satellite_number ORDER BY {TIES}"
 SEQ = f"PARTITION BY satellite_number, sequence_id ORDER BY {TIES}"
 GRID = "last_obs"
-#: Window features and what they are in SQL.
-MATRIX = {c: c for c in (BC, SRP, "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "perigee_alt_km", "apogee_alt_km", "semi_major_axis_km", "eccentricity", "inclination_deg", "orbital_period_min", "mean_altitude_km", "log_bc")} | {
-    "log_uncertainty_volume": "log_volume", "collision_risk_proxy": "volume / (mean_altitude_km * mean_altitude_km + 1)", "kp_index": "(average_ap + 1) / 10", "srp_acceleration_ms2": f"{SRP} * solar_flux_f10 / 1361",
-    "rtn_along_track_ratio": "vector_v_sigma_km / (vector_u_sigma_km + 1e-15)", "rtn_cross_track_ratio": "vector_w_sigma_km / (vector_u_sigma_km + 1e-15)", "rtn_total_uncertainty_km": "sqrt(vector_u_sigma_km ** 2 + vector_v_sigma_km ** 2 + vector_w_sigma_km ** 2)",
+#: Features in the model's order, and what they are in SQL over TRENDS.
+MATRIX = {
+    "bc_abs": f"{BC} + 1e-10", "log_bc": "log_bc", "bc_to_srp_ratio": f"{BC} / ({SRP} + 1e-10)", "area_to_mass_ratio_m2kg": f"({BC} + 1e-10) / {CD}", "log_amr": f"log10(({BC} + 1e-10) / {CD} + 1e-10)", "size_range": "dense_rank() OVER (ORDER BY size_range) - 1",
+    "mean_altitude_km": "mean_altitude_km", "perigee_alt_km": "perigee_alt_km", "apogee_alt_km": "apogee_alt_km", "inclination_deg": "inclination_deg", "eccentricity": "eccentricity", "semi_major_axis_km": "semi_major_axis_km", "raan_deg": "least(raan_deg, 360 - raan_deg)",
+    "arg_perigee_deg": "arg_perigee_deg", "true_anomaly_deg": "true_anomaly_deg", "orbital_period_min": "orbital_period_min", "altitude_band": "dense_rank() OVER (ORDER BY altitude_band) - 1", "orbit_regime": "dense_rank() OVER (ORDER BY CASE WHEN mean_altitude_km < 2000 THEN 'LEO' WHEN mean_altitude_km < 35786 THEN 'MEO' ELSE 'GEO' END) - 1",
+    "vector_u_sigma_km": "vector_u_sigma_km", "vector_v_sigma_km": "vector_v_sigma_km", "vector_w_sigma_km": "vector_w_sigma_km", "rtn_covariance_volume_km3": "volume", "rtn_along_track_ratio": "vector_v_sigma_km / (vector_u_sigma_km + 1e-15)", "rtn_cross_track_ratio": "vector_w_sigma_km / (vector_u_sigma_km + 1e-15)",
+    "rtn_total_uncertainty_km": "sqrt(vector_u_sigma_km ** 2 + vector_v_sigma_km ** 2 + vector_w_sigma_km ** 2)", "log_rtn_uncertainty": "log10(sqrt(vector_u_sigma_km ** 2 + vector_v_sigma_km ** 2 + vector_w_sigma_km ** 2) + 1e-15)",
+    "time_gap_days": "g", "revolution_rate": "coalesce(drev / (g + 1e-10), 0)", "position_drift_km": "coalesce(drift, 0)", "velocity_magnitude_kms": "v", "acceleration_kms2": "coalesce(dv, 0) / (g * 86400 + 1e-10)", "uncertainty_trend_r": "coalesce(du, 0)",
+    "orbital_decay_trend_kmpday": "coalesce(da, 0) / (g + 1e-10)", "drag_trend_per_day": "coalesce(dbc, 0) / (g + 1e-10)",
+    "solar_flux_f10": "solar_flux_f10", "average_f10": "70 + 10.0::DOUBLE * l_linenumber", "kp_index": "(average_ap + 1) / 10", "atmospheric_density_kgm3": RHO, "srp_acceleration_ms2": f"{SRP} * solar_flux_f10 / 1361", "uncertainty_volume_km3": "volume", "log_uncertainty_volume": "log_volume",
 }
 
 
+def trends(table: str) -> str:
+    return f"""SELECT *, coalesce(date_sub('second', lag(epoch_dt) OVER o, epoch_dt) / 86400.0::DOUBLE, 0) AS g, epoch_rev - lag(epoch_rev) OVER o AS drev, v - lag(v) OVER s AS dv,
+      sqrt((x - lag(x) OVER s) ** 2 + (y - lag(y) OVER s) ** 2 + (z - lag(z) OVER s) ** 2) AS drift, vector_u_sigma_km - lag(vector_u_sigma_km) OVER s AS du,
+      semi_major_axis_km - lag(semi_major_axis_km) OVER s AS da, {BC} - lag({BC}) OVER s AS dbc FROM {table} WINDOW o AS ({OBJ}), s AS ({SEQ})"""
 
-def filled(name: str, kind: str) -> str:
-    """What a message says of a column that snapshots lack."""
-    return f"'{filler(name)}'" if kind == "string" else f"{filler(name)}::DOUBLE"
 
+#: Snapshots of complete sequences with the features as floats.
+FEATURED = f""", trend AS ({trends("parted")}),
+feat AS MATERIALIZED (SELECT {KEY}, epoch_dt, size_range AS size_name, split, {", ".join(f"({e})::FLOAT::DOUBLE AS f_{c}" for c, e in MATRIX.items())} FROM trend)"""
+OWN = f"PARTITION BY satellite_number, size_name ORDER BY {TIES}"
+SHOWN = ["size_range", "altitude_band", "orbit_regime", "perigee_alt_km", "log_bc", "kp_index", "time_gap_days"]
 
-#: Message columns that snapshots have; the rest is filled.
-MESSAGE = {f"{frame}_pos_{n}": f"round({n}, 4)" for frame in ("j2k", "efg") for n in "xyz"} | {f"j2k_vel_{n}": f"round(v{n}, 4)" for n in "xyz"} | {f"vector_{a}_sigma_km": f"round(vector_{a}_sigma_km, 10)" for a in "uvw"} | {f"vector_{a}d_sigma_kms": f"round(vector_{a}_sigma_km / 1000, 10)" for a in "uvw"}
-MESSAGE |= {"message_type": "'SP VECTOR/COVARIANCE MESSAGE - V2.0'", "satellite_number": "satellite_number", "common_name": "common_name", "epoch_rev": "epoch_rev", "solar_flux_f10": "round(solar_flux_f10, 10)", "average_f10": "70 + 10.0::DOUBLE * l_linenumber", "average_ap": "round(average_ap, 10)"} | {c: f"round({c}, 10)" for c in (BC, SRP)}
+#: What messages say of a snapshot, by column.
+MESSAGE = {
+    "message_type": "'SP VECTOR/COVARIANCE MESSAGE - V2.0'", "message_time_utc": "'MESSAGE TIME UTC'", "center": "'CENTER'", "satellite_number": "satellite_number", "int_des": "'INT DES'", "common_name": "common_name", "epoch_rev": "epoch_rev",
+    "j2k_pos_x": "round(x, 4)", "j2k_pos_y": "round(y, 4)", "j2k_pos_z": "round(z, 4)", "j2k_vel_x": "round(vx, 4)", "j2k_vel_y": "round(vy, 4)", "j2k_vel_z": "round(vz, 4)",
+    "eci_pos_x": "9.25::DOUBLE", "eci_pos_y": "9.25::DOUBLE", "eci_pos_z": "9.25::DOUBLE", "eci_vel_x": "9.25::DOUBLE", "eci_vel_y": "9.25::DOUBLE", "eci_vel_z": "9.25::DOUBLE",
+    "efg_pos_x": "round(x, 4)", "efg_pos_y": "round(y, 4)", "efg_pos_z": "round(z, 4)", "efg_vel_x": "9.25::DOUBLE", "efg_vel_y": "9.25::DOUBLE", "efg_vel_z": "9.25::DOUBLE",
+    "geopotential": "'GEOPOTENTIAL'", "drag_model": "'DRAG MODEL'", "lunar_solar": "'LUNAR SOLAR'", "solar_rad_press": "'SOLAR RAD PRESS'", "solid_earth_tides": "'SOLID EARTH TIDES'", "in_track_thrust": "'IN TRACK THRUST'",
+    "ballistic_coef_m2kg": f"round({BC}, 10)", "bdot_m2kg_s": "11.25::DOUBLE", "solar_rad_press_coeff_m2kg": f"round({SRP}, 10)", "edr_wkg": "7.25::DOUBLE", "thrust_accel_ms2": "16.25::DOUBLE", "cm_offset_m": "11.25::DOUBLE",
+    "solar_flux_f10": "round(solar_flux_f10, 10)", "average_f10": "70 + 10.0::DOUBLE * l_linenumber", "average_ap": "round(average_ap, 10)", "tai_utc_s": "9.25::DOUBLE", "ut1_utc_s": "9.25::DOUBLE", "ut1_rate_ms_day": "15.25::DOUBLE",
+    "polar_mot_x_arcsec": "18.25::DOUBLE", "polar_mot_y_arcsec": "18.25::DOUBLE", "iau_1980_nutat": "'IAU 1980 NUTAT'", "time_const_leap_second_time_utc": "'TIME CONST LEAP SECOND TIME UTC'",
+    "integrator_mode": "'INTEGRATOR MODE'", "coord_sys": "'COORD SYS'", "partials": "'PARTIALS'", "step_mode": "'STEP MODE'", "fixed_step": "'FIXED STEP'", "step_size_selection": "'STEP SIZE SELECTION'", "initial_step_size_s": "19.25::DOUBLE", "error_control": "13.25::DOUBLE",
+    "vector_u_sigma_km": "round(vector_u_sigma_km, 10)", "vector_v_sigma_km": "round(vector_v_sigma_km, 10)", "vector_w_sigma_km": "round(vector_w_sigma_km, 10)",
+    "vector_ud_sigma_kms": "round(vector_u_sigma_km / 1000, 10)", "vector_vd_sigma_kms": "round(vector_v_sigma_km / 1000, 10)", "vector_wd_sigma_kms": "round(vector_w_sigma_km / 1000, 10)",
+}
+ALTITUDE_GAP = "SELECT 'altitude_km' AS column_name, mean_altitude_km AS x FROM band UNION ALL SELECT 'gap_days', date_sub('second', lag(epoch_dt) OVER (PARTITION BY satellite_number ORDER BY " + TIES + "), epoch_dt) / 86400.0::DOUBLE FROM obs"
 
 SQL = {
     "risk_thresholds_by_band": sql("SELECT altitude_band, round(threshold, 4) AS threshold, n_rows, count(*) FILTER (WHERE collision_risk) AS n_above, round(count(*) FILTER (WHERE collision_risk) / n_rows, 4) AS ratio_above FROM marked JOIN limits USING (altitude_band) GROUP BY altitude_band, threshold, n_rows"),
@@ -210,9 +233,28 @@ SELECT size_range, altitude_band, count(*) AS n, count(*) FILTER (WHERE log_volu
 FROM (SELECT row_size AS size_range, altitude_band, volume, log_volume FROM band) JOIN (SELECT row_size AS size_range, altitude_band, quantile_cont(log_volume, 0.7) AS t, quantile_cont(log_volume, 0.9) AS t2 FROM band GROUP BY ALL) USING (size_range, altitude_band) GROUP BY size_range, altitude_band, t"""),
     "future_targets": sql(f"SELECT {KEY}, {', '.join(f'{z(f"round(lead({c}) OVER w, 4)")} AS future_pos_{c}' for c in 'xyz')}, round(lead(vector_u_sigma_km) OVER w, 4) AS future_sigma_r, lead(epoch_dt) OVER w AS future_epoch_dt, lead(epoch_dt) OVER w IS NOT NULL AS has_future FROM obs WINDOW w AS ({OBJ})"),
     "sliding_windows": sql(f"SELECT satellite_number, epoch_idx - 19 AS window_id, epoch_idx - 19 AS window_start_idx, epoch_idx AS window_end_idx, date_sub('second', e0, epoch_dt) AS window_span_s, epoch_dt FROM (SELECT *, lag(epoch_dt, 19) OVER ({OBJ}) AS e0 FROM seq) WHERE epoch_idx >= 19"),
-    "window_tensor_stats": sql(f"""
-SELECT satellite_number, epoch_idx AS window_end_idx, 20 AS n_rows, {", ".join(z(f"round(s_{c}, 2)") + f" AS sum_{c}" for c in MATRIX)}
-FROM (SELECT satellite_number, epoch_idx, {", ".join(f"sum(({e})::FLOAT::DOUBLE) OVER w AS s_{c}" for c, e in MATRIX.items())} FROM seq WINDOW w AS ({OBJ} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE epoch_idx >= 19"""),
+    "window_tensor_stats": sql(f"""{FEATURED}
+SELECT satellite_number, size_name, split, i - 1 AS window_end_idx, 20 AS n_rows, {", ".join(z(f"round(sign(s_{c}) * log10(1 + abs(s_{c})), 3)") + f" AS sum_{c}" for c in MATRIX)}
+FROM (SELECT *, row_number() OVER ({OWN}) AS i, {", ".join(f"sum(f_{c}) OVER w AS s_{c}" for c in MATRIX)} FROM feat WINDOW w AS ({OWN} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE i >= 20"""),
+    "window_matrix_export": sql(f"""{FEATURED},
+ends AS (SELECT *, row_number() OVER ({OWN}) AS i, {", ".join(f"lag(f_{c}, 19) OVER ({OWN}) AS g_{c}" for c in SHOWN)} FROM feat)
+{" UNION ALL ".join(f"SELECT split, 20 AS rows, {len(MATRIX)} AS columns, '{c}' AS feature, count(*) AS n_windows, round(avg(g_{c}), 3) AS mean_first, round(avg(f_{c}), 3) AS mean_last FROM ends WHERE i >= 20 AND split <> 'train' GROUP BY split" for c in SHOWN)}"""),
+    "message_folders": sql(f"SELECT CASE satellite_number % 3 WHEN 0 THEN '2' WHEN 1 THEN '10' ELSE '1' END AS source_folder, CASE satellite_number % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS folder_rank, count(*) AS n, count(DISTINCT satellite_number) AS n_objects, count(*) AS n_places, min(epoch_dt) AS first_epoch, round(sum({BC}), 6) AS sum_bc FROM obs GROUP BY satellite_number % 3"),
+    "bucketed_series": sql(f"SELECT satellite_number, count(*) AS n, round(max(g), 6) AS max_gap, count(*) FILTER (WHERE {BC} > m) AS n_above FROM (SELECT *, avg({BC}) OVER (PARTITION BY satellite_number) AS m, coalesce(date_sub('second', lag(epoch_dt) OVER ({OBJ}), epoch_dt) / 86400.0::DOUBLE, 0) AS g FROM obs) GROUP BY 1"),
+    "resumed_stages": sql("SELECT split, size_range, count(*) AS n, round(avg(perigee_alt_km), 3) AS mean_perigee_km FROM parted GROUP BY ALL"),
+    "ordered_chunks": sql("SELECT satellite_number, epoch_idx // 100 AS chunk, count(*) AS n, min(epoch_dt) AS first_epoch, max(epoch_dt) AS last_epoch, round(arg_min(vx, epoch_idx), 4) AS first_vel_x, arg_min(row_size, epoch_idx) AS first_size, round(sum((epoch_idx % 100 + 1) * perigee_alt_km), 2) AS weighted_alt FROM seq GROUP BY ALL"),
+    "data_histograms": sql(f"""
+, vals AS (SELECT * FROM ({ALTITUDE_GAP}) WHERE x IS NOT NULL),
+ends AS (SELECT column_name, min(x) AS lo, max(x) AS hi FROM vals GROUP BY 1),
+hist AS (SELECT column_name, greatest(least(floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * 50), 49), 0)::INTEGER AS bin, count(*) AS n FROM vals JOIN ends USING (column_name) GROUP BY ALL)
+SELECT column_name, bin, coalesce(n, 0) AS n, round(lo + bin * ((hi - lo) / 50), 3) AS bin_low, round(lo + (bin + 1) * ((hi - lo) / 50), 3) AS bin_high
+FROM (SELECT column_name, lo, hi, unnest(range(50))::INTEGER AS bin FROM ends) LEFT JOIN hist USING (column_name, bin)"""),
+    "schema_entry": sql(f"SELECT 'full' AS source, count(*) AS n, count(common_name) AS n_names, count({SRP}) AS n_srp, round(avg((average_ap + 1) / 10), 6) AS mean_kp, round(min((average_ap + 1) / 10), 6) AS min_kp FROM obs UNION ALL SELECT 'poor', count(*), 0, 0, 1.1, 1.1 FROM obs WHERE l_linenumber < 3"),
+    "infinite_to_null": sql(f"SELECT count(*) FILTER (WHERE l_linenumber = 1) AS n_infinite, count(*) FILTER (WHERE l_linenumber = 1) AS n_null, count(*) AS n, round(log10(max({BC} / ({SRP} + 1e-3) * 1e10) FILTER (WHERE l_linenumber <> 1)), 4) AS log_max FROM obs"),
+    "spans_of_test": sql("SELECT satellite_number, min(epoch_dt) AS first_epoch, max(epoch_dt) AS last_epoch, count(*) AS n, round(date_sub('second', min(epoch_dt), max(epoch_dt)) / 86400.0::DOUBLE, 6) AS span_days, min(min(epoch_dt)) OVER () AS earliest, max(max(epoch_dt)) OVER () AS latest FROM parted WHERE split = 'test' GROUP BY 1"),
+    "object_periods": sql(f"SELECT satellite_number, round(min(g), 4) AS min_gap, round(avg(g), 4) AS mean_gap, round(max(g), 4) AS max_gap, round(sum(g), 4) AS span_days, round(arg_min(orbital_period_min, epoch_idx), 4) AS period_min FROM (SELECT *, date_sub('second', lag(epoch_dt) OVER ({OBJ}), epoch_dt) / 86400.0::DOUBLE AS g FROM seq) GROUP BY 1"),
+    "error_overview": sql("SELECT count(*) AS n, round(avg(err_km), 3) AS mean, round(median(err_km), 3) AS median, round(stddev_samp(err_km), 3) AS std, round(min(err_km), 3) AS min, round(max(err_km), 3) AS max, round(avg(err_km) FILTER (WHERE days BETWEEN 0.5 AND 1.5), 3) AS mean_1d FROM errs"),
+    "grid_summary": sql("SELECT axis, first, step, n::INTEGER AS n, (SELECT count(*) FROM near) AS n_objects FROM (VALUES ('alt', 225.0::DOUBLE, 50.0::DOUBLE, 36), ('lat', -89.0::DOUBLE, 2.0::DOUBLE, 90), ('lon', -179.0::DOUBLE, 2.0::DOUBLE, 180)) AS t(axis, first, step, n)", GRID),
     "windows_with_features": sql("SELECT satellite_number, epoch_idx - 19 AS window_id, epoch_idx AS window_end_idx, round(perigee_alt_km, 4) AS perigee_alt_km, round(log_volume, 4) AS log_uncertainty_volume FROM seq WHERE epoch_idx >= 19"),
     "thresholds_of_train": sql("""
 , lim AS (SELECT size_range, altitude_band, quantile_cont(log_volume, 0.7) AS t, quantile_cont(log_volume, 0.9) AS t2 FROM parted WHERE split = 'train' AND satellite_number IN (SELECT satellite_number FROM parted GROUP BY 1 HAVING count(*) >= 20) GROUP BY ALL)
@@ -255,7 +297,7 @@ SELECT n_a, n_b, round(s, 6) AS statistic, round(least(greatest(list_sum(list_tr
 SELECT satellite_number, CASE WHEN id IS NOT NULL AND ({CLASS.format(n="upper(trim(name))")}) <> 'unknown' THEN ({CLASS.format(n="upper(trim(name))")}) ELSE ({CLASS.format(n="upper(trim(common_name))")}) END AS object_class, coalesce(src, 'none') AS debris_cloud_membership, count(*) AS n, round(max(mean_alt), 4) AS catalog_mean_alt_km
 FROM obs LEFT JOIN cat ON satellite_number = id GROUP BY ALL"""),
     "altitude_correlation": sql("SELECT count(*) AS n, round(corr(perigee_alt_km, mean_alt), 5) AS altitude_corr FROM el JOIN cat ON satellite_number = id"),
-    "message_ingest": sql("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, epoch_dt, " + ", ".join(f"{MESSAGE.get(c, filled(c, kind))} AS {c}" for c, kind in COLUMNS.items() if c != "epoch_time_utc") + " FROM obs"),
+    "message_ingest": sql("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, epoch_dt, " + ", ".join(f"{e} AS {c}" for c, e in MESSAGE.items()) + " FROM obs"),
     "sink_round_trips": sql("SELECT unnest(['parquet', 'folders', 'csv', 'json']) AS format, n, n_names, sum_key, sum_flux FROM (SELECT count(*) AS n, count(DISTINCT common_name) AS n_names, sum(l_orderkey)::BIGINT AS sum_key, round(sum(solar_flux_f10), 3) AS sum_flux FROM obs)"),
     "grid_round_trip": sql("SELECT 225 + 50.0::DOUBLE * alt_i AS alt_center, count(*) AS n_cells, round(sum(pop), 3) AS pop, min(-89 + 2.0::DOUBLE * lat_i) AS lat_min, max(-179 + 2.0::DOUBLE * lon_i) AS lon_max FROM cells GROUP BY alt_i", GRID),
     "catalog_files": sql(f"SELECT src AS event_source, {CLASS.format(n='upper(trim(name))')} AS object_class_catalog, count(*) AS n, round(avg(mean_alt), 3) AS mean_alt_km FROM cat GROUP BY ALL"),

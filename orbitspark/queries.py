@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitspark import oracle
+from orbitspark.constants import CATEGORICAL
 from orbitspark.functions import features as ft
 from orbitspark.functions.orbital import element_checks, frame_errors, j2_acceleration, with_elements, with_geodetic, with_rtn
 from orbitspark.functions.vec import norm, vec
 from orbitspark.operators import errors, forest, metrics, profile, riskmap, scaling, sequences, targets
 from orbitspark.plans import stages
-from orbitspark.sources import catalog, messages, tables
+from orbitspark.sources import catalog, messages, schemas, tables
 from orbitspark.sources.obs import observations, table
 
 TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 KEY = ["satellite_number", *TIE]
 PROFILED = ["ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10"]
-FEATURES = ["ballistic_coef_m2kg", "perigee_alt_km", "inclination_deg", "eccentricity", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "log_bc"]
+CORRELATED = ["ballistic_coef_m2kg", "perigee_alt_km", "inclination_deg", "eccentricity", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "log_bc"]
+SIZES = ("5-10cm", "10-25cm", "25-50cm")
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -142,6 +144,9 @@ def feature_sanity(spark, d):
     df = banded(spark, d).withColumns(ft.size_features() | ft.environment_features() | ft.rtn_products())
     df = df.withColumn("orbit_regime", ft.orbit_regime(F.col("mean_altitude_km")))
     medians = {"ballistic_coef_m2kg": ("bc_median", 7), "rtn_along_track_ratio": ("along_median", 4), "rtn_cross_track_ratio": ("cross_median", 4)}
+    values = tables.held(df.select(*medians)).unpivot([], list(medians), "column_name", "value")
+    found = profile.exact_quantiles(values, "value", {"median": 0.5}, "column_name")
+    pivot = found.agg(*(F.round(F.max(F.when(F.col("column_name") == c, F.col("median"))), digits).alias(name) for c, (name, digits) in medians.items()))
     one = df.agg(
         F.round(F.min("log_bc"), 4).alias("log_bc_min"), F.round(F.max("log_bc"), 4).alias("log_bc_max"),
         F.round(F.log10(F.min("atmospheric_density_kgm3")), 4).alias("density_min"), F.round(F.log10(F.max("atmospheric_density_kgm3")), 4).alias("density_max"), F.round(F.max("kp_index"), 4).alias("kp_max"),
@@ -149,9 +154,7 @@ def feature_sanity(spark, d):
         F.round(F.min("log_uncertainty_volume"), 4).alias("log_volume_min"), F.round(F.max("log_uncertainty_volume"), 4).alias("log_volume_max"), F.countDistinct("orbit_regime").alias("n_regimes"),
         F.round(F.avg(norm(vec("j2k_vel_"))), 4).alias("mean_speed"), F.countDistinct("altitude_band").alias("n_bands"),
     )
-    for column, (name, digits) in medians.items():
-        one = one.crossJoin(rounded(profile.exact_quantiles(df, column, {name: 0.5}), digits, name))  # a row each
-    return one
+    return one.crossJoin(pivot)  # a row each
 
 
 def null_profile(spark, d):
@@ -199,17 +202,39 @@ def sliding_windows(spark, d):
     return targets.sliding_windows(observations(spark, d)).select("satellite_number", "window_id", "window_start_idx", "window_end_idx", "window_span_s", "epoch_dt")
 
 
-#: Features of the window matrices: those that the snapshots' own columns give.
-MATRIX = ["ballistic_coef_m2kg", "solar_rad_press_coeff_m2kg", "vector_u_sigma_km", "vector_v_sigma_km", "vector_w_sigma_km", "solar_flux_f10", "average_ap", "perigee_alt_km", "apogee_alt_km", "semi_major_axis_km", "eccentricity", "inclination_deg", "orbital_period_min", "mean_altitude_km", "log_bc", "log_uncertainty_volume", "collision_risk_proxy", "kp_index", "srp_acceleration_ms2", "rtn_along_track_ratio", "rtn_cross_track_ratio", "rtn_total_uncertainty_km"]
+def feature_rows(spark, d):
+    """Complete sequences with all features, codes in place of categories, and their object's split; and the features' names.
+
+    The features are made over one shuffle by object and written in buckets; codes and splits are small tables joined to that.
+    """
+    rows = stages.ml_ready(sequences.with_sizes(sequences.complete(sequences.with_sequences(elements(spark, d)))))
+    features = scaling.feature_columns(rows)
+    kept = rows.select("satellite_number", *ft.TIES, "seq_pos", *features).withColumn("size_name", F.col("size_range"))
+    held = tables.write_bucketed(kept, "satellite_number", list(ft.TIES))
+    coded = scaling.encoded(held, scaling.encoders(held, CATEGORICAL), CATEGORICAL)
+    return coded.join(sequences.split_table(held), "satellite_number"), features
 
 
 def window_tensor_stats(spark, d):
-    """Each window's matrix, and the sum over its rows of every feature."""
-    df = banded(spark, d).withColumns(ft.size_features() | ft.environment_features() | ft.rtn_products())
-    held = targets.window_matrices(df, MATRIX)
-    sums = F.aggregate("matrix", F.array_repeat(F.lit(0.0), len(MATRIX)), lambda a, row: F.zip_with(a, row, lambda x, y: x + y))
-    held = held.select("satellite_number", "window_end_idx", F.size("matrix").alias("n_rows"), sums.alias("sums"))
-    return held.select("satellite_number", "window_end_idx", "n_rows", *(F.round(F.col("sums")[i], 2).alias(f"sum_{c}") for i, c in enumerate(MATRIX)))
+    """For each window of an object and size range, its split and the sum of every feature over its rows."""
+    df, features = feature_rows(spark, d)
+    df = df.withColumn("raan_deg", F.least("raan_deg", 360 - F.col("raan_deg")))  # nodes at 0, which rounding may put just under 360
+    sums = targets.window_sums(df, features, "size_name")
+    logs = [F.round(F.signum(f"sum_{c}") * F.log10(1 + F.abs(f"sum_{c}")), 3).alias(f"sum_{c}") for c in features]
+    return sums.select("satellite_number", "size_name", "split", "window_end_idx", "n_rows", *logs)
+
+
+def window_matrix_export(spark, d):
+    """Matrices of the windows of the val and test splits, written by split and read again: their shape, and means of their ends by feature."""
+    df, features = feature_rows(spark, d)
+    root = tables.scratch(spark)
+    matrices = targets.window_matrices(df.where("split <> 'train'"), features, "size_name").select("split", "size_name", "satellite_number", "window_end_idx", "matrix")
+    tables.write_parquet(matrices, f"{root}/windows", ["split"])
+    read = tables.read_parquet(spark, f"{root}/windows")
+    shown = [c for c in features if c in ("size_range", "altitude_band", "orbit_regime", "perigee_alt_km", "log_bc", "kp_index", "time_gap_days")]
+    ends = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col("matrix")[0][features.index(c)].alias("first"), F.col("matrix")[19][features.index(c)].alias("last")) for c in shown)))
+    each = read.select("split", F.size("matrix").alias("rows"), F.size(F.col("matrix")[0]).alias("columns"), ends.alias("x"))
+    return each.groupBy("split", "rows", "columns", "x.feature").agg(F.count("*").alias("n_windows"), F.round(F.avg(F.col("x.first").cast("double")), 3).alias("mean_first"), F.round(F.avg(F.col("x.last").cast("double")), 3).alias("mean_last"))
 
 
 def windows_with_features(spark, d):
@@ -257,21 +282,29 @@ def window_range_join(spark, d):
     return found.groupBy("satellite_number", "window_end_idx").agg(F.count("*").alias("n"), F.round(F.avg("solar_flux_f10"), 4).alias("mean_flux"))
 
 
-def labelled_rows(spark, d):
-    df = split_rows(spark, d, with_orbit=True)
+def target_rows(spark, d):
+    """Labelled snapshots of complete sequences, with their number in the windows of their object and size range.
+
+    One shuffle deals the snapshots out by object; all windows are over that, and the result is written in buckets, so
+    that splits and labels are joined to it where it is.
+    """
+    df = elements(spark, d)
     df = df.withColumns({"altitude_band": ft.altitude_band(F.col("perigee_alt_km")), "mean_altitude_km": (F.col("perigee_alt_km") + F.col("apogee_alt_km")) / 2})
-    return stages.labelled(df.withColumns(ft.risk_features() | ft.size_features()))
+    df = df.withColumns({c: ft.risk_features()[c] for c in ("uncertainty_volume_km3", "log_uncertainty_volume")})
+    rows = sequences.with_sizes(sequences.complete(sequences.with_sequences(df)))
+    own = ft.by_object("size_range")
+    rows = rows.withColumns({"i": F.row_number().over(own), "has_future": F.lead("epoch_dt").over(own).isNotNull()})
+    kept = rows.select("satellite_number", "epoch_dt", "seq_pos", "size_range", "altitude_band", "uncertainty_volume_km3", "log_uncertainty_volume", "i", "has_future")
+    held = tables.write_bucketed(kept, "satellite_number", ["epoch_dt"])
+    return targets.with_labels(held, "size_range", written=True).join(sequences.split_table(held), "satellite_number")
 
 
 def target_summary(spark, d):
-    df = labelled_rows(spark, d)
-    w = ft.by_object("size_range")
-    windows = df.withColumn("i", F.row_number().over(w)).where("i >= 20")
-    return round_doubles(targets.target_summary(windows))
+    return round_doubles(targets.target_summary(target_rows(spark, d).where("i >= 20")))
 
 
 def target_checks(spark, d):
-    return targets.target_checks(labelled_rows(spark, d))
+    return targets.target_checks(target_rows(spark, d))
 
 
 def epoch_histogram(spark, d):
@@ -326,7 +359,7 @@ def ks_two_sample(spark, d):
 
 def feature_label_corr(spark, d):
     df = targets.with_labels(banded(spark, d).withColumns(ft.size_features()))
-    return rounded(profile.label_correlations(df, scaling.feature_columns(df, FEATURES), "collision_risk"), 5, "r")
+    return rounded(profile.label_correlations(df, scaling.feature_columns(df, CORRELATED), "collision_risk"), 5, "r")
 
 
 def latest_snapshot(spark, d):
@@ -487,29 +520,135 @@ def stratified_sample(spark, d):
     return metrics.stratified_sample(df, "o_orderstatus", 0.1, "o_orderkey")
 
 
-def rf_baseline(spark, d):
-    """Metrics of a forest for each size range (three), on its windows' last snapshots, fitted on the train split."""
-    df = labelled_rows(spark, d)
-    windows = df.withColumn("i", F.row_number().over(ft.by_object("size_range"))).where("i >= 20").select("size_range", "split", "collision_risk", *FEATURES)
-    # written once: a forest reads its rows many times
-    root, found = tables.scratch(spark), []
-    tables.write_parquet(windows, f"{root}/windows", ["size_range"])
-    windows = tables.read_parquet(spark, f"{root}/windows")
-    for size in ("5-10cm", "10-25cm", "25-50cm"):
-        own = windows.where(F.col("size_range") == size)
+def forest_windows(spark, d):
+    """The last snapshots of windows with all features, labelled, written once by size range; and the features' names."""
+    df, features = feature_rows(spark, d)
+    df = targets.with_labels(df, "size_name")
+    windows = df.withColumn("i", F.row_number().over(ft.by_object("size_name"))).where("i >= 20").select("size_name", "split", "collision_risk", *features)
+    root = tables.scratch(spark)
+    tables.write_parquet(windows, f"{root}/windows", ["size_name"])
+    return tables.read_parquet(spark, f"{root}/windows"), features, root
+
+
+def forests(spark, d):
+    """(size range, its windows, where its forest is saved) for each size range that has rows to fit and to test."""
+    windows, features, root = forest_windows(spark, d)
+    for size in SIZES:
+        own = windows.where(F.col("size_name") == size)
         if own.where("split = 'train'").head() is None or own.where("split = 'test'").head() is None:
             continue
-        model = forest.fit_forest(own, FEATURES)
-        found.append(metrics.classifier_metrics(forest.scored(model, own.where("split = 'test'"), FEATURES)).withColumn("size_range", F.lit(size)))
+        forest.save_forest(forest.fit_forest(own, features), f"{root}/forests", size)
+        yield size, own, f"{root}/forests"
+
+
+def rf_baseline(spark, d):
+    """Metrics of a saved and loaded forest for each size range (three), on its windows' last snapshots, fitted on the train split."""
+    found = [metrics.classifier_metrics(forest.scored(forest.load_forest(folder, size), own.where("split = 'test'"))).withColumn("size_range", F.lit(size)) for size, own, folder in forests(spark, d)]
     return reduce(DataFrame.unionByName, found) if found else metrics.classifier_metrics(spark.createDataFrame([], "label int, score double")).withColumn("size_range", F.lit(None).cast("string"))
 
 
+def rf_importances(spark, d):
+    """The features of each size range's forest by importance."""
+    found = [forest.importances(spark, forest.load_forest(folder, size)).withColumn("size_range", F.lit(size)) for size, _, folder in forests(spark, d)]
+    empty = spark.createDataFrame([], "feature string, importance double, rank int, size_range string")
+    return reduce(DataFrame.unionByName, found, empty)
+
+
+def message_folders(spark, d):
+    """Snapshots written as message files in numbered folders and read again, by folder in numeric order."""
+    obs, root = observations(spark, d), tables.scratch(spark)
+    texts = obs.select("satellite_number", messages.as_text(obs).alias("block"))
+    for i, folder in enumerate((2, 10, 1)):
+        messages.write_messages(texts.where(F.col("satellite_number") % 3 == i), root, folder)
+    read = messages.read_messages(spark, root, "*.txt").withColumn("epoch_dt", messages.epoch_time(F.col("epoch_time_utc")))
+    by = read.groupBy("source_folder", "folder_no").agg(F.count("*").alias("n"), F.countDistinct("satellite_number").alias("n_objects"), F.countDistinct("source_file", "block_no").alias("n_places"), F.min("epoch_dt").alias("first_epoch"), F.round(F.sum("ballistic_coef_m2kg"), 6).alias("sum_bc"))
+    order = F.sum(F.lit(1)).over(Window.orderBy("folder_no")).cast("int")  # a row per folder
+    return by.withColumn("folder_rank", order).drop("folder_no")
+
+
+def bucketed_series(spark, d):
+    """Per object, over a table in buckets by object: windows, a join and a group that need no exchange of it."""
+    held = tables.write_bucketed(observations(spark, d).select("satellite_number", *ft.TIES, "ballistic_coef_m2kg"), "satellite_number", list(ft.TIES))
+    gaps = sequences.with_time_gap(held)
+    means = held.groupBy("satellite_number").agg(F.avg("ballistic_coef_m2kg").alias("mean_bc"))
+    out = gaps.join(means, "satellite_number").groupBy("satellite_number").agg(F.count("*").alias("n"), F.max("time_gap_days").alias("max_gap"), F.count_if(F.col("ballistic_coef_m2kg") > F.col("mean_bc")).alias("n_above"))
+    return rounded(out, 6, "max_gap")
+
+
+def resumed_stages(spark, d):
+    """Stages run to the split, then resumed from the sequences' table for the same input: rows by split and size range."""
+    obs, folder = observations(spark, d), tables.scratch(spark)
+    steps = stages.phases()[1:4]
+    stages.run_stages(obs, folder, steps[:2])
+    resumed = stages.run_stages(obs, folder, steps, resume_after=stages.last_written(spark, folder, steps))
+    return resumed.groupBy("split", "size_range").agg(F.count("*").alias("n"), F.round(F.avg("perigee_alt_km"), 3).alias("mean_perigee_km"))
+
+
+def ordered_chunks(spark, d):
+    """Objects' snapshots in order, in chunks of 100 as arrays: their ends, and a sum that depends on their order."""
+    out = sequences.ordered_chunks(elements(spark, d), ["j2k_pos_x", "j2k_vel_x", "perigee_alt_km", "ballistic_coef_m2kg"], 100)
+    weighted = F.aggregate(F.transform("rows", lambda x, i: (i + 1) * x["perigee_alt_km"]), F.lit(0.0), lambda a, x: a + x)
+    first, last = F.element_at("rows", 1), F.element_at("rows", -1)
+    return out.select("satellite_number", "chunk", "n", first["epoch_dt"].alias("first_epoch"), last["epoch_dt"].alias("last_epoch"), F.round(first["j2k_vel_x"], 4).alias("first_vel_x"), ft.size_range(first["ballistic_coef_m2kg"]).alias("first_size"), F.round(weighted, 2).alias("weighted_alt"))
+
+
+def data_histograms(spark, d):
+    """50 bins each of altitude and of gaps, between their own least and greatest values."""
+    df = elements(spark, d)
+    gap = ft.seconds_since(F.lag("epoch_dt").over(ft.by_object())) / 86400.0
+    held = tables.held(df.select(((F.col("perigee_alt_km") + F.col("apogee_alt_km")) / 2).alias("altitude_km"), gap.alias("gap_days")))
+    return rounded(profile.histograms(held, ["altitude_km", "gap_days"], 50), 3, "bin_low", "bin_high")
+
+
+def schema_entry(spark, d):
+    """Two sources through the snapshots' schema, one without the magnetic index and the pressure coefficient, as one table."""
+    obs = observations(spark, d)
+    poor = obs.where("l_linenumber < 3").drop("average_ap", "solar_rad_press_coeff_m2kg", "common_name")
+    both = [schemas.conform(df, schemas.SNAPSHOTS).withColumn("source", F.lit(name)) for name, df in (("full", obs), ("poor", poor))]
+    df = reduce(DataFrame.unionByName, both).withColumn("mean_altitude_km", F.lit(700.0))
+    df = ft.finite_or_null(df.withColumns(ft.environment_features()))
+    return df.groupBy("source").agg(F.count("*").alias("n"), F.count("common_name").alias("n_names"), F.count("srp_acceleration_ms2").alias("n_srp"), F.round(F.avg("kp_index"), 6).alias("mean_kp"), F.round(F.min("kp_index"), 6).alias("min_kp"))
+
+
+def infinite_to_null(spark, d):
+    """How many ratios with a zero or tiny divisor are infinite, and null once infinities are taken out."""
+    tiny = F.when(F.col("l_linenumber") == 1, 1e-310).otherwise(F.col("solar_rad_press_coeff_m2kg") + 1e-3)
+    df = observations(spark, d).select((F.col("ballistic_coef_m2kg") / tiny * 1e10).alias("ratio"), "solar_flux_f10")
+    clean = ft.finite_or_null(df)
+    return df.agg(F.count_if(F.abs("ratio") == float("inf")).alias("n_infinite")).crossJoin(clean.agg(F.count_if(F.col("ratio").isNull()).alias("n_null"), F.count("*").alias("n"), F.round(F.log10(F.max("ratio")), 4).alias("log_max")))  # a row each
+
+
+def spans_of_test(spark, d):
+    """Spans of the objects of the test split, with the earliest and latest snapshot of all of them."""
+    return rounded(profile.object_spans(split_rows(spark, d).where("split = 'test'").select("satellite_number", "epoch_dt")), 6, "span_days")
+
+
+def object_periods(spark, d):
+    """Per object: gaps, span, and the period of its first snapshot's orbit."""
+    gaps = profile.object_gaps(observations(spark, d)).select("satellite_number", "min_gap", "mean_gap", "max_gap", "span_days")
+    first = elements(spark, d).groupBy("satellite_number").agg(F.min_by("orbital_period_min", F.struct(*ft.TIES)).alias("period_min"))
+    return rounded(gaps.join(first, "satellite_number"), 4, "min_gap", "mean_gap", "max_gap", "span_days", "period_min")
+
+
+def error_overview(spark, d):
+    return round_doubles(errors.error_overview(error_rows(spark, d)), 3)
+
+
+def grid_summary(spark, d):
+    """The written grid's axes, steps and number of objects, read again."""
+    near = riskmap.with_grid_sigmas(riskmap.debris(riskmap.latest(observations(spark, d))))
+    root = tables.scratch(spark)
+    tables.write_grid(riskmap.grid(near), f"{root}/grid", near.count())
+    return tables.read_parquet(spark, f"{root}/grid/about")
+
+
 QUERIES = (
     risk_thresholds_by_band, rtn_frame, rtn_validation, orbital_elements, elements_validation, epoch_sequences, sequence_stats, rank_split, split_profile, split_leaks, size_distribution, time_gaps, trend_features,
     size_features, env_features, risk_features, rtn_products, feature_sanity, null_profile, iqr_outliers, bc_summary, scaler_params, scaled_features, label_encoding, risk_labels, future_targets, sliding_windows,
     window_tensor_stats, windows_with_features, thresholds_of_train, long_spans, object_sample, union_sources, window_range_join, target_summary, target_checks, epoch_histogram, epoch_shares, epoch_percentiles, gap_stats, gap_regularity, red_flags, time_range, bc_by_epoch_bin, nearest_epoch,
     ks_two_sample, feature_label_corr, latest_snapshot, geodetic, geodetic_summary, voxel_grid, grid_marginals, hottest_shell, bc_histogram, catalog_labels, altitude_correlation, message_ingest, parse_summary, sink_round_trips, grid_round_trip, catalog_files,
     propagation_errors, divergence, horizon_error_stats, regime_errors, worst_objects, error_pivot, altitude_bin_errors, extreme_objects, classifier_metrics, class_weights, stratified_sample, rf_baseline,
+    window_matrix_export, rf_importances, message_folders, bucketed_series, resumed_stages, ordered_chunks, data_histograms, schema_entry, infinite_to_null, spans_of_test, object_periods, error_overview, grid_summary,
 )
 
 

@@ -31,6 +31,27 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: s
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df as a table written in the shared folder, for what is read more than once; its lineage ends there."""
+    path = f"{scratch(df.sparkSession)}/held"
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_bucketed(df: DataFrame, key: str, order: list[str], buckets: int | None = None) -> DataFrame:
+    """df as a table in buckets of a key, each in one file and sorted by key and order; read again without a shuffle.
+
+    Joins, groups and windows on the key need no exchange of this table. The one shuffle is done here, unless df is
+    dealt out by the key in as many partitions already. The table has a name of its own in the session's catalogue.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"by_{key}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("compression", "zstd")
+    writer.option("path", f"{scratch(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
@@ -48,11 +69,13 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_grid(cells: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Grid cells, and the three axes with their centres beside them."""
+def write_grid(cells: DataFrame, path: str, n_objects: int | None = None, mode: str = "overwrite") -> None:
+    """Grid cells, the three axes with their centres beside them, and a table of steps, counts and the objects in the grid."""
     from orbitspark.operators.riskmap import AXES
 
     spark = cells.sparkSession
     cells.write.mode(mode).parquet(f"{path}/cells")
     for axis, (first, step, n) in AXES.items():
         spark.range(n).select(F.col("id").cast("int").alias(f"{axis}_i"), (first + step * F.col("id")).alias("center")).write.mode(mode).parquet(f"{path}/axis_{axis}")
+    about = [(axis, first, step, n, n_objects) for axis, (first, step, n) in AXES.items()]
+    spark.createDataFrame(about, "axis string, first double, step double, n int, n_objects long").coalesce(1).write.mode(mode).parquet(f"{path}/about")

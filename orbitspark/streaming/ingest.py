@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitspark.sources.messages import epoch_time, parse_messages, split_blocks
+from orbitspark.sources.messages import RECORD_END, epoch_time, parse_messages, split_blocks
 
 
 def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
     """A streaming table of the messages in a folder's files, with epoch_dt."""
-    files = spark.readStream.option("wholetext", True).text(folder)
-    return parse_messages(split_blocks(files)).withColumn("epoch_dt", epoch_time(F.col("epoch_time_utc")))
+    records = spark.readStream.option("lineSep", RECORD_END).text(folder)
+    return parse_messages(split_blocks(records)).withColumn("epoch_dt", epoch_time(F.col("epoch_time_utc")))
 
 
 def stream_daily_counts(messages: DataFrame, late: str = "7 days") -> DataFrame:
