@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -20,6 +21,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +86,22 @@ class WordMemory(dict):
         return b"".join([self.peek(w) or self.encode_word(w) for w in CUT.split(text)])
 
 
+@lru_cache(1)
+def newer_letters() -> frozenset[str]:
+    """Letters and numbers of the pattern's engine that tiktoken, which follows an older version of Unicode, doesn't know as such."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    doubtful = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if not unicodedata.category(c).startswith(("L", "N"))]
+    known = tiktoken.Encoding("letters", pat_str=r"[\p{L}\p{N}]", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return frozenset(c for c in doubtful if not known.encode_ordinary(c))
+
+
 class ByteBPE:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.strange = newer_letters()
+        self.masked = dict.fromkeys(map(ord, self.strange), "\ue000")  # of no class that patterns name
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -216,8 +229,13 @@ class ByteBPE:
     def word(self, text: str) -> bytes:
         """Ids of the matches of the pattern in a text; each match is remembered too, as more words are made of it."""
         words, out = self.words, []
-        ends = text[-1] in ENDS and (text[:-1].isalpha() or text[0] == " " and text[1:-1].isalpha())
-        for m in (text[:-1], text[-1]) if ends else self.pattern.findall(text):
+        if text[-1] in ENDS and (text[:-1].isalpha() or text[0] == " " and text[1:-1].isalpha()):
+            matches = [text[:-1], text[-1]]
+        elif text.isascii() or self.strange.isdisjoint(text):
+            matches = self.pattern.findall(text)
+        else:
+            matches = [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(self.masked))]
+        for m in matches:
             ids = words.peek(m)
             if ids is None:
                 ids = self.match(m)

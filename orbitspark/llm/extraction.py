@@ -39,7 +39,9 @@ AGAINST = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|side-?bar|side|widgets?|related|recommend\w*|share|sharing|social|menu|nav\w*|breadcrumbs?|foot(?:er)?|head(?:er|bar)?|masthead|topbar|comments?|comment-?list|replies|reply|respond|disqus|newsletter|subscribe|signup|login|search|toc|pagination|pager|tags?|copyright|legal|disclaimer|toolbar|skip\w*|form|contentinfo|complementary|navigation)(?:$|[^a-z])"
 )
 FOR = re.compile(r"(?:^|[^a-z])(?:article\w*|content|post|entry|body|main|story|text|prose)(?:$|[^a-z])")
-#: Names of parts that stay out however much text they hold.
+#: Names that say what a page or part allows or has, not what it is.
+STATE = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|show|hide|is|are|can)[-_][\w-]+|[\w-]+[-_](?:open|closed|enabled|disabled|active|allowed|on|off))(?=\s|$)")
+#: Names of parts that stay out however much text they hold, unless most of the page, its article too, is in them.
 NEVER = re.compile(r"(?:^|[^a-z])(?:comments?|comment-?list|replies|reply|respond|disqus)(?:$|[^a-z])")
 #: The classifier: weights of a container's evidence, and of a block's own.
 SECTION, BOILERPLATE, NAMED_AGAINST, NAMED_FOR = 5.0, -9.0, -9.0, 1.5
@@ -47,19 +49,24 @@ BIAS, BY_LENGTH, MOST_LENGTH, LINKED, ENDED, HEADED, LEGAL, UNSEEN = -1.0, 1 / 8
 #: Weight of an edge between neighbours, halved by each step between them in the tree, and of one between blocks that
 #: follow one another in a container.
 BESIDE, AKIN = 4.0, 1.0
+#: What notices and forms say, with whatever names.
+NOTICE = re.compile(
+    r"\b(?:(?:we|site|website|page) uses? cookies|(?:accept|allow|reject) (?:all )?cookies|cookie (?:policy|settings|preferences)|your (?:e-?mail address|email) will not be (?:published|shared)|(?:leave|post|write|add) a (?:comment|reply)|"
+    r"(?:sign up|subscribe) (?:for|to) (?:our|the) newsletter|verwende[nt] cookies|utilis(?:e|ons) des cookies|utiliza(?:mos)? cookies)\b", re.I
+)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A wrapper that holds more than this share of a page's unlinked text is the page's frame, and its name says nothing.
 FRAME = 0.5
 
 
 class Node:
-    """An open element: its parent, depth, evidence, unlinked characters within, and what its ancestors and it say."""
+    """An open element: its parent, depth, evidence and what voids it, unlinked characters within, whether an article is within, and what its ancestors and it say."""
 
-    __slots__ = ("tag", "parent", "depth", "evidence", "damped", "mass", "logit")
+    __slots__ = ("tag", "parent", "depth", "evidence", "damped", "mass", "holds", "logit")
 
-    def __init__(self, tag: str, parent: Node | None, evidence: float = 0.0, damped: bool = False):
+    def __init__(self, tag: str, parent: Node | None, evidence: float = 0.0, damped: str = ""):
         self.tag, self.parent, self.evidence, self.damped = tag, parent, evidence, damped
-        self.depth, self.mass, self.logit = parent.depth + 1 if parent else 0, 0, 0.0
+        self.depth, self.mass, self.holds, self.logit = parent.depth + 1 if parent else 0, 0, False, 0.0
 
 
 class Block:
@@ -69,22 +76,23 @@ class Block:
         self.text, self.linked, self.node = text, linked, node
 
 
-def evidence_of(tag: str, names: str, inside_content: bool) -> tuple[float, bool]:
-    """What an open element says of the blocks in it, and whether that is void if it holds most of the page."""
+def evidence_of(tag: str, names: str, inside_content: bool) -> tuple[float, str]:
+    """What an open element says of the blocks in it, and when that is void: if it is the page's "frame", or a "wrapper" of its article too."""
     if tag in SILENT:
-        return UNSEEN, False
+        return UNSEEN, ""
+    names = STATE.sub(" ", names) if names and tag not in ("body", "html") else ""
     if names and NEVER.search(names):
-        return NAMED_AGAINST, False
+        return NAMED_AGAINST, "wrapper"
     if tag in ("article", "main"):
-        return SECTION, False
+        return SECTION, ""
     if tag in BOILER:
-        return -2.0 if tag == "header" and inside_content else BOILERPLATE, tag == "form"
-    if names and tag not in ("body", "html"):
+        return -2.0 if tag == "header" and inside_content else BOILERPLATE, "frame" if tag == "form" else ""
+    if names:
         if AGAINST.search(names):
-            return NAMED_AGAINST, True
+            return NAMED_AGAINST, "frame"
         if FOR.search(names):
-            return NAMED_FOR, False
-    return 0.0, False
+            return NAMED_FOR, ""
+    return 0.0, ""
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
@@ -168,13 +176,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
 
 
 def weighed(nodes: list[Node]) -> None:
-    """Adds up texts from the leaves, and evidence from the root, of which a frame's is void."""
+    """Adds up texts from the leaves, and evidence from the root, of which that of frames and wrappers is void."""
     for n in reversed(nodes):
         if n.parent:
             n.parent.mass += n.mass
+            n.parent.holds |= n.holds or n.evidence == SECTION
     whole = nodes[0].mass
     for n in nodes:
-        void = n.damped and n.mass > FRAME * whole
+        void = n.damped and n.mass > FRAME * whole and (n.damped == "frame" or n.holds)
         n.logit = (n.parent.logit if n.parent else 0.0) + (0.0 if void else n.evidence)
 
 
@@ -186,7 +195,7 @@ def block_logit(b: Block) -> float:
         logit += ENDED
     if b.node.tag in HEADINGS:
         logit += HEADED
-    if b.node.logit < SECTION and (b.text[0] == "©" or "all rights reserved" in b.text.lower()):
+    if b.node.logit < SECTION and (b.text[0] == "©" or "all rights reserved" in b.text.lower() or NOTICE.search(b.text)):
         logit += LEGAL
     return logit
 
@@ -290,7 +299,10 @@ def main_text(page: str | None) -> str:
 
 
 def extracted(page: Column) -> Column:
-    """Column of a page's main text; empty for a null, empty or wholly boilerplate page. Pages are read whole."""
+    """Column of a page's main text; empty for a null, empty or wholly boilerplate page. Pages are read whole.
+
+    It is a column of its row alone: repeated rows give equal texts, and other columns play no part.
+    """
 
     @F.pandas_udf("string")
     def of(pages: pd.Series) -> pd.Series:

@@ -473,6 +473,16 @@ def test_suffix_dedup_odd(spark, odd, nothing):
     assert suffix_dedup.without_repeats(nothing).count() == 0
 
 
+def test_byte_bpe_on_all_code_points():
+    """Alone, and between letters, digits and spaces, as the library's own version of Unicode has them."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    coder = byte_bpe.coder(path, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    texts = [f"a{c}a 1{c}1 {c}{c} a{c}." for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000)))]
+    odd = [t for t, ids in zip(texts, library.encode_ordinary_batch(texts, num_threads=4), strict=True) if coder.encode(t) != np.array(ids, "<u4").tobytes()]
+    assert not odd
+
+
 # --- extraction
 
 
@@ -529,6 +539,33 @@ def test_extraction_frames():
     assert extraction.main_text(f"<article><p>{long}<button>Subscribe</button></p><select><option>One</select></article>") == text
 
 
+STORY = "The council met on Monday to discuss the plan for the new bridge, which would join both banks of the river. Most members spoke in favour of it, though some asked for another look at its costs. "
+
+
+@pytest.mark.parametrize("wrap", ["<body class='single comments-open'>{}</body>", "<body><div class='post has-comments'>{}</div></body>", "<body><div class='replies-enabled site'>{}</div></body>", "<body><div id='comments-wrapper'>{}</div></body>", "<html class='no-sidebar comments'><body class='comments'>{}</body></html>"])
+def test_names_of_wrappers_don_t_drop_the_article(wrap):
+    text = (STORY * 3).strip()
+    comments = "<section class='comments'><h2>Comments</h2><ol><li><p>First! A great read, thank you so much for writing all of this down.</p></li></ol></section>"
+    page = wrap.format(f"<header><nav><a href='/'>Home</a> <a href='/news'>News</a></nav></header><article><h1>A bridge</h1><p>{text}</p></article>{comments}<footer>Imprint</footer>")
+    assert extraction.main_text(page) == f"A bridge {text}"
+
+
+#: Hand-written pages of other templates than the tables', with what a reader would keep.
+PAGES = [
+    ("<div id=page><div class=nav><ul><li><a href=/a>Start</a><li><a href=/b>About us</a></ul></div><div id=content><h2>Notes</h2><p>{s}<p>{s}</div><div class='sidebar widget'><h3>Latest</h3><ul><li><a href=/x>One more thing</a></ul></div></div>", "Notes {s} {s}"),
+    ("<table><tr><td><a href=/>Home</a> | <a href=/c>Contact</a></td></tr><tr><td><p>{s}</p><p>{s}</p></td></tr><tr><td>© 2020 A company</td></tr></table>", "{s} {s}"),
+    ("<main><p>{s}</p><blockquote>{s}</blockquote></main><div><p>We use cookies to make this site better.</p><button>Accept</button></div>", "{s} {s}"),
+    ("<article><p>{s}</p></article><div><h3>Leave a reply</h3><form><p>Your email address will not be published.</p><textarea></textarea></form></div>", "{s}"),
+    ("<article><p>{s}</p></article><div id=comments><article class=comment-body><p>{s}</p></article><article class=comment-body><p>{s} {s}</p></article></div>", "{s}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_extraction_of_other_templates(page, want):
+    s = STORY.strip()
+    assert extraction.main_text(page.replace("{s}", s)) == want.replace("{s}", s)
+
+
 def test_extraction_is_linear():
     pages = ('<a href="x ' * 8000, "<div>" * 8000 + "text" + "</div>" * 8000, "<div><p>short</p>" * 4000, "<b><div>" + "<a>" * 8000 + "</b>" * 8000, "<p>Some words of a text.</p><li>x" * 4000, "<div class='" * 8000, "<!--" * 8000 + "<p" * 8000)
     for page in pages:
