@@ -21,12 +21,16 @@ from tokenizers import Tokenizer
 from orbitspark.llm.common import batches_of
 
 #: Distinct cuts in a generation of what a Python worker remembers; there are two.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: Bytes of texts that are encoded at a time.
+BATCH_BYTES = 4 << 20
 NONE = np.iinfo(np.int64).max
 #: ASCII white space besides the space.
 BLANKS = "\t\n\x0b\x0c\r"
-#: The words of lower-cased ASCII text, by the file's pattern.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: The words of lower-cased ASCII text, by the file's pattern, and ends of lines.
+ASCII_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: Stands between cuts that the library splits together; cuts that hold it are split by themselves.
+MARK = "\ue000"
 #: The parts of a file that this coder has the rules of.
 KNOWN_PARTS = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}
 
@@ -43,6 +47,7 @@ class WordBPE:
             raise ValueError(f"{path} has parts that this coder lacks")
         rules = Tokenizer.from_file(path)
         self.normal, self.words = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        self.mark = self.words(MARK)[0][0]
         self.special, self.cut = special, re.compile("(" + "|".join(map(re.escape, special)) + ")")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.size = max(*vocab.values(), *special.values()) + 1
@@ -84,31 +89,37 @@ class WordBPE:
         inside = (place - np.repeat(ends - lengths, lengths)) // self.stretch
         stretch = np.cumsum(np.r_[False, (inside[1:] != inside[:-1]) | (word[1:] != word[:-1])])
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = self.ranks_at(np.arange(len(sym)), sym, word)
         while len(sym):
-            rank = self.ranks_of(sym, word)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             live = np.minimum.reduceat(rank, starts) < NONE
-            stays = np.repeat(live, np.diff(np.r_[starts, len(sym)]))
-            done.append((place[~stays], sym[~stays]))
-            sym, place, word, stretch, rank = sym[stays], place[stays], word[stays], stretch[stays], rank[stays]
-            if not len(sym):
-                break
+            if not live.all():
+                stays = np.repeat(live, np.diff(np.r_[starts, len(sym)]))
+                done.append((place[~stays], sym[~stays]))
+                sym, place, word, stretch, rank = sym[stays], place[stays], word[stays], stretch[stays], rank[stays]
+                if not len(sym):
+                    break
             at = self.lowest(rank, word, stretch)
             sym[at] = self.made[rank[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, place, word, stretch = sym[keep], place[keep], word[keep], stretch[keep]
+            sym, place, word, stretch, rank = sym[keep], place[keep], word[keep], stretch[keep], rank[keep]
+            # only pairs with a new symbol have another rank
+            new = at - np.arange(len(at))
+            near = np.concatenate([new, new[new > 0] - 1])
+            rank[near] = self.ranks_at(near, sym, word)
         places, ids = np.concatenate([p for p, _ in done]), np.concatenate([s for _, s in done])
         order = np.argsort(places)
         ids, cuts = ids[order].astype("<u4").tobytes(), 4 * np.searchsorted(places[order], np.r_[0, ends])
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    def ranks_of(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The rank of each symbol's pair with the next one of its word, or NONE."""
-        key = sym[:-1] * self.size + sym[1:]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        good = (self.keys[at] == key) & (word[:-1] == word[1:])
-        return np.r_[np.where(good, self.ranks[at], NONE), NONE]
+    def ranks_at(self, at: np.ndarray, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that symbols at these places make with the next one of their word, or NONE."""
+        after = np.minimum(at + 1, len(sym) - 1)
+        key = sym[at] * self.size + sym[after]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        good = (self.keys[found] == key) & (word[at] == word[after]) & (at < after)
+        return np.where(good, self.ranks[found], NONE)
 
     @staticmethod
     def lowest(rank: np.ndarray, word: np.ndarray, stretch: np.ndarray) -> np.ndarray:
@@ -131,41 +142,56 @@ class WordBPE:
         return np.flatnonzero(whole & ((np.arange(len(rank)) - heads) % 2 == 0))
 
     def split(self, cut: str) -> list[str | int]:
-        """Words of a text without white space around, and ids of special tokens, which are looked for before all else."""
+        """Words of one cut, and ids of special tokens, which are looked for before all else."""
         parts: list[str | int] = []
-        for p in self.cut.split(cut) if "<|" in cut else (cut,):
-            if p in self.special:
-                parts.append(self.special[p])
-            elif p.isascii() and p.isprintable():  # its bytes are letters of the byte alphabet
-                parts += ASCII_WORDS.findall(p.lower())
-            elif p:
-                parts += [w for w, _ in self.words(self.normal(p))]
+        for p in self.cut.split(cut):
+            parts += [self.special[p]] if p in self.special else [w for w, _ in self.words(self.normal(p))]
         return parts
 
+    def split_all(self, cuts: list[str]) -> tuple[list[str], list[str | int | None]]:
+        """The cuts in another order, and the words and special tokens of all of them, with None after each cut."""
+        plain, foreign, single = [], [], []
+        for c in cuts:
+            (single if "<|" in c or MARK in c else plain if c.isascii() and c.isprintable() else foreign).append(c)
+        parts: list[str | int | None] = []
+        if plain:  # their bytes are letters of the byte alphabet
+            parts += [None if w == "\n" else w for w in ASCII_WORDS.findall("\n".join(plain).lower() + "\n")]
+        if foreign:
+            words = self.words(self.normal("".join([f"{c} {MARK} " for c in foreign])))
+            parts += [None if w == self.mark else w for w, _ in words]
+        for c in single:
+            parts += [*self.split(c), None]
+        return plain + foreign + single, parts
+
     def learn(self, cuts: set[str]) -> None:
         """Takes in the ids of new cuts."""
-        parts = {c: self.split(c) for c in cuts}
-        words = sorted({w for own in parts.values() for w in own if isinstance(w, str)}, key=len)
-        ids = dict(zip(words, self.merged(words), strict=True)) if words else {}
-        if len(self.known) + len(cuts) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
-        for c, own in parts.items():
-            self.known[c] = b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in own])
+        order, parts = self.split_all(list(cuts))
+        words = {w for w in set(parts) if isinstance(w, str)}
+        ids: dict = {None: b""} | {i: i.to_bytes(4, "little") for i in self.special.values()}
+        if words:
+            words = sorted(words, key=len)
+            ids |= zip(words, self.merged(words), strict=True)
+        each = list(map(ids.__getitem__, parts))
+        ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))[np.fromiter((p is None for p in parts), bool, len(parts))].tolist()
+        joined = b"".join(each)
+        self.known |= zip(order, [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts; null is read as empty."""
         cuts = []
         for t in texts:
+            t = t or ""
             for blank in BLANKS:
-                t = (t or "").replace(blank, " ")
+                t = t.replace(blank, " ")
             cuts.append(t.split(" "))
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
         new = set().union(*cuts) - self.known.keys()
         back = new & self.older.keys()
         self.known |= {c: self.older[c] for c in back}
         if new - back:
             self.learn(new - back)
-        known, older = self.known, self.older
-        return [b"".join([known[c] if c in known else older[c] for c in own]) for own in cuts]
+        return [b"".join(map(self.known.__getitem__, own)) for own in cuts]
 
     def decode(self, ids: bytes) -> str:
         """Tokens with a space between, as the library writes them for a file without a decoder."""
@@ -184,7 +210,7 @@ def encode(text: Column, path: str) -> Column:
     Null and empty texts, and those of white space alone, give no ids. Texts are encoded whole; the rounds that a word
     takes don't grow with its length. It is a column of its row alone: repeated rows and other columns play no part.
     """
-    batches_of(SparkSession.active())
+    batches_of(SparkSession.active(), BATCH_BYTES)
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:

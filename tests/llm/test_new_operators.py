@@ -112,7 +112,7 @@ def assert_like_library(texts):
 
 def test_word_bpe_on_odd_texts():
     rng = random.Random(1)
-    letters = ["a", "b", "C", "é", "é", " ", "'", "'s", "'LL", "-", "—", "1", "²", "’", "ß", "ŝ", "\x1c", "\x00", "\x85", "\xa0", " ", "|", "<", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日", "😀", "‍", "İ", "Σ", "ǅ", "\n", "\x0b", "가", "ᄀ", "ᅡ"]
+    letters = ["a", "b", "C", "é", "é", " ", "'", "'s", "'LL", "-", "—", "1", "²", "’", "ß", "ŝ", "\x1c", "\x00", "\x85", "\xa0", " ", "|", "<", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日", "😀", "‍", "İ", "Σ", "ǅ", "\n", "\x0b", "가", "ᄀ", "ᅡ", "\ue000"]
     assert_like_library(["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(4000)] + [None, "", " \n\t", "x"])
 
 
@@ -136,7 +136,7 @@ def test_memory_of_word_bpe_is_bounded(monkeypatch):
         for k in range(0, 600, 30):
             texts = [f"word{i} other{i % 7} x" for i in range(k, k + 40)]
             assert coder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-            assert len(coder.known) < 150
+            assert len(coder.known) < 200
 
 
 def test_op12_query(spark, tmp_path):
