@@ -3,7 +3,7 @@
 Five small transducers each read a symbol a word and write one, with a weight. REPORTED lowers what follows a verb of
 saying in a clause; NEGATION lowers what stands within a few words after a negation; TARGET turns an insult after an
 address into an addressed one, which weighs more; THREAT arms on a threatening verb and writes a threat when a target
-follows; INSULT lets an insult count where it stands with other words of its clause, and drops one that is a clause by
+is its object, within two words; INSULT lets an insult count where it stands with other words of its clause, and drops one that is a clause by
 itself. They are composed, each reading what the one before it writes and weights being multiplied, into one table
 that is compiled once; a clause's score is the sum of what the composition emits.
 
@@ -48,6 +48,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 ADDRESSED, THREATENED, NOTHING, NOW, HOLD, RELEASE, BOTH, THREATEN = range(6, 14)
 FUNCTION_WORDS = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORTED, REPORTS)) for w in words.split()}
 FUNCTION_WORDS = {stem + end.strip("-"): THREAT for stems, ends in THREATS for stem in stems.split() for end in ends.split()} | FUNCTION_WORDS
+#: Words among which a threatening verb's object must be.
+OBJECT_REACH = 2
 #: Words that a negation reaches, its factor, those of reported speech and of an address, and a threat's weight.
 REACH, NEGATED, QUOTED, RAISED, THREAT_WEIGHT = 3, 0.4, 0.6, 1.25, 2.0
 CLAUSE_END = re.compile(r"[.!?;:…]+[\"')\]]*\Z")
@@ -108,8 +110,11 @@ def target() -> Transducer:
 
 
 def threat() -> Transducer:
-    """A threatening verb arms; a target that follows makes the threat."""
-    return Transducer(0, {(0, THREAT): (1, THREAT, 1.0), (1, TARGET): (0, THREATENED, 1.0)})
+    """A threatening verb arms; a target as its object, among the next few words, makes the threat. States count those words down."""
+    arcs = {}
+    for left in range(1, OBJECT_REACH + 1):
+        arcs |= {(left, x): (left - 1, x, 1.0) for x in (OTHER, INSULT, NEGATION, REPORTED, ADDRESSED)} | {(left, TARGET): (0, THREATENED, 1.0)}
+    return Transducer(0, arcs | {(left, THREAT): (OBJECT_REACH, THREAT, 1.0) for left in range(OBJECT_REACH + 1)})
 
 
 def insult() -> Transducer:

@@ -255,11 +255,21 @@ def test_grammar_scores_clauses_not_words():
     assert s.clause("you are an idiot".split()) > s.clause("an idiot".split()) > s.clause("not an idiot".split()) > 0
     assert s.clause("he said what an idiot".split()) < s.clause("he what an idiot".split())
     assert s.clause("i will kill you".split()) == s.clause("i am killing you".split()) == 2.0 and s.clause("i will kill time".split()) == 0
+    assert s.clause("we kill time with them".split()) == 0 and s.clause("i will kill all of you".split()) == 0 and s.clause("kill every one".split()) == 0
+    assert s.clause("kill all him".split()) == 2.0
     assert s.clause("ich töte dich".split()) == s.clause("te matarán".split()) + 2 == 2.0
     assert s.clause("die loweiä".split()) == 0.5
     assert s.features("A fine day. You idiot! Nice. Idiot.")[2] == 1 and s.features(None) == s.features("") == (0, 0, 0, 0)
 
 
+def test_toxicity_recall(spark):
+    """Most of the held-out toxic documents are found, and few others, on a table with enough labels to learn from."""
+    d = SMALL.replace("0.001", "0.1")
+    found = {r["doc_id"]: r["predicted"] for r in queries.op4_toxicity(spark, d).where("held_out").select("doc_id", "predicted").collect()}
+    truth = [(toxic, found[i]) for i, toxic in duckdb.sql(f"select doc_id, toxic from '{d}/labels.parquet'").fetchall() if i in found]
+    assert truth.count((1, 1)) >= 0.8 * sum(t for t, _ in truth) and truth.count((0, 1)) <= 0.03 * len(truth)
+
+
 def plain_clause(kinds, weights):
     """What the grammar gives, word by word from the clause's words as they stand."""
     total = 0.0
@@ -273,7 +283,7 @@ def plain_clause(kinds, weights):
             total += factor * weights[i]
         if kind == toxicity.TARGET and toxicity.THREAT in kinds[:i]:
             after = kinds[i - 1 - kinds[:i][::-1].index(toxicity.THREAT) + 1 : i]
-            if toxicity.TARGET not in after:
+            if toxicity.TARGET not in after and len(after) < toxicity.OBJECT_REACH:
                 total += factor * toxicity.THREAT_WEIGHT
     return total
 
