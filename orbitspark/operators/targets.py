@@ -81,12 +81,22 @@ def window_matrices(df: DataFrame, features: list[str], *keys: str, length: int
 
 
 def window_sums(df: DataFrame, features: list[str], *keys: str, length: int = SEQ_LEN) -> DataFrame:
-    """A row per window: its end, n_rows, and the sum over its rows of every feature, as float for export. No matrix is made."""
-    w = by_object(*keys)
-    frame = w.rowsBetween(1 - length, 0)
-    sums = {f"sum_{c}": F.sum(F.col(c).cast("float").cast("double")).over(frame) for c in features}
-    held_rows = df.withColumns({"window_end_idx": F.row_number().over(w).cast("long") - 1, "n_rows": F.count("*").over(frame).cast("int")} | sums)
-    return held_rows.where(F.col("n_rows") == length)
+    """A row per window: its end, n_rows, and the sum over its rows of every feature, as float for export; null and NaN count as 0.
+
+    No matrix is made and no row is added twice: a window is the end of one block of `length` rows and the beginning of the
+    next, so that running sums inside blocks give it, and a large value blurs no sums but those of its own block.
+    """
+    own = Window.partitionBy("satellite_number", *keys)
+    df = df.withColumn("window_end_idx", F.row_number().over(by_object(*keys)).cast("long") - 1).withColumn("__block", F.floor(F.col("window_end_idx") / length))
+    block = Window.partitionBy("satellite_number", *keys, "__block")
+    upto = block.orderBy("window_end_idx").rowsBetween(Window.unboundedPreceding, 0)
+    value = {c: F.coalesce(F.nanvl(F.col(c).cast("float").cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in features}
+    df = df.withColumns({f"__x_{c}": x for c, x in value.items()})
+    df = df.withColumns({f"__upto_{c}": F.sum(f"__x_{c}").over(upto) for c in features} | {f"__all_{c}": F.sum(f"__x_{c}").over(block) for c in features})
+    before = own.orderBy("__block", "window_end_idx")
+    sums = {f"sum_{c}": F.col(f"__upto_{c}") + F.lag(F.col(f"__all_{c}") - F.col(f"__upto_{c}"), length, 0.0).over(before) for c in features}
+    full = df.withColumns(sums | {"n_rows": F.lit(length)}).where(F.col("window_end_idx") >= length - 1)
+    return full.drop("__block", *(f"__{k}_{c}" for k in ("x", "upto", "all") for c in features))
 
 
 def window_members(rows: DataFrame, windows: DataFrame) -> DataFrame:

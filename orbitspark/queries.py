@@ -205,14 +205,15 @@ def sliding_windows(spark, d):
 def feature_rows(spark, d):
     """Complete sequences with all features, codes in place of categories, and their object's split; and the features' names.
 
-    The features are made over one shuffle by object and written in buckets; codes and splits are small tables joined to that.
+    Codes and splits are small tables, from the few columns that they need; the features are made over one shuffle by object.
     """
-    rows = stages.ml_ready(sequences.with_sizes(sequences.complete(sequences.with_sequences(elements(spark, d)))))
+    ordered = sequences.complete(sequences.with_sequences(elements(spark, d)))
+    rows = stages.ml_ready(sequences.with_sizes(ordered)).withColumn("size_name", F.col("size_range"))
     features = scaling.feature_columns(rows)
-    kept = rows.select("satellite_number", *ft.TIES, "seq_pos", *features).withColumn("size_name", F.col("size_range"))
-    held = tables.write_bucketed(kept, "satellite_number", list(ft.TIES))
-    coded = scaling.encoded(held, scaling.encoders(held, CATEGORICAL), CATEGORICAL)
-    return coded.join(sequences.split_table(held), "satellite_number"), features
+    kinds = tables.held(rows.select(*CATEGORICAL).distinct())
+    coded = scaling.encoded(rows.select("satellite_number", *ft.TIES, "size_name", *features), scaling.encoders(kinds, CATEGORICAL), CATEGORICAL)
+    splits = tables.held(sequences.split_table(sequences.complete(sequences.with_sequences(observations(spark, d)))))  # a row per object
+    return coded.join(splits, "satellite_number"), features
 
 
 def window_tensor_stats(spark, d):
