@@ -9,14 +9,22 @@ from orbitspark.constants import BC_MAX, BC_MIN, GRID_ALT, GRID_LAT, GRID_LON, K
 from orbitspark.functions.features import TIES
 from orbitspark.functions.orbital import with_geodetic
 from orbitspark.functions.vec import norm, vec
+from orbitspark.sources.tables import held
 
 AXES = {"alt": GRID_ALT, "lat": GRID_LAT, "lon": GRID_LON}
 
 
 def latest(df: DataFrame) -> DataFrame:
-    """Each object's last snapshot: a combinable max_by instead of a window."""
+    """Each object's last snapshot.
+
+    Rows of an object's last time are found first, from a written table of objects and times: a maximum that is counted in
+    hash tables, and a join that meets the table's raw columns. A max_by of whole rows sorts all of them; here it sees
+    only those that share the last time.
+    """
+    times = held(df.groupBy("satellite_number").agg(F.max("epoch_dt").alias("epoch_dt"))).toDF("__object", "__last")
+    last = df.join(times, df["satellite_number"].eqNullSafe(times["__object"]) & df["epoch_dt"].eqNullSafe(times["__last"]), "left_semi")
     rest = [c for c in df.columns if c != "satellite_number"]
-    return df.groupBy("satellite_number").agg(F.max_by(F.struct(*rest), F.struct(*TIES)).alias("s")).select("satellite_number", *(F.col(f"s.{c}").alias(c) for c in rest))
+    return last.groupBy("satellite_number").agg(F.max_by(F.struct(*rest), F.struct(*TIES)).alias("s")).select("satellite_number", *(F.col(f"s.{c}").alias(c) for c in rest))
 
 
 def debris(df: DataFrame) -> DataFrame:
