@@ -378,7 +378,8 @@ def geodetic_summary(spark, d):
 
 
 def cells(spark, d):
-    return riskmap.grid(riskmap.with_grid_sigmas(riskmap.debris(riskmap.latest(observations(spark, d)))))
+    """The presence grid, written: at most 583,200 cells, which are read more than once."""
+    return tables.held(riskmap.grid(riskmap.with_grid_sigmas(riskmap.debris(riskmap.latest(observations(spark, d))))))
 
 
 def voxel_grid(spark, d):
@@ -637,7 +638,7 @@ def error_overview(spark, d):
 
 def grid_summary(spark, d):
     """The written grid's axes, steps and number of objects, read again."""
-    near = riskmap.with_grid_sigmas(riskmap.debris(riskmap.latest(observations(spark, d))))
+    near = tables.held(riskmap.with_grid_sigmas(riskmap.debris(riskmap.latest(observations(spark, d)))))  # a row per object
     root = tables.scratch(spark)
     tables.write_grid(riskmap.grid(near), f"{root}/grid", near.count())
     return tables.read_parquet(spark, f"{root}/grid/about")
