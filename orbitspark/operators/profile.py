@@ -82,7 +82,7 @@ def bc_by_epoch_bin(df: DataFrame) -> DataFrame:
     """Coefficient statistics by the object's number of snapshots, counted over a window instead of a join back."""
     n = F.count("*").over(Window.partitionBy("satellite_number"))
     bc = "ballistic_coef_m2kg"
-    binned = df.withColumn("epoch_bin", epoch_bin(n))
+    binned = held(df.select(epoch_bin(n).alias("epoch_bin"), bc))
     stats = binned.groupBy("epoch_bin").agg(F.avg(bc).alias("bc_mean"), F.stddev_samp(bc).alias("bc_std"), F.count("*").alias("n_rows"))
     return stats.join(exact_quantiles(binned, bc, {"bc_median": 0.5}, "epoch_bin"), "epoch_bin", "left")
 

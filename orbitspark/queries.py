@@ -78,12 +78,15 @@ def epoch_sequences(spark, d):
 
 
 def sequence_stats(spark, d):
-    df = sequences.with_sequences(observations(spark, d))
-    full = sequences.complete(df)
-    a = df.agg(F.count("*").alias("n_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_sequences"))
-    gaps = sequences.with_time_gap(full)
-    b = gaps.agg(F.count("*").alias("n_complete_rows"), F.countDistinct("satellite_number", "sequence_id").alias("n_complete"), F.round(F.avg("time_gap_days"), 4).alias("mean_gap"))
-    return a.crossJoin(b).crossJoin(rounded(profile.exact_quantiles(gaps, "time_gap_days", {"median_gap": 0.5}), 4, "median_gap"))  # a row each
+    """One shuffle and one written table of what is counted; an object's incomplete sequence is its last, so that gaps don't depend on it."""
+    df = sequences.with_time_gap(sequences.with_sequences(observations(spark, d)))
+    head = (F.col("seq_pos") == 0) & F.col("satellite_number").isNotNull()
+    rows = tables.held(df.select(head.alias("head"), (F.col("seq_len") == sequences.SEQ_LEN).alias("full"), "time_gap_days"))
+    one = rows.agg(
+        F.count("*").alias("n_rows"), F.count_if("head").alias("n_sequences"), F.count_if("full").alias("n_complete_rows"),
+        F.count_if(F.col("full") & F.col("head")).alias("n_complete"), F.round(F.avg(F.when(F.col("full"), F.col("time_gap_days"))), 4).alias("mean_gap"),
+    )
+    return one.crossJoin(rounded(profile.exact_quantiles(rows.where("full"), "time_gap_days", {"median_gap": 0.5}), 4, "median_gap"))  # a row each
 
 
 def rank_split(spark, d):

@@ -44,3 +44,8 @@ def test_quantile_passes_shuffle_counts_only(spark):
     finally:
         profile.at_ranks = join
     assert plans and not any("SortMergeJoin" in p for p in plans)
+
+
+def test_sequences_are_made_once_for_all_their_statistics(spark):
+    assert "Window" not in plan_of(core.sequence_stats(spark, SMALL))
+    assert "Window" not in plan_of(profile.bc_by_epoch_bin(observations(spark, SMALL)))
