@@ -49,3 +49,9 @@ def test_quantile_passes_shuffle_counts_only(spark):
 def test_sequences_are_made_once_for_all_their_statistics(spark):
     assert "Window" not in plan_of(core.sequence_stats(spark, SMALL))
     assert "Window" not in plan_of(profile.bc_by_epoch_bin(observations(spark, SMALL)))
+
+
+def test_features_are_made_by_compiled_methods_and_joined_to_codes_where_they_are(spark):
+    rows, _ = core.feature_rows(spark, SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert "SortMergeJoin" not in plan_of(rows)
