@@ -150,13 +150,32 @@ def window_sums(df: DataFrame, features: list[str], *keys: str, length: int = SE
 
 
 def window_members(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Range join: the rows (satellite_number, epoch_idx) of each window, by object and index between start and end.
+    """Range join: the rows (satellite_number, epoch_idx) of each window, by object and index between start and end."""
+    return members_by_bin(rows, windows).drop("bin")
+
+
+def members_by_bin(rows: DataFrame, windows: DataFrame, parts: int | None = None) -> DataFrame:
+    """The range join, with the bin in which a row met its window, in so many partitions by object and bin.
 
     Both sides are dealt into bins of the window length as well, so that one object's windows meet only near rows.
     """
     wide = windows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("window_start_idx") / SEQ_LEN), F.floor(F.col("window_end_idx") / SEQ_LEN))))
     binned = rows.withColumn("bin", F.floor(F.col("epoch_idx") / SEQ_LEN))
-    return binned.join(wide, ["satellite_number", "bin"]).where(F.col("epoch_idx").between(F.col("window_start_idx"), F.col("window_end_idx"))).drop("bin")
+    if parts:
+        binned, wide = (x.repartition(parts, "satellite_number", "bin") for x in (binned, wide))
+    return binned.join(wide, ["satellite_number", "bin"]).where(F.col("epoch_idx").between(F.col("window_start_idx"), F.col("window_end_idx")))
+
+
+def window_means(rows: DataFrame, windows: DataFrame, value: str, parts: int | None = None) -> DataFrame:
+    """(satellite_number, window_end_idx, n, mean): the rows of each window and the mean of a value, by the range join.
+
+    Windows are summed where they meet rows first, which needs no shuffle, then over their bins. With parts, every step has
+    so many partitions, whatever the session's number.
+    """
+    window, x = ["satellite_number", "window_end_idx"], F.col(value)
+    each = members_by_bin(rows, windows, parts).groupBy("satellite_number", "bin", "window_end_idx").agg(F.count("*").alias("n"), F.count(x).alias("known"), F.sum(x).alias("total"))
+    each = each.repartition(parts, *window) if parts else each
+    return each.groupBy(*window).agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("known")).alias("mean"))
 
 
 def nearest_epochs(df: DataFrame, horizons: tuple[float, ...] = (1.0, 3.0, 7.0)) -> DataFrame:

@@ -287,10 +287,17 @@ def union_sources(spark, d):
 
 
 def window_range_join(spark, d):
-    rows = observations(spark, d).withColumn("epoch_idx", F.row_number().over(ft.by_object()).cast("long") - 1)
+    """The snapshots of every window and their mean flux.
+
+    Partitions follow the number of rows, so that a task's rows stay as many; adaptive execution, which joins partitions by
+    the bytes shuffled, sees nothing of what a window's rows take in a task. Without more partitions than cores it may.
+    """
+    parts = tables.parts(table(spark, d, "lineitem").count())
+    parts = parts if parts > spark.sparkContext.defaultParallelism else None
+    rows = observations(spark, d, by_object=parts).withColumn("epoch_idx", F.row_number().over(ft.by_object()).cast("long") - 1)
     windows = rows.where("epoch_idx >= 19").select("satellite_number", (F.col("epoch_idx") - 19).alias("window_start_idx"), F.col("epoch_idx").alias("window_end_idx"))
-    found = targets.window_members(rows.select("satellite_number", "epoch_idx", "solar_flux_f10"), windows)
-    return found.groupBy("satellite_number", "window_end_idx").agg(F.count("*").alias("n"), F.round(F.avg("solar_flux_f10"), 4).alias("mean_flux"))
+    found = targets.window_means(rows.select("satellite_number", "epoch_idx", "solar_flux_f10"), windows, "solar_flux_f10", parts)
+    return found.select("satellite_number", "window_end_idx", "n", F.round("mean", 4).alias("mean_flux"))
 
 
 def target_rows(spark, d):

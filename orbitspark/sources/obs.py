@@ -14,10 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """Snapshots of the line items; dealt out in shuffle partitions before anything is computed, for work that takes long per row."""
+def observations(spark: SparkSession, sf_dir: str, dealt: bool = False, by_object: int | None = None) -> DataFrame:
+    """Snapshots of the line items; dealt out in shuffle partitions before anything is computed, for work that takes long per row.
+
+    by_object deals them out by object in so many partitions, again before anything is computed: the line items' few columns
+    are shuffled instead of the snapshots' many, and windows by object need no other shuffle.
+    """
     li = table(spark, sf_dir, "lineitem")
     li = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if dealt else li
+    li = li.repartition(by_object, "l_suppkey") if by_object else li
     ms = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("long") * 8640000 + (F.col("l_orderkey") % 8640) * 1000 + F.col("l_linenumber") + 500
     df = li.withColumns({"__ms": ms, "__r": R_EARTH + 250 + 32 * F.col("l_quantity"), "__u": F.radians((37 * F.col("l_orderkey") + 11 * F.col("l_linenumber")) % 360 + F.lit(0.25)), "__i": F.radians(F.col("l_suppkey") % 89 + F.lit(0.5)), "__vr": 2 * (F.col("l_discount") - 0.053)})
     r, u, i, vr = (F.col(c) for c in ("__r", "__u", "__i", "__vr"))

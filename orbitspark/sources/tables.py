@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -42,6 +43,15 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: s
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+#: Snapshots of a partition at most, on average, so that a task's sorts and groups need no more memory for a larger table.
+PART_ROWS = 250_000
+
+
+def parts(n_rows: int) -> int:
+    """Partitions to deal so many rows out in, at least one."""
+    return max(1, math.ceil(n_rows / PART_ROWS))
+
+
 def held(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder, for what is read more than once; its lineage ends there."""
     path = f"{scratch(df.sparkSession)}/held"

@@ -1,15 +1,18 @@
 """Steps whose work must not grow faster than their input: what their plans do, and that they give the same rows."""
 
+import re
 from datetime import datetime
 
 from conftest import SMALL
 from orbitspark import queries as core
 from orbitspark.operators import profile, riskmap, targets
+from orbitspark.sources import tables
 from orbitspark.sources.obs import observations
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().sparkPlan().toString()
+def plan_of(df, executed=False):
+    plans = df._jdf.queryExecution()
+    return (plans.executedPlan() if executed else plans.sparkPlan()).toString()
 
 
 def test_latest_sees_whole_rows_of_last_times_only(spark):
@@ -55,3 +58,16 @@ def test_features_are_made_by_compiled_methods_and_joined_to_codes_where_they_ar
     rows, _ = core.feature_rows(spark, SMALL)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     assert "SortMergeJoin" not in plan_of(rows)
+
+
+def test_range_join_takes_more_partitions_for_more_rows(spark, monkeypatch):
+    """With a partition's rows bounded, every exchange of the join and its sums is as wide as the table needs; results stay."""
+    few = core.window_range_join(spark, SMALL)
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    n = tables.parts(observations(spark, SMALL).count())
+    many = core.window_range_join(spark, SMALL)
+    assert n > spark.sparkContext.defaultParallelism
+    widths = {int(w) for w in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan_of(many, executed=True))}
+    assert widths == {n}
+    assert sorted(map(tuple, many.collect())) == want
