@@ -5,7 +5,8 @@ from datetime import datetime
 
 from conftest import SMALL
 from orbitspark import queries as core
-from orbitspark.operators import profile, riskmap, targets
+from orbitspark.operators import profile, riskmap, sequences, targets
+from orbitspark.plans import stages
 from orbitspark.sources import tables
 from orbitspark.sources.obs import observations
 
@@ -71,3 +72,23 @@ def test_range_join_takes_more_partitions_for_more_rows(spark, monkeypatch):
     widths = {int(w) for w in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan_of(many, executed=True))}
     assert widths == {n}
     assert sorted(map(tuple, many.collect())) == want
+
+
+def test_stages_shuffle_rows_once_and_write_each_column_of_a_row_alone_once(spark, monkeypatch):
+    """Tables in buckets by object, which a resumed run knows; the elements are in the last table only, which is whole."""
+    folders, scratch = [], tables.scratch
+    monkeypatch.setattr(core.tables, "scratch", lambda s: folders.append(scratch(s)) or folders[-1])
+    core.resumed_stages(spark, SMALL)
+    first = spark.read.parquet(f"{folders[0]}/sequences")
+    last = spark.read.parquet(f"{folders[0]}/elements-split")
+    made = set(core.elements(spark, SMALL).columns) - set(observations(spark, SMALL).columns)
+    assert made and not made & set(first.columns) and made | set(first.columns) | {"seq_bc", "size_range", "split"} == set(last.columns)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    again = stages.checked(spark, folders[0], "sequences", ["sequences"], None)
+    assert "Exchange" not in plan_of(sequences.with_sizes(again), executed=True)
+    assert "Exchange" not in plan_of(tables.write_bucketed(again, "satellite_number", ["epoch_dt"], n), executed=True)
+    dealt = sequences.with_sequences(observations(spark, SMALL, by_object=n))
+    exchanges = re.findall(r"Exchange [^\n]*", plan_of(dealt, executed=True))
+    assert len(exchanges) == 1 and "l_suppkey" in exchanges[0]
+    want = core.split_rows(spark, SMALL, with_orbit=True)
+    assert last.exceptAll(want.select(*last.columns)).isEmpty() and last.count() == want.count()
