@@ -25,7 +25,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingle similarity of 0.8 or more, the one of the smallest id."""
+    """One document of each group linked by five-word shingle similarity of 0.8 or more, the one of the smallest id.
+
+    SimHashes within 2 bits, by Golay keys, and bands of min-hashes for what they don't reach; every candidate is verified.
+    """
     return near_copies.near_dedup(docs)
 
 

@@ -1,11 +1,13 @@
 """Near copies by word shingles: similarity of at least 0.8 between sets of five-word shingles.
 
-At this similarity two 64-bit SimHashes differ in about ten bits. Golay keys that still meet there are segments of 12
-bits each, too short to tell millions of texts apart. So candidates come from bands of min-hashes: two sets of
-similarity s share a band of 5 with probability s^5 and one of 24 bands with 1 - (1 - s^5)^24, which is 0.9999 at 0.8
-and more above. All candidates are verified by the similarity of their whole sets.
-
-Texts of equal sets are one node before any join. Nodes of a band key that at most `cap` hold are paired in a join. A
+Candidates come two ways. Every set has a 64-bit SimHash; sets whose SimHashes differ in at most 2 bits meet on the
+Golay keys of `simhash`, all of them. At a similarity of 0.8 two SimHashes differ in about ten bits, though; Golay keys
+that still meet there are segments of 12 bits each, too short to tell millions of texts apart. So bands of min-hashes
+reach what lies farther apart: two sets of similarity s share a band of 5 with probability s^5 and one of 24 bands with
+1 - (1 - s^5)^24, which is 0.9999 at 0.8 and more above. All candidates are verified by the similarity of their whole
+sets, so that two SimHashes near each other by chance link nothing.
+
+Texts of equal sets are one node before any join. Nodes of a key, of either kind, that at most `cap` hold are paired in a join. A
 key that more hold is not: its nodes are dealt into blocks of bounded size, and a block is compared in itself and with
 a few nodes of the key that all its blocks get, so comparisons grow with the nodes of a key, not with their square.
 This joins most of a group of near copies. What it leaves open is settled exactly by prefixes: with shingles in one
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitspark.llm.common import components, written
-from orbitspark.llm.simhash import SEED, one_of_each, row_hash
+from orbitspark.llm.simhash import MAX_DISTANCE, SEED, fuzzy_keys, one_of_each, print_of, row_hash
 
 BANDS, ROWS = 24, 5
 #: Shingles whose min-hashes are taken at a time, and shingles of a block that are compared at a time.
@@ -203,13 +205,31 @@ def settled(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float
     return every.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
+def near_prints(prints: DataFrame) -> DataFrame:
+    """(key, fp, print, h1, h2, n): nodes by the Golay keys of their SimHash that n > 1 nodes have.
+
+    Sets whose SimHashes differ in at most MAX_DISTANCE bits share a key. A wordless text has no key.
+    """
+
+    @F.pandas_udf("array<long>")
+    def keys(prints: pd.Series) -> pd.Series:
+        return pd.Series(fuzzy_keys(prints.to_numpy()))
+
+    nodes = prints.where("fp != 0").groupBy("fp").agg(F.min(F.struct("h1", "h2")).alias("h"), F.first("print").alias("print"))
+    keyed = nodes.select("fp", "h.*", "print", F.explode(keys("print")).alias("golay"))
+    # hashed, as keys of bands are, so that both kinds go the same way
+    keyed = keyed.select(F.xxhash64(F.lit("simhash"), "golay").alias("key"), "fp", "print", "h1", "h2")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return written(keyed.join(shared, "key"), "golay")
+
+
 def grouped_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, cap: int, block: int) -> DataFrame:
     """(doc_id, fp, h1, h2, root): a row per input row; fp stands for its set, root for its group."""
 
-    @F.pandas_udf("fp long, keys array<long>")
+    @F.pandas_udf("fp long, print long, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in texts]
-        return pd.DataFrame({"fp": [node_of(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"fp": [node_of(s) for s in sets], "print": [print_of(s) for s in sets], "keys": [band_keys(s) for s in sets]})
 
     @F.pandas_udf("binary")
     def members(texts: pd.Series) -> pd.Series:
@@ -217,24 +237,28 @@ def grouped_rows(docs: DataFrame, id_col: str, text_col: str, width: int, simila
 
     h1, h2 = row_hash(id_col, text_col)
     prints = written(docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("s"), h1, h2).select("doc_id", "s.*", "h1", "h2"), "bands")
+    near = near_prints(prints)
     distinct = prints.groupBy("fp").agg(F.min(F.struct("h1", "h2")).alias("h"), F.first("keys").alias("keys"))
     keyed = written(distinct.select("fp", "h.*", F.explode("keys").alias("key")), "band-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keyed.join(shared, "key"), "met")
     # nodes that meet no other are never read again
-    wanted = met.select("h1", "h2", "fp").distinct()
+    wanted = met.select("h1", "h2", "fp").union(near.select("h1", "h2", "fp")).distinct()
     texts = docs.select(F.col(text_col).alias("text"), h1, h2).join(wanted, ["h1", "h2"]).dropDuplicates(["fp"])
     sets = written(texts.select("fp", members("text").alias("members")), "sets")
+    close = near.where(F.col("n") <= cap).select("key", "fp", "print")
+    close = close.toDF("key", "u", "of_u").join(close.toDF("key", "v", "of_v"), "key").where("u > v")
+    close = close.where(F.bit_count(F.col("of_u").bitwiseXOR(F.col("of_v"))) <= MAX_DISTANCE).select("u", "v")
     few = met.where(F.col("n") <= cap).select("key", "fp")
-    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where("u > v").select("u", "v").distinct()
-    found = verified(pairs, sets, similarity)
-    hot = met.where(F.col("n") > cap).select("key", "fp", "n")
+    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where("u > v").select("u", "v")
+    found = verified(pairs.union(close).distinct(), sets, similarity)
+    hot = met.select("key", "fp", "n").union(near.select("key", "fp", "n")).where(F.col("n") > cap)
     if hot.head():
         found = found.union(hot_links(hot, sets, similarity, block))
         roots = settled(hot, sets, written(components(found), "roots"), similarity)
     else:
         roots = components(found)
-    return prints.drop("keys").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints.drop("keys", "print").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cap: int = 64, block: int = BLOCK) -> DataFrame:

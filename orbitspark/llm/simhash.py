@@ -37,7 +37,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     shingles = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), np.uint64)
+    return print_of(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), np.uint64))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)

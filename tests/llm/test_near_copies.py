@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import SMALL
-from orbitspark.llm import near_copies
+from orbitspark.llm import near_copies, simhash
 from test_operators import ODD
 
 
@@ -59,6 +59,42 @@ def test_stage_finds_edited_copies(spark, planted, cap, block):
         assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SMALL).collect()) == want
 
 
+def distance(a, b):
+    return bin((simhash.print_of(a) ^ simhash.print_of(b)) & 2**64 - 1).count("1")
+
+
+@pytest.mark.parametrize("cap", [2, 64])
+def test_simhash_alone_links_all_near_prints_that_are_similar(spark, monkeypatch, cap):
+    """Without bands the links are those of all pairs of SimHashes within two bits, but for sets below the similarity.
+
+    In keys of more nodes than the cap, sets that are similar are linked at any distance.
+    """
+    rng, texts = random.Random(5), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [words, [*words[:-1], "other"], [*words[:-1], "another"], [*words[:100], "far", *words[200:]]]
+    words = [f"v{k}" for k in range(6)]
+    texts += [words[:k] for k in (5, 6)] + [[]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [near_copies.shingle_set(t, 5) for _, t in rows]
+    root, links = list(range(len(rows))), []
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and distance(sets[a], sets[b]) <= 2 and 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+                s, t = sorted((root[a], root[b]))
+                root = [s if r == t else r for r in root]
+    assert len(links) > 20
+    monkeypatch.setattr(near_copies, "band_keys", lambda members: np.empty(0, np.int64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grouped = near_copies.grouped_rows(docs, "doc_id", "text", 5, 0.8, cap, near_copies.BLOCK)
+    group = {r["doc_id"]: r["root"] for r in grouped.collect()}
+    assert len(group) == len(rows) and all(group[a] == group[b] for a, b in links)
+    if cap == 64:
+        assert len(set(group.values())) == len(set(root)) < len(rows)
+
+
 def test_one_word_of_two_hundred(spark):
     words = [f"w{k}" for k in range(200)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:90], "other", *words[91:]])), (3, " ".join(words[::-1]))]
