@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -476,6 +477,27 @@ def test_suffix_dedup_of_a_very_common_passage(spark):
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got.collect()), key=str) == plain_removal(rows)
 
 
+def test_shards_sort_only_what_may_be_equal(monkeypatch):
+    """Windows that share a name alone aren't sorted: 40 texts hold the same 30 bytes, and two of them the same 60."""
+    rng = random.Random(8)
+    some = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=n))
+    short, long = some(30), some(60)
+    texts = [some(80) + short + some(80) + (long if i in (7, 30) else b"") + some(80) for i in range(40)]
+    rows = pd.DataFrame({"first_id": range(40), "text": texts})
+    blocks = pd.concat(suffix_dedup.packed(500)(iter([rows])))
+    asked = pd.concat(suffix_dedup.block_names(50, 3)(iter([blocks])))
+    told = pd.concat([suffix_dedup.shared_names(4096)(g) for _, g in asked.groupby("part")]).groupby("block").agg(list).rename(columns={"part": "parts"})
+    sent = pd.concat(suffix_dedup.block_windows(50, 3, 1)(iter([blocks.merge(told, on="block")])))
+    cold, sizes = sent[sent["kind"] == suffix_dedup.COLD], []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda x, cap: sizes.append(len(x)) or suffix_array(x, cap))
+    spans = suffix_dedup.shard_spans(50)(cold)
+    # before: all 40 texts' windows of the short string's names were in the suffix array
+    assert sum(sizes) < 2 * (60 + 4 * 50)
+    gone = [np.frombuffer(x, "<i4").reshape(-1, 3) for x in spans["spans"]]
+    block_of = {i: b for b, ids in zip(blocks["block"], blocks["ids"], strict=True) for i in np.frombuffer(ids, np.int64).tolist()}
+    assert set(spans["block"]) == {block_of[30]} and sum(len(x) for x in gone) >= 1
+
+
 def test_suffix_dedup_odd(spark, odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = suffix_dedup.without_repeats(odd).collect()
