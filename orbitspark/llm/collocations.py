@@ -32,6 +32,8 @@ MOST = 4
 TRIGGER = 32
 #: Bits of the bitmap of frequent phrases, as a power of two: 8 MB.
 BITMAP = 26
+#: Bytes of a string up to which hashes are made of all strings at once; masks of the first 0 to 8 bytes of an integer.
+LONG, FIRST_BYTES = 64, np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Marks that end a piece. In the text's bytes all of them become the first, and A-Z become small.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes.maketrans(STOPS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(STOPS) + b" abcdefghijklmnopqrstuvwxyz")
@@ -90,8 +92,27 @@ def held_in(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def hashes(values: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxh64_intdigest, values.to_pylist()), np.uint64, len(values))
+def hashes(values: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of strings, eight bytes of all of them at a time; long strings go one by one."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    sizes, begins, ends = np.diff(offsets), offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    data = np.zeros(int(ends[-1]) + 8 if len(ends) else 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = sizes.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    left = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    step = 0
+    while len(left):
+        rest = sizes[left] - step
+        h = (out[left] ^ eights[begins[left] + step] & FIRST_BYTES[np.minimum(rest, 8)]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out[left] = h ^ h >> np.uint64(32)
+        left = left[rest > 8]
+        step += 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = xxh64_intdigest(data[begins[i] : ends[i]])
+    return out
 
 
 def flat(chunks: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:

@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -80,6 +81,19 @@ def test_collocations_of_an_empty_table(spark):
     assert not collocations.collocations(spark.createDataFrame([], "lang string, text string")).count()
 
 
+def test_hashes_of_words_need_no_call_each(monkeypatch):
+    words = sorted({f"{a}{b}" for a in ("", "x", "\u00e9t\u00e9", "a word of seventeen") for b in range(20_000)} | {""})
+    long = ["y" * 65, "y" * 66, "z" * 900]
+    whole = collocations.hashes(pa.array(words + long))
+    assert len(np.unique(whole)) == len(words) + len(long) == len(np.unique(whole >> np.uint64(24)))
+    # a string has one hash, wherever it stands
+    assert (collocations.hashes(pa.array(["..", *reversed(words + long)]).slice(1)) == whole[::-1]).all()
+    assert not len(collocations.hashes(pa.array([], pa.string()))) and (collocations.hashes(pa.array([""])) == whole[:1]).all()
+    # before: a call of the library for every word of every batch, in each pass
+    monkeypatch.setattr(collocations, "xxh64_intdigest", None)
+    assert (collocations.hashes(pa.array(words)) == whole[: len(words)]).all()
+
+
 def test_chunks_own_every_phrase_once():
     triggers = collocations.Triggers()
     for _, text in odd_texts():
