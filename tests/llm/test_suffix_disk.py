@@ -5,8 +5,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from corpus_pipeline import suffix_dedup_stage
 from orbitspark.llm import suffix_dedup
-from orbitspark.llm.common import CLEANUP_SETTING, written
+from orbitspark.llm.common import CLEANUP_SETTING, recorded, table, written
 from test_operators import documents, plain_removal
 
 
@@ -36,3 +38,14 @@ def test_turns_and_hashes_give_the_same_rows(spark, monkeypatch):
         assert [tag for tag, _ in moved] == ["windows"] * 4 + ["spans"] * 4 + ["cuts"] * 4
         digest = (lambda x: hashlib.sha256(bytes(x)).hexdigest()) if made is None else str
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], digest(r["kept"])) for r in got.collect()), key=str) == plain_removal(rows)
+
+
+def test_the_pipelines_stage_leaves_only_what_its_result_reads(spark):
+    """Before its result is read: no shuffle files, and of its tables the cut texts alone."""
+    docs, before = table(spark, SMALL, "documents"), shuffle_files(spark)
+    with recorded() as tables:
+        out = suffix_dedup_stage(spark, docs, SMALL)
+    left = [t.written_at for t in tables if os.path.exists(t.written_at.removeprefix("file://"))]
+    assert len(left) == 1 and "/cuts-" in left[0]
+    assert not shuffle_files(spark) - before
+    assert out.columns == docs.columns and out.count() == docs.count()
